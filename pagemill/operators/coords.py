@@ -1,12 +1,12 @@
 """Tables whose rows run down the page, rebuilt from word coordinates.
 
-A page's words are one array, so a page is rebuilt in its row: as many words as a page holds, no shuffle after the words
-have been brought together.
+Words are counted, matched and gathered by page with plain aggregations and equi-joins; only what a page has few of
+(fields, columns) is held in arrays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.tables import pipe_row
@@ -35,24 +35,25 @@ def bucket(x: Column) -> Column:
     return (F.bround(x / BUCKET) * BUCKET).cast("int")
 
 
-def column_centres(data: Column) -> Column:
-    """Centres of columns: local maxima of the words' x histogram, those less than 10 apart merged to the higher one."""
-    buckets = F.transform(data, lambda w: bucket(w["x"]))
-    present = F.array_sort(F.array_distinct(buckets))
-    count = lambda b: F.size(F.filter(buckets, lambda x: x == b))
-    hist = F.transform(present, lambda b: F.struct(b.alias("b"), count(b).alias("n")))
-    at = lambda b: F.coalesce(F.try_element_at(F.map_from_entries(hist), b), F.lit(0))
-    least = F.greatest(F.lit(8), F.floor(F.size(data) / 80).cast("int"))
-    peaks = F.filter(hist, lambda h: (h["n"] >= least) & (h["n"] >= at(h["b"] - BUCKET)) & (h["n"] >= at(h["b"] + BUCKET)))
-    start = F.array().cast("array<struct<b:int,n:int>>")
+def column_centres(data: DataFrame) -> DataFrame:
+    """Centres of columns: ``doc_id, page_number, centres`` (sorted).
+
+    They are local maxima of the words' x histogram, counted with map-side combining; of those less than 10 apart the
+    higher one stays. Neighbours are exactly one bucket away, so they are looked up by range, not by row.
+    """
+    hist = data.groupBy(*PAGE, bucket(F.col("x0")).alias("b")).agg(F.count("*").alias("n"))
+    page = Window.partitionBy(*PAGE)
+    beside = lambda k: F.coalesce(F.max("n").over(page.orderBy("b").rangeBetween(k, k)), F.lit(0))
+    hist = hist.select("*", beside(-BUCKET).alias("left"), beside(BUCKET).alias("right"), F.greatest(F.lit(8), F.floor(F.sum("n").over(page) / 80)).alias("least"))
+    peaks = hist.where("n >= least and n >= left and n >= right").groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("p"))
+    start = F.array().cast("array<struct<b:int,n:bigint>>")
 
     def step(acc: Column, p: Column) -> Column:
         last = F.element_at(acc, -1)
-        near = (F.size(acc) > 0) & (p["b"] - last["b"] < 10)
         swapped = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(p))
-        return F.when(~F.coalesce(near, F.lit(False)), F.concat(acc, F.array(p))).when(p["n"] > last["n"], swapped).otherwise(acc)
+        return F.when(F.size(acc) == 0, F.array(p)).when(p["b"] - last["b"] >= 10, F.concat(acc, F.array(p))).when(p["n"] > last["n"], swapped).otherwise(acc)
 
-    return F.transform(F.aggregate(peaks, start, step), lambda p: p["b"].cast("double"))
+    return peaks.select(*PAGE, F.transform(F.aggregate("p", start, step), lambda p: p["b"].cast("double")).alias("centres"))
 
 
 def _nearest(values: Column, at: Column) -> Column:
@@ -64,22 +65,26 @@ def _nearest(values: Column, at: Column) -> Column:
 def rebuild(words: DataFrame, x_min: float = X_MIN, x_max: float = X_MAX, y_tol: float = Y_TOL) -> DataFrame:
     """``doc_id, page_number, markdown`` of the pages that hold such a table; others have no row.
 
-    ``words``: ``doc_id, page_number, word_no, x0, y0, text``.
+    ``words``: ``doc_id, page_number, word_no, x0, y0, text``. Words meet the fields and centres of their page in an
+    equi-join on the page; cells are gathered by page, column and field.
     """
-    word = F.struct(F.col("word_no").alias("no"), F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("y"), "text")
-    page = words.where((F.col("x0") >= x_min) & F.col("text").isNotNull()).groupBy(*PAGE).agg(F.sort_array(F.collect_list(word)).alias("words"))
-    page = page.select(*PAGE, F.filter("words", lambda w: w["x"] < x_max).alias("header"), F.filter("words", lambda w: w["x"] >= x_max).alias("data"))
-    page = page.where((F.size("header") > 0) & (F.size("data") > 0))
+    known = words.where((F.col("x0") >= x_min) & F.col("text").isNotNull())
+    data = known.where(F.col("x0") >= x_max).select(*PAGE, "word_no", F.col("x0").cast("double").alias("x0"), F.col("y0").cast("double").alias("y0"), "text")
+    word = F.struct(F.col("word_no").alias("no"), F.col("y0").cast("double").alias("y"), "text")
+    header = known.where(F.col("x0") < x_max).groupBy(*PAGE).agg(F.sort_array(F.collect_list(word)).alias("header"))
     told = F.array_join(F.transform("header", lambda w: w["text"]), "")
-    page = page.where(told.rlike("|".join(REQUIRED))).withColumn("fields", fields_of(F.col("header"), y_tol)).where(F.size("fields") >= LEAST_FIELDS)
-    page = page.where(F.exists("data", lambda w: F.abs(w["y"] - F.col("fields")[0]["y"]) <= y_tol * 1.5))
-    page = page.withColumn("centres", column_centres(F.col("data"))).where(F.size("centres") > 0)
+    fields = header.where(told.rlike("|".join(REQUIRED))).select(*PAGE, F.explode(F.array(fields_of(F.col("header"), y_tol))).alias("fields")).where(F.size("fields") >= LEAST_FIELDS)
+    pages = fields.join(column_centres(data), PAGE)
+    near = data.join(pages, PAGE)
+    first = near.where(F.abs(F.col("y0") - F.col("fields")[0]["y"]) <= y_tol * 1.5).select(*PAGE).distinct()
     ys = F.transform("fields", lambda f: f["y"])
-    placed = F.transform("data", lambda w: F.struct(_nearest(F.col("centres"), w["x"]).alias("c"), _nearest(ys, w["y"]).alias("f"), F.abs(F.get(ys, _nearest(ys, w["y"])) - w["y"]).alias("d"), w["text"].alias("text")))
-    page = page.withColumn("placed", F.filter(placed, lambda p: p["d"] <= y_tol * 3)).where(F.size("placed") > 0)
-    here = F.array_sort(F.array_distinct(F.transform("placed", lambda p: p["c"])))
-    cell = lambda c, f: F.array_join(F.transform(F.filter("placed", lambda p: (p["c"] == c) & (p["f"] == f)), lambda p: p["text"]), " ")
-    rows = F.transform(here, lambda c: pipe_row(F.transform("fields", lambda _, f: cell(c, f))))
-    names = F.transform("fields", lambda f: f["name"])
+    placed = near.select(*PAGE, "word_no", "text", "y0", _nearest(F.col("centres"), F.col("x0")).alias("c"), _nearest(ys, F.col("y0")).alias("f"), "fields")
+    placed = placed.where(F.abs(F.get("fields", F.col("f"))["y"] - F.col("y0")) <= y_tol * 3).join(first, PAGE, "left_semi")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("word_no", "text"))), lambda w: w["text"])
+    cells = placed.groupBy(*PAGE, "c", "f").agg(F.array_join(texts, " ").alias("t"))
+    rows = cells.groupBy(*PAGE, "c").agg(F.map_from_entries(F.collect_list(F.struct("f", "t"))).alias("cells"))
+    full = rows.join(fields, PAGE).select(*PAGE, "c", "fields", pipe_row(F.transform("fields", lambda _, i: F.coalesce(F.try_element_at(F.col("cells"), i), F.lit("")))).alias("row"))
+    body = full.groupBy(*PAGE).agg(F.any_value("fields").alias("fields"), F.sort_array(F.collect_list(F.struct("c", "row"))).alias("rows"))
+    names = pipe_row(F.transform("fields", lambda f: f["name"]))
     rule = pipe_row(F.array_repeat(F.lit("---"), F.size("fields")))
-    return page.select(*PAGE, F.array_join(F.concat(F.array(pipe_row(names), rule), rows), "\n").alias("markdown"))
+    return body.select(*PAGE, F.array_join(F.concat(F.array(names, rule), F.transform("rows", lambda r: r["row"])), "\n").alias("markdown"))
