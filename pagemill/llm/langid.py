@@ -21,11 +21,13 @@ from pagemill.llm.rows import map_batches
 from pagemill.plans.storage import materialize
 
 #: Labelled texts to which the models are fitted, at most so many of each language (those of the least hash).
-SAMPLE = 4000
+SAMPLE = 1500
 #: n-gram orders (with word boundaries) and buckets they are hashed to: the model is languages x BUCKETS floats, whatever the corpus.
 ORDERS, BUCKETS = (1, 2, 3, 4), 1 << 16
 #: Rounds of expectation-maximisation, and nats that one more language must earn besides BIC.
 ROUNDS, EARN = 12, 6.0
+#: Words whose likelihoods a task keeps; beyond it the table starts anew.
+MEMORY = 200_000
 #: A sentence counts as whole from so many letters (of scripts without spaces, characters) on.
 LEAST_LETTERS, LEAST_WIDE = 12, 6
 #: Nats by which a sentence's language must beat the document's main one before it makes a document mixed.
@@ -110,38 +112,61 @@ class Model:
         c = counts + smooth
         self.logp = np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32) if len(langs) else np.zeros((0, BUCKETS), np.float32)
         self.at = {l: i for i, l in enumerate(langs)}
-        self.memo: dict[str, np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.table = np.zeros((4096, len(self.langs)), np.float32)
 
     def __getstate__(self):
-        return {"langs": self.langs, "logp": self.logp, "at": self.at, "memo": {}}
-
-    def word(self, run: str) -> np.ndarray:
-        """Log likelihood of one word or run under every language, divided by the mean n-grams that cover a letter."""
-        v = self.memo.get(run)
-        if v is None:
-            g = grams(run)
-            v = self.logp[:, g].sum(axis=1) / (2.0 if run[0] >= "⺀" else 4.0)
-            if run[0] >= "⺀" and "ja" in self.at and "zh" in self.at and _KANA.search(run):
-                v = v.copy()
-                v[self.at["zh"]] -= 4.0 * len(_KANA.findall(run))  # Chinese has no kana
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            self.memo[run] = v
-        return v
-
-    def sentence(self, s: str) -> tuple[np.ndarray, int, bool]:
-        """Log likelihoods of a sentence, its letters, and whether it is a whole sentence."""
-        runs = _RUN.findall(s)
-        wide = sum(len(r) for r in runs if r[0] >= "⺀")
-        letters = sum(map(len, runs)) - wide
-        if wide * 3 >= letters:  # foreign names and terms in Chinese or Japanese text don't count
-            runs = [r for r in runs if r[0] >= "⺀"] or runs
-        elif wide:
-            runs = [r for r in runs if r[0] < "⺀"]
-        ll = np.zeros(len(self.langs))
-        for r in runs:
-            ll += self.word(r)
-        return ll, wide + letters, wide >= LEAST_WIDE or (letters >= LEAST_LETTERS and len(runs) > 3)
+        return {"langs": self.langs, "logp": self.logp, "at": self.at}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._clear()
+
+    def id_of(self, run: str) -> int:
+        """Row of ``table`` that holds the log likelihood of a word, or of a pair of characters of a run without spaces, per n-gram that covers a letter."""
+        k = len(self.ids)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        wide = run[0] >= "⺀"
+        v = self.logp[:, grams(run)].sum(axis=1) / (3.0 if wide else 4.0)
+        if wide and "ja" in self.at and "zh" in self.at and (kana := len(_KANA.findall(run))):
+            v[self.at["zh"]] -= 4.0 * kana  # Chinese has no kana
+        self.table[k] = v
+        self.ids[run] = k
+        return k
+
+    def sentences(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[bool]]:
+        """Of every sentence the log likelihoods, the letters, and whether it is a whole sentence."""
+        if len(self.ids) > MEMORY:
+            self._clear()
+        get, ids, starts, letters, whole = self.ids.get, [], [], [], []
+        for s in texts:
+            runs = _RUN.findall(s)
+            starts.append(len(ids))
+            size = sum(map(len, runs))
+            wide = 0
+            if not s.isascii():
+                far = [r for r in runs if r[0] >= "⺀"]
+                wide = sum(map(len, far))
+                if wide * 3 >= size - wide:  # foreign names and terms in Chinese or Japanese text don't count
+                    runs = far or runs
+                elif wide:
+                    runs = [r for r in runs if r[0] < "⺀"]
+            for r in runs:
+                for u in [r[i : i + 2] for i in range(len(r) - 1)] if r[0] >= "⺀" and len(r) > 2 else (r,):
+                    k = get(u)
+                    ids.append(self.id_of(u) if k is None else k)
+            letters.append(size)
+            whole.append(wide >= LEAST_WIDE or (size - wide >= LEAST_LETTERS and len(runs) > 3))
+        ll = np.zeros((len(texts), len(self.langs)))
+        if ids:
+            full = [i for i, n in enumerate(letters) if n]
+            # one row for each word, summed by sentence
+            ll[full] = np.add.reduceat(self.table[ids].astype(np.float64), [starts[i] for i in full], axis=0)
+        return ll, letters, whole
 
 
 def mixture(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +195,10 @@ def mixture(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return value - len(active) * (0.5 * math.log(n + 1) + EARN), w, p
 
     active = sorted(set(np.argmax(ll, axis=1).tolist()))
+    if len(active) == 1:  # no sentence prefers another language: it has all of the mixture
+        shares, post = np.zeros(k), np.zeros((n, k))
+        shares[active], post[:, active] = 1.0, 1.0
+        return shares, post
     best, w, p = fit_active(active)
     while len(active) > 1:
         tries = [(fit_active([x for x in active if x != out]), out) for out in active]
@@ -188,18 +217,14 @@ def analyse(model: Model, text: str | None) -> dict | None:
     if not text or not model.langs:
         return None
     clean = _MARKER.sub(lambda m: " " * len(m.group()), text)
-    spans, rows, letters, whole = [], [], [], []
-    for a, b in sentences(clean):
-        ll, size, full = model.sentence(clean[a:b])
-        if size:
-            spans.append((a, b))
-            rows.append(ll)
-            letters.append(size)
-            # headings and table rows are no sentences
-            whole.append(full and not text[a : a + 2].lstrip().startswith(("#", "|", "<")))
-    if not rows:
+    cuts = sentences(clean)
+    rows, sizes, full = model.sentences([clean[a:b] for a, b in cuts])
+    have = [i for i, n in enumerate(sizes) if n]
+    if not have:
         return None
-    ll = np.array(rows)
+    spans, ll, letters = [cuts[i] for i in have], rows[have], [sizes[i] for i in have]
+    # headings and table rows are no sentences
+    whole = [full[i] and not text[cuts[i][0] : cuts[i][0] + 2].lstrip().startswith(("#", "|", "<")) for i in have]
     post = mixture(ll)[1]
     pick = post.argmax(axis=1)
     weight = np.zeros(len(model.langs))
