@@ -25,8 +25,8 @@ SINGLE = (("latin", 1), ("cp1251", 3), ("cp1250", 3), ("koi8_r", 3), ("cp866", 3
 DOUBLE = (("gb18030", "utf-8"), ("cp950", "gb18030"), ("cp949", "gb18030"), ("cp932", "gb18030"), ("cp932", "utf-8"), ("cp950", "utf-8"), ("cp949", "utf-8"), ("gb18030", "cp950"), ("gb18030", "cp932"), ("gb18030", "cp949"))
 #: Rise of the mean log frequency of a span's characters that a two-byte decoding must bring, and the least span.
 GAIN, LEAST_RUN = 2.0, 3
-#: Encodings may have been stacked; so many layers are taken off.
-LAYERS = 3
+#: Encodings may have been stacked, and several may stand side by side; so many layers are taken off.
+LAYERS = 6
 
 
 def _esc(chars) -> str:
@@ -83,11 +83,11 @@ def _line_ends_kept(span: str, decoded: str) -> str:
     return "".join(out)
 
 
-def _single(text: str, codec: str, least: int) -> tuple[str, int]:
-    """Decode UTF-8 spans seen through a one-byte encoding."""
+def _single(text: str, codec: str, least: int) -> tuple[str, int, int]:
+    """Decode UTF-8 spans seen through a one-byte encoding: the text, the spans, the characters they covered."""
     spans, seq = _utf8_spans(codec)
     if not spans.search(text):
-        return text, 0
+        return text, 0, 0
     back, good, longest, accents, marks = _byte_map(codec), [], 0, 0, 0
     deeper = _byte_map("latin")
     for m in spans.finditer(text):
@@ -105,20 +105,20 @@ def _single(text: str, codec: str, least: int) -> tuple[str, int]:
         marks += len(_MARKS.findall(dec)) if codec != "cp866" else 0
         good.append((m.start(), m.end(), _line_ends_kept(raw, dec)))
     if longest < least and accents < least and not marks:
-        return text, 0
+        return text, 0, 0
     out, at = [], 0
     for a, b, dec in good:
         out += [text[at:a], dec]
         at = b
-    return "".join(out) + text[at:], len(good)
+    return "".join(out) + text[at:], len(good), sum(b - a for a, b, _ in good)
 
 
-def _gb_latin(text: str) -> tuple[str, int]:
+def _gb_latin(text: str) -> tuple[str, int, int]:
     """Decode GB2312 seen through a one-byte western encoding."""
-    n = 0
+    n = covered = 0
 
     def dec(m):
-        nonlocal n
+        nonlocal n, covered
         raw = m.group().replace("\n", "")
         try:
             out = raw.encode("latin-1").decode("gb2312")
@@ -128,9 +128,17 @@ def _gb_latin(text: str) -> tuple[str, int]:
             except UnicodeError:
                 return m.group()
         n += 1
+        covered += len(raw)
         return _line_ends_kept(m.group(), out)
 
-    return _GB_LATIN.sub(dec, text), n
+    return _GB_LATIN.sub(dec, text), n, covered
+
+
+def _one_byte(text: str) -> tuple[str, int]:
+    """The one-byte reading that explains most characters; by chance others may fit a few."""
+    tries = [_single(text, codec, least) for codec, least in SINGLE] + [_gb_latin(text)]
+    out, n, covered = max(tries, key=lambda t: t[2])
+    return (out, n) if covered else (text, 0)
 
 
 def _utf8_gb(text: str) -> tuple[str, int]:
@@ -180,6 +188,8 @@ class Restorer:
     def __init__(self, freq: dict[str, float]):
         self.freq = freq
         self.floor = min(freq.values(), default=-16.0) - 1.0
+        #: What a character of sound text scores on average.
+        self.typical = sum(math.exp(v) * v for v in freq.values()) if freq else 0.0
 
     def score(self, s: str) -> float:
         get, floor = self.freq.get, self.floor
@@ -227,10 +237,7 @@ class Restorer:
         spans = 0
         for _ in range(LAYERS):
             found = 0
-            for codec, least in SINGLE:
-                text, k = _single(text, codec, least)
-                found += k
-            for step in (_gb_latin, _utf8_gb, self._double):
+            for step in (_one_byte, _utf8_gb, self._double):
                 text, k = step(text)
                 found += k
             spans += found

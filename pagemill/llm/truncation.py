@@ -134,14 +134,14 @@ def tails(df: DataFrame, key: str, source: str, text: str, page: str) -> DataFra
 
 
 def _limit(ends: DataFrame, unit: str) -> DataFrame:
-    """``source, <unit>_limit`` of the sources whose greatest length is shared by ``LIMIT_VALUES`` texts.
+    """``source, <unit>_limit`` of the sources whose greatest length is shared by ``LIMIT_VALUES`` texts, half of them with an open end.
 
     A limit in bytes may leave up to three bytes unused, where a character would not have fitted.
     """
-    sizes = ends.where(f"source is not null and {unit} > 200").groupBy("source", F.col(unit).alias("n")).agg(F.count_distinct("page_id").alias("values"))
+    sizes = ends.where(f"source is not null and {unit} > 200").groupBy("source", F.col(unit).alias("n")).agg(F.count_distinct("page_id").alias("values"), F.avg((F.col("state") != "complete").cast("int")).alias("open"))
     top = sizes.groupBy("source").agg(F.max("n").alias(f"{unit}_limit"))
     near = F.col("n") == F.col(f"{unit}_limit") if unit == "size" else F.col("n") >= F.col(f"{unit}_limit") - 3
-    return materialize(sizes.join(top, "source").where(near).groupBy("source", f"{unit}_limit").agg(F.sum("values").alias("values")).where(F.col("values") >= LIMIT_VALUES).select("source", f"{unit}_limit"))
+    return materialize(sizes.join(top, "source").where(near).groupBy("source", f"{unit}_limit").agg(F.sum("values").alias("values"), (F.sum(F.col("values") * F.col("open")) / F.sum("values")).alias("open")).where((F.col("values") >= LIMIT_VALUES) & (F.col("open") >= 0.5)).select("source", f"{unit}_limit"))
 
 
 def cut_texts(pages: DataFrame) -> DataFrame:
