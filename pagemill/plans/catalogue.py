@@ -458,14 +458,14 @@ def proper_nouns(spark, d):
 def fix_text_layer(spark, d):
     raw = analysis_rows(spark, d).where("not coalesce(garbled, false) and length(raw_text) > 0").select("page_id", "raw_text")
     both = page_rows(spark, d).where("method = 'vision' and length(markdown) > 0").join(raw, "page_id")
-    return both.select("page_id", correct.correct_by_text_layer(F.col("markdown"), F.col("raw_text")).alias("text"))
+    return correct.correct_by_text_layer(both, "markdown", "raw_text").select("page_id", F.col("markdown").alias("text"))
 
 
 @_query()
 def fix_nouns(spark, d):
     known = nouns.known_nouns(native_texts(spark, d))
     both = page_rows(spark, d).where("method = 'vision' and length(markdown) > 0").join(known, "doc_id")
-    return both.select("page_id", correct.correct_names(F.col("markdown"), F.col("nouns"), F.lit("")).alias("text"))
+    return correct.correct_names(both.withColumn("raw", F.lit("")), "markdown", "nouns", "raw").select("page_id", F.col("markdown").alias("text"))
 
 
 def looped_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -484,7 +484,7 @@ def repetition_windows(spark, d):
 
 @_query()
 def repetition_cut(spark, d):
-    return looped_texts(spark, d).select("page_id", repetition.without_loops(F.col("text")).alias("text"))
+    return repetition.without_loops(looped_texts(spark, d), "text")
 
 
 # Documents -----------------------------------------------------------------------------------------------------------

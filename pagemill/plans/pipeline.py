@@ -53,14 +53,14 @@ def accepted(local: DataFrame) -> DataFrame:
 def repaired(read: DataFrame, known: DataFrame | None, repairs: bool = True) -> DataFrame:
     """Transcripts after their repairs, in this order: loops, plain tables, pipe tables, text layer, names, years, headers."""
     df = read
-    text = F.col("text")
     if repairs:
-        df = df.withColumn("text", align_pipe_tables(plain_tables(repetition.without_loops(text))))
+        df = repetition.without_loops(df, "text")
+        df = df.withColumn("text", plain_tables(F.col("text"))).withColumn("text", align_pipe_tables(F.col("text")))
         # Python functions run for every row they are given, so only pages with a sound text layer are
         sound = (F.length(F.coalesce("raw_text", F.lit(""))) > 0) & ~F.coalesce("garbled", F.lit(False))
-        df = df.where(sound).withColumn("text", correct.correct_by_text_layer(F.col("text"), F.col("raw_text"))).unionByName(df.where(~sound))
+        df = correct.correct_by_text_layer(df.where(sound), "text", "raw_text").unionByName(df.where(~sound))
         if known is not None:
-            df = df.join(known, "doc_id", "left").withColumn("text", correct.correct_names(F.col("text"), F.col("nouns"), F.col("raw_text"))).drop("nouns")
+            df = correct.correct_names(df.join(known, "doc_id", "left"), "text", "nouns", "raw_text").drop("nouns")
     return df.withColumn("text", reinsert_listed(mark_cut_years("text"), F.coalesce("raw_text", F.lit("")), F.col("repeated_texts")))
 
 
