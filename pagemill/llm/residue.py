@@ -18,7 +18,7 @@ MARKER = re.compile(r"<!--\s*page:.*?-->")
 #: The converter's own results, which are no residue.
 OWN_RESULTS = re.compile(r"\[空白页\]|\[图片识别失败\]|\[logo\]|\[装饰图片\]")
 
-_FILL = r"(?:fill[ -]?in|to be (?:completed|supplied|confirmed|determined|added|filled)|insert|enter|your|add|choose|select|placeholder|tbd|tbc|todo|company name|client name|fund name|à compléter|à remplir|insérer|completar|rellenar|insertar|preencher|inserir|a definir|einfügen|ausfüllen|заполнить|вставить|укажите|待补充|待填|待定|待录入|待确认|待完善|请填写|请输入|请选择|此处填写|在此|点击输入|填写|入力してください|記入)"
+_FILL = r"(?:fill[ -]?in|to be (?:completed|supplied|confirmed|determined|added|filled)|insert|enter|your|add|choose|select|placeholder|tbd|tbc|todo|company name|client name|fund name|à compléter|à remplir|insérer|completar|rellenar|insertar|preencher|inserir|a definir|einfügen|ausfüllen|заполнить|вставить|укажите|待补充|待填|待定|待录入|待确认|待完善|请填写|请输入|请选择|此处填写|在此|点击输入|填写|插入|请插入|粘贴|入力してください|記入)"
 #: Delimiter-specific grammars. Each entry: name, pattern, whether prose around a match may explain it away.
 PLACEHOLDERS = (
     ("double braces", re.compile(r"\{\{[^{}\n]{1,80}\}\}|\{\{[^\n]{1,80}?\}\}"), True),
@@ -48,7 +48,7 @@ FILLER_LINE = re.compile(
     r"(?:lorem ipsum\b.*|(?:(?:test|asdf|qwer|foo|bar|blah|xxx|dummy|sample|abc|测试|占位|テスト|тест|prueba|teste|essai)[ \t,.，。]*){2,}"
     r"|(?:sample|dummy|placeholder|filler|body|example) (?:text|copy|content|paragraph)\b[^\n]{0,60}|your (?:heading|text|title|content|headline|logo)\b[^\n]{0,30}"
     r"|[^\n]{0,60}\b(?:copy|text|content) (?:to be|will be) (?:supplied|added|provided|inserted)\b[^\n]{0,30}|(?:replace|insert|add|type|enter) (?:this|your)\b[^\n]{0,60}(?:text|content|paragraph|heading|copy|here)\b[^\n]{0,20}"
-    r"|(?:click|tap) (?:here )?to (?:add|edit|enter)\b[^\n]{0,40}|[^\n]{0,12}(?:正文|内容|标题|文字|段落)[^\n]{0,8}(?:待录入|待补充|待填|占位|在此|预览)[^\n]{0,12}|在此(?:输入|添加|填写|处)[^\n]{0,20}|(?:这里|此处)(?:是|为)?(?:占位|示例|测试|填写)[^\n]{0,30}|请在此[^\n]{0,30}"
+    r"|(?:一二三四五六七八九十|甲乙丙丁戊己庚辛|一二三四五|a ?b ?c ?d ?e ?f ?g|qwerty(?:uiop)?|1234567890)+[ \t,.，。]*|(?:click|tap) (?:here )?to (?:add|edit|enter)\b[^\n]{0,40}|[^\n]{0,12}(?:正文|内容|标题|文字|段落)[^\n]{0,8}(?:待录入|待补充|待填|占位|在此|预览)[^\n]{0,12}|在此(?:输入|添加|填写|处)[^\n]{0,20}|(?:这里|此处)(?:是|为)?(?:占位|示例|测试|填写)[^\n]{0,30}|请在此[^\n]{0,30}"
     r"|texte (?:d['’]exemple|à venir|fictif)\b[^\n]{0,40}|(?:texto|conteúdo|contenido) (?:de (?:exemplo|ejemplo|relleno)|provisório|a inserir|por insertar)\b[^\n]{0,40}|(?:Beispiel|Blind|Platzhalter)text\b[^\n]{0,40}|(?:пример текста|текст-заполнитель|здесь будет текст)[^\n]{0,40}|(?:ここに|ダミー)[^\n]{0,30}(?:入力|テキスト)[^\n]{0,20})",
     re.I,
 )
@@ -81,7 +81,7 @@ _INLINE = re.compile(r"`[^`\n]+`")
 _BLOB = re.compile(r"[A-Za-z0-9+/]{60,}")
 
 #: A quick look that no residue passes: a literal of every grammar, then a pattern for those whose literals are common.
-_LITERALS = ("{{", "{%", "${", "#{", "$", "@@", "__", "<%", "<?", "<<", "««", "[[", "＿", "IMG_OCR", "......", "……", "请", "待", "填", "输入", "记入", "記入", "undefined", "NaN", "null", "XX", "ＸＸ", "××", "某某")
+_LITERALS = ("{{", "{%", "${", "#{", "$", "@@", "__", "<%", "<?", "<<", "««", "[[", "＿", "IMG_OCR", "......", "……", "请", "待", "填", "输入", "插入", "粘贴", "记入", "記入", "undefined", "NaN", "null", "XX", "ＸＸ", "××", "某某")
 _HINT = re.compile(r"%[A-Z(%]|<(?:enter|insert|your|fill|add|please|type|choose|select|placeholder|tbd)|\[[ \t]*[\]A-Za-zÀ-ÿЀ-ӿ]|[(（【〔［][ \t]*(?:fill|to be|insert|enter|your|add|choose|select|placeholder|tbd|tbc|todo|company|client|fund|à |ins|compl|rellenar|preencher|a definir|ein|aus|запол|встав|укаж|N/A|[ \t　]*[）】)])|\{\d|[:：][ \t]*(?:N/A|to be|TB[DC]|TODO|click|à |por |a |[(（【])", re.I)
 
 
@@ -161,7 +161,7 @@ def _all_filler(lines: list[str], body: str) -> bool:
     """Whether filler lines make up ``SHARE`` of the letters; stops as soon as other lines exceed the rest."""
     if re.match(r"\W*lorem ipsum\b", body, re.I) or _pseudo_latin(body):
         return True
-    if len(lines) >= 3 and len(set(lines)) == 1 and len(lines[0]) < 60 and _letters(lines[0]):
+    if len(lines) >= 2 and len(set(lines)) == 1 and len(lines[0]) < 60 and _letters(lines[0]) and not re.search(r"\d", lines[0]):
         return True
     allowed = (1 - SHARE) * _letters(body)
     for line in lines:

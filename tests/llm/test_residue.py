@@ -8,7 +8,7 @@ REPORT = "Revenue of the fund reached USD 1,234 thousand in 2021, as explained i
 
 @pytest.mark.parametrize(
     "text",
-    ["{{ company_name }}", "{%- note -%}", "${report.year}", "#{issuer.code}", "$fund_code$", "%FUND_NAME%", "@@manager@@", "__NAV_VALUE__", "<%= title %>", "<<client>>", "<客户名称>".join("<>"), "[[INSERT DATE]]", "[TBD: amount]", "[Company Name]", "[待补充]", "【请填写基金名称】", "{0}", "[object Object]", "XXXX有限公司", "____年__月__日", "<!-- IMG_OCR:xref-9 -->"],
+    ["{{ company_name }}", "{%- note -%}", "${report.year}", "#{issuer.code}", "$fund_code$", "%FUND_NAME%", "@@manager@@", "__NAV_VALUE__", "<%= title %>", "<<client>>", "<客户名称>".join("<>"), "[[INSERT DATE]]", "[TBD: amount]", "[Company Name]", "[待补充]", "【请填写基金名称】", "［插入图表］", "{0}", "[object Object]", "XXXX有限公司", "____年__月__日", "<!-- IMG_OCR:xref-9 -->"],
 )
 def test_placeholders(text):
     assert classify(f"{M}{REPORT} The fund {text} grew.")[0] == "placeholder"
@@ -32,6 +32,7 @@ def test_form_fields(line):
         ("filler", "Lorem ipsum dolor sit amet, consectetur."),
         ("filler", "test test test\n\ntest test test"),
         ("filler", "正文内容待录入。\n正文内容待录入。"),
+        ("filler", "一二三四五六七八九十\n\n一二三四五六七八九十"),
     ],
 )
 def test_kinds(kind, text):
