@@ -31,6 +31,8 @@ _LAST = re.compile(rf"[{_LETTERS}]+(?:[’'][{_LETTERS}]+)*$")
 _TOKENS = re.compile(rf"[{_LETTERS}]+")
 _CJK_END = re.compile(r"[一-鿿぀-ヿ]$")
 _SPLIT = re.compile("[-‐\u00ad¬]\n")
+_CLOSE, _CJK, _FIGURES = re.compile("[。！？]"), re.compile("[一-鿿぀-ヿ]"), re.compile(r"\d+")
+_OPENING = re.compile(r"[。！？\n]\s*([^\s。！？#|<>*•-][^。！？\n]{23})")
 _BLOB = re.compile(r"[A-Za-z0-9+/=_-]{60,}$")
 _LIST = re.compile(r"\s*(?:[-*•+]|\d{1,3}[.)])\s+")
 _OPEN_BRACKET = re.compile(r"[（(【\[「『《“«][^）)】\]」』》”»]*$")
@@ -40,8 +42,9 @@ def tail(text: str, page: int | None = None) -> tuple[str, str, str]:
     """``(state, token, line)``: how ``text`` ends.
 
     States: ``complete``; ``marker`` (an ellipsis stands for what is missing); ``table`` (a row or table left open);
-    ``heading`` and ``open`` (no closing mark: the token decides); ``blob`` (an unbroken run of code); ``sentence``
-    (Chinese or Japanese text without closing mark).
+    ``heading`` and ``open`` (no closing mark: the token decides); ``blob`` (an unbroken run of code); ``sentence`` and
+    ``figure`` (no closing mark after a character of text without spaces, or after something else). The token is what
+    is looked up: the last word, a heading's last two characters (``# ``), or how the open sentence begins (``^ ``).
     """
     body = text.rstrip()
     if not residue.MARKER.sub("", body).strip() or residue.OWN_RESULTS.search(body[-12:]):
@@ -65,18 +68,26 @@ def tail(text: str, page: int | None = None) -> tuple[str, str, str]:
         return "marker", "", line
     if line.startswith("#"):
         m = _LAST.search(line)
-        return ("heading", m.group().lower() if m else line[-2:], line)
+        return ("heading", m.group().lower() if m else "# " + line[-2:], line)
     if _END.search(line) and not _OPEN_BRACKET.search(line[-60:-1] if line[-1] in "）)】]」』》”»" else line[-60:]):
         return "complete", "", line
     if _BLOB.search(line):
         return "blob", "", line
     if m := _LAST.search(line):
         return "open", m.group().lower(), line
-    return ("sentence" if _CJK_END.search(line) else "figure"), "", line
+    last = _CLOSE.split(line)[-1]
+    return ("sentence" if _CJK_END.search(line) else "figure"), (opening(last) if _CJK.search(last) else ""), line
+
+
+def opening(fragment: str) -> str:
+    """How Chinese or Japanese text that nothing closes begins: its first three characters, figures as one 0; '' if it is shorter."""
+    s = _FIGURES.sub("0", fragment[:24].lstrip())[:3]
+    return "^ " + s if len(s) == 3 else ""
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """``word, n`` over all texts, a text's last token left out; headings' last two characters come as ``# `` + them.
+    """``word, n`` over all texts, a text's last token left out; headings' last two characters come as ``# `` + them, and
+    the openings of sentences without spaces as ``^ `` + them.
 
     Counted within each batch, then summed: a batch sends each word once.
     """
@@ -91,12 +102,15 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
                 if words and t.rstrip().endswith(words[-1]):
                     words.pop()
                 count.update(words)
+                if _CJK.search(t):
+                    count.update([opening(x) for x in _OPENING.findall(t)])
                 for line in t.split("\n")[:-1]:
                     if line.startswith("#") and len(line) > 3:
                         count["# " + line[-2:]] += 1
             low: Counter = Counter()
             for w, n in count.items():
                 low[w.lower()] += n
+            low.pop("", None)
             return [list(low), list(low.values())]
 
         return fn
@@ -158,7 +172,7 @@ def cut_texts(pages: DataFrame) -> DataFrame:
     known = trie(word_counts(pages, "markdown"), KNOWN_BELOW).join(asked.withColumnRenamed("token", "prefix"), "prefix", "left_semi")
     heads = F.col("state") == "heading"
     latin_token = F.col("token").rlike(rf"^[{_LETTERS}’']+$")
-    look = ends.join(broadcast_if_small(limits[0]), "source", "left").join(broadcast_if_small(limits[1]), "source", "left").withColumn("prefix", F.when(heads & ~latin_token, F.concat(F.lit("# "), "token")).otherwise(F.col("token"))).join(known, "prefix", "left")
+    look = ends.join(broadcast_if_small(limits[0]), "source", "left").join(broadcast_if_small(limits[1]), "source", "left").withColumn("prefix", F.col("token")).join(known, "prefix", "left")
     unknown = F.coalesce("here", F.lit(0)) < KNOWN
     partial = unknown & (F.coalesce("below", F.lit(0)) >= KNOWN_BELOW)
     reason = (
@@ -166,6 +180,7 @@ def cut_texts(pages: DataFrame) -> DataFrame:
         .when(F.col("state").isin("marker", "table"), F.col("state"))
         .when((F.col("state") == "open") & partial, "word")
         .when(F.col("state").isin("open", "sentence", "figure") & F.col("prose"), "sentence")
+        .when(F.col("state").isin("sentence", "figure") & F.startswith("token", F.lit("^ ")) & ~unknown, "sentence")
         .when(heads & latin_token & partial, "word")
         .when(heads & ~latin_token & unknown, "sentence")
     )
