@@ -58,8 +58,9 @@ def _utf8_spans(codec: str) -> tuple[re.Pattern, re.Pattern]:
 
 #: Characters that wrongly decoded text may have held: Latin, Cyrillic, Greek, punctuation, currency, CJK, kana, Hangul, full-width forms, emoji.
 _PLAUSIBLE = re.compile(r"[\n -ſΑ-ωЁА-яё‐-⁄₠-₿℀-™⅐-⋿■-➿　-ヿ一-鿿가-힣＀-￯\U0001f300-\U0001faff️]+")
-#: GB2312 read as a one-byte western encoding: pairs of bytes from 0xA1, at least three in a row.
-_GB_LATIN = re.compile(r"[\xa1-\xf7]\n?[\xa1-\xfe](?:\n?[\xa1-\xf7]\n?[\xa1-\xfe]){2,}")
+#: GB2312 read as a one-byte western encoding: pairs of bytes from 0xA1, at least three in a row, or two beside Chinese.
+_PAIR = r"[\xa1-\xf7]\n?[\xa1-\xfe]"
+_GB_LATIN = re.compile(rf"{_PAIR}(?:\n?{_PAIR}){{2,}}|(?<=[一-鿿]){_PAIR}\n?{_PAIR}(?![\xa1-\xfe])|(?<![\xa1-\xfe]){_PAIR}\n?{_PAIR}(?=[一-鿿])")
 _UTF8_IN_GB = re.compile(rb"(?:[\xe2-\xe9\xef]\n?[\x80-\xbf]\n?[\x80-\xbf]\n?|[\xc2-\xdf]\n?[\x80-\xbf]\n?){3,}")
 #: Characters that two-byte encodings yield, a line end between them allowed.
 _WIDE = r"[ˇ-˙‐-⟿⺀-鿿가-힣豈-﫿︰-￯\ue000-\uf8ff]"

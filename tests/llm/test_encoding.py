@@ -37,6 +37,11 @@ def test_gb_as_latin_and_twice():
     assert R.restore("As participaÃƒÂ§ÃƒÂµes")[0] == "As participações"
 
 
+def test_short_stretch_beside_chinese():
+    assert R.restore("职业教育贡" + "献了".encode("gb18030").decode("latin-1") + "54.0%")[0] == "职业教育贡献了54.0%"
+    assert R.restore("«Él ¿ªº?»") == ("«Él ¿ªº?»", 0, 0)
+
+
 def test_gb_as_big5():
     run = "投资组合的净利润同比增长"
     bad = run.encode("gb18030").decode("cp950", "replace")
