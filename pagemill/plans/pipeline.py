@@ -25,6 +25,11 @@ def _attempt(method: str, markdown: str, warnings: str) -> Column:
     return F.struct(F.lit(method).alias("method"), ok.alias("ok"), F.col(warnings).alias("warnings"))
 
 
+def split_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages whose text layer can be used, and those that have to be read from their image."""
+    return pages.where(F.col("native_candidate")), pages.where(~F.coalesce("native_candidate", F.lit(False)))
+
+
 def local_ways(pages: DataFrame) -> DataFrame:
     """Pages with the checks of their two local ways: native text, then a table rebuilt from coordinates.
 

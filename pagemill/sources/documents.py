@@ -64,7 +64,7 @@ def export_texts(df: DataFrame, name: str, text: str, root: str) -> None:
             full = f"{base}/{r[0]}"
             system.create_dir(os.path.dirname(full), recursive=True)
             with system.open_output_stream(full) as out:
-                out.write((r[1] or "").encode())
+                out.write(bytes(r[1]) if isinstance(r[1], (bytes, bytearray)) else (r[1] or "").encode())
 
     df.select(name, text).foreachPartition(save)
 
@@ -78,3 +78,30 @@ def export_canonical(texts: DataFrame, root: str) -> None:
     """``<doc_id>/canonical.md`` and a named copy beside the document's folder."""
     both = texts.select(F.explode(F.array(F.concat_ws("/", "doc_id", F.lit("canonical.md")), F.concat("doc_id", F.lit(".md")))).alias("name"), "markdown")
     export_texts(both, "name", "markdown", root)
+
+
+def export_errors(errors: DataFrame, root: str) -> None:
+    """``<doc_id>/errors.txt`` for each document that failed."""
+    export_texts(errors.select(F.concat_ws("/", "doc_id", F.lit("errors.txt")).alias("name"), "errors"), "name", "errors", root)
+
+
+def export_assets(images: DataFrame, root: str) -> None:
+    """``<doc_id>/assets/page-NNN-full.png`` for each page image: ``doc_id, page_number, image``."""
+    from pagemill.functions.text import page_image_name
+
+    export_texts(images.select(F.concat_ws("/", "doc_id", F.lit("assets"), page_image_name(F.col("page_number"))).alias("name"), "image"), "name", "image", root)
+
+
+def delete_orphans(orphans: DataFrame, root: str) -> None:
+    """Delete the files of ``merge.orphan_assets`` under ``root``; what is gone already is passed over."""
+
+    def drop(rows: Iterable) -> None:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + os.path.abspath(root))
+        for r in rows:
+            path = f"{base}/{r.doc_id}/{r.asset}"
+            if system.get_file_info(path).type != fs.FileType.NotFound:
+                system.delete_file(path)
+
+    orphans.select("doc_id", "asset").foreachPartition(drop)

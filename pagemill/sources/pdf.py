@@ -24,6 +24,9 @@ SCHEMA = (
     "images array<struct<xref:int,rect_no:int,y0:double,ext:string,image:binary>>"
 )
 
+#: Resolution at which pages are rendered for a model; a fixed value.
+PAGE_DPI = 150
+
 
 class File(InputPartition):
     def __init__(self, path: str):
@@ -121,3 +124,31 @@ class PdfSource(DataSource):
 def exploded(pages: DataFrame, part: str) -> DataFrame:
     """One of ``spans``, ``words``, ``tables`` and ``images`` as a table of its own."""
     return pages.select("doc_id", "page_number", F.explode(part).alias("p")).select("doc_id", "page_number", "p.*")
+
+
+def _mupdf_page(path: str, number: int, dpi: int) -> bytes:
+    try:
+        import fitz
+    except ImportError as e:
+        raise ImportError("rendering pages needs PyMuPDF, or a renderer") from e
+    with fitz.open(path) as doc:
+        return doc[number - 1].get_pixmap(dpi=dpi, alpha=False).tobytes("png")
+
+
+def render(jobs: DataFrame, dpi: int = PAGE_DPI, renderer: Callable[[str, int, int], bytes] = _mupdf_page) -> DataFrame:
+    """``jobs`` (``path``, ``page_number``, ...) with the page as PNG in ``image``.
+
+    Only pages that go to a model are rendered, in the tasks that will send them, so images never enter a shuffle.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import BinaryType, StructField
+
+    out = StructType([*jobs.schema.fields, StructField("image", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index
+            images = [renderer(p, n, dpi) for p, n in zip(b.column(at("path")).to_pylist(), b.column(at("page_number")).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(images, type=pa.binary())], names=[*b.schema.names, "image"])
+
+    return jobs.mapInArrow(run, out)
