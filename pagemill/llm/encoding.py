@@ -135,8 +135,20 @@ def _gb_latin(text: str) -> tuple[str, int, int]:
     return _GB_LATIN.sub(dec, text), n, covered
 
 
+@lru_cache(maxsize=1)
+def _any_pair() -> re.Pattern:
+    """A lead and a continuation byte of UTF-8 through any one-byte encoding, or two GB2312 pairs through a western one."""
+    pairs = []
+    for codec, _ in SINGLE:
+        cls = lambda lo, hi: "[" + _esc(c for c, b in _byte_map(codec).items() if lo <= b <= hi) + "]"  # noqa: B023, E731
+        pairs.append(cls(0xC2, 0xF4) + r"\n?" + cls(0x80, 0xBF))
+    return re.compile("|".join([*pairs, rf"{_PAIR}\n?{_PAIR}"]))
+
+
 def _one_byte(text: str) -> tuple[str, int]:
     """The one-byte reading that explains most characters; by chance others may fit a few."""
+    if not _any_pair().search(text):
+        return text, 0
     tries = [_single(text, codec, least) for codec, least in SINGLE] + [_gb_latin(text)]
     out, n, covered = max(tries, key=lambda t: t[2])
     return (out, n) if covered else (text, 0)
@@ -150,12 +162,12 @@ def _utf8_gb(text: str) -> tuple[str, int]:
         nonlocal n
         run = m.group()
         try:
-            parts = [c.encode("gb18030") for c in run]
+            data = run.encode("gb18030")
         except UnicodeEncodeError:
             return run
-        data = b"".join(parts)
         if not _UTF8_IN_GB.search(data):
             return run
+        parts = [c.encode("gb18030") for c in run]
         starts, at = {}, 0
         for k, p in enumerate(parts):
             starts[at] = k
@@ -180,7 +192,7 @@ def _utf8_gb(text: str) -> tuple[str, int]:
             k += 1
         return "".join(out)
 
-    return _WIDE_RUN.sub(dec, text), n
+    return (_WIDE_RUN.sub(dec, text), n) if _UTF8_IN_GB.search(text.encode("gb18030", "replace")) else (text, 0)
 
 
 class Restorer:
@@ -191,6 +203,9 @@ class Restorer:
         self.floor = min(freq.values(), default=-16.0) - 1.0
         #: What a character of sound text scores on average.
         self.typical = sum(math.exp(v) * v for v in freq.values()) if freq else 0.0
+        common = _esc(c for c, v in freq.items() if v > self.typical - 2.5)
+        #: A character that makes a run worth scoring: text of common characters only was read rightly.
+        self.rare = re.compile(f"(?![{common}]){_WIDE}" if common else _WIDE)
 
     def score(self, s: str) -> float:
         get, floor = self.freq.get, self.floor
@@ -204,7 +219,7 @@ class Restorer:
         def dec(m):
             nonlocal n
             run = m.group()
-            if len(run) < LEAST_RUN:
+            if len(run) < LEAST_RUN or not self.rare.search(run):
                 return run
             now = self.score(run)
             if now > -9.0 and "" > max(run) < "가":  # common characters of this corpus
@@ -223,7 +238,7 @@ class Restorer:
             n += 1
             return _line_ends_kept(run, kept)
 
-        return _WIDE_RUN.sub(lambda m: self._parts(m, dec), text), n
+        return (_WIDE_RUN.sub(lambda m: self._parts(m, dec), text), n) if self.rare.search(text) else (text, 0)
 
     @staticmethod
     def _parts(m, dec):
