@@ -142,25 +142,22 @@ class Model:
         """Of every sentence the log likelihoods, the letters, and whether it is a whole sentence."""
         if len(self.ids) > MEMORY:
             self._clear()
-        get, ids, starts, letters, whole = self.ids.get, [], [], [], []
+        units: list[str] = []
+        starts, letters, whole = [], [], []
         for s in texts:
             runs = _RUN.findall(s)
-            starts.append(len(ids))
-            size = sum(map(len, runs))
-            wide = 0
-            if not s.isascii():
-                far = [r for r in runs if r[0] >= "⺀"]
+            starts.append(len(units))
+            size, wide = sum(map(len, runs)), 0
+            if not s.isascii() and (far := [r for r in runs if r[0] >= "⺀"]):
                 wide = sum(map(len, far))
-                if wide * 3 >= size - wide:  # foreign names and terms in Chinese or Japanese text don't count
-                    runs = far or runs
-                elif wide:
-                    runs = [r for r in runs if r[0] < "⺀"]
-            for r in runs:
-                for u in [r[i : i + 2] for i in range(len(r) - 1)] if r[0] >= "⺀" and len(r) > 2 else (r,):
-                    k = get(u)
-                    ids.append(self.id_of(u) if k is None else k)
+                # in Chinese or Japanese text foreign names and terms don't count
+                runs = [u for r in far for u in ([r[i : i + 2] for i in range(len(r) - 1)] or (r,))] if wide * 3 >= size - wide else [r for r in runs if r[0] < "⺀"]
+            units += runs
             letters.append(size)
             whole.append(wide >= LEAST_WIDE or (size - wide >= LEAST_LETTERS and len(runs) > 3))
+        ids = list(map(self.ids.get, units))
+        if None in ids:
+            ids = [self.ids[u] if u in self.ids else self.id_of(u) for u in units]
         ll = np.zeros((len(texts), len(self.langs)))
         if ids:
             full = [i for i, n in enumerate(letters) if n]
