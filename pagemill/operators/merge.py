@@ -39,13 +39,14 @@ def brand_lines(outputs: DataFrame, manifest: DataFrame, share: float = BRAND_SH
     """Lines that stand among the first three of many pages of a document, in the order they are to be read: ``doc_id, brand``.
 
     A line counts once for each time it stands there. Markers of images and the document's repeated texts don't count.
+    Page numbers are kept to the counts, so that a plan that also merges these outputs reads and exchanges them once.
     """
     body = strip_u(strip_markers("content"))
     lines = F.filter(F.transform(F.split(body, "\n", -1), strip_u), lambda l: F.length(l) > 0)
     total = outputs.groupBy("doc_id").agg(F.count("*").alias("n"))
-    top = outputs.select("doc_id", F.posexplode(F.slice(lines, 1, TOP_LINES)).alias("pos", "line")).where(~F.col("line").isin(LOGO, DECORATION, FAILED_IMAGE))
+    top = outputs.select("doc_id", "page_number", F.posexplode(F.slice(lines, 1, TOP_LINES)).alias("pos", "line")).where(~F.col("line").isin(LOGO, DECORATION, FAILED_IMAGE))
     listed = manifest.select("doc_id", F.explode("repeated_texts").alias("line")).distinct()
-    count = top.join(listed, ["doc_id", "line"], "left_anti").groupBy("doc_id", "line").agg(F.count("*").alias("c"), F.min("pos").alias("pos"))
+    count = top.join(listed, ["doc_id", "line"], "left_anti").groupBy("doc_id", "line").agg(F.count("page_number").alias("c"), F.min("pos").alias("pos"))
     kept = count.join(total, "doc_id").where(F.col("c") >= F.col("n") * share)
     ordered = F.sort_array(F.collect_list(F.struct("pos", (-F.col("c")).alias("c"), "line")))
     return kept.groupBy("doc_id").agg(F.transform(ordered, lambda s: s["line"]).alias("brand"))

@@ -130,10 +130,10 @@ def _conversion_sql(source: str, result: str) -> str:
 
 
 @_query(f"""with both_texts as (select distinct a.page_id, coalesce(a.raw_text, '') as s, coalesce(p.markdown, '') as r from analysis a join pages p using (page_id))
-select page_id, array_to_string({_conversion_sql('s', 'r')}, ';') as warnings from both_texts""")
+select distinct page_id, array_to_string({_conversion_sql('s', 'r')}, ';') as warnings from both_texts""")
 def validate_conversion(spark, d):
     texts = read_table(spark, d, "analysis").select("page_id", F.coalesce("raw_text", F.lit("")).alias("s")).join(read_table(spark, d, "pages").select("page_id", F.coalesce("markdown", F.lit("")).alias("r")), "page_id")
-    return texts.distinct().select("page_id", F.array_join(Q.conversion_warnings(F.col("s"), F.col("r")), ";").alias("warnings"))
+    return texts.select("page_id", F.array_join(Q.conversion_warnings(F.col("s"), F.col("r")), ";").alias("warnings")).distinct()
 
 
 def _page_warnings_sql(markdown: str, method: str, tables: str, body: str, raw: str) -> str:
@@ -147,11 +147,11 @@ def _page_warnings_sql(markdown: str, method: str, tables: str, body: str, raw:
 
 @_query(f"""with src as (select distinct p.page_id, p.markdown, p.method, a.has_tables, a.body_text, a.raw_text from pages p join analysis a using (page_id)),
 w as (select page_id, {_page_warnings_sql('markdown', "coalesce(method, '')", 'has_tables', 'body_text', 'raw_text')} as w, raw_text from src)
-select page_id, array_to_string(w, ';') as warnings, len(list_filter(w, lambda x: regexp_matches(x, '短行|表格'))) > 0 as coordinates, len(list_filter(w, lambda x: contains(x, '不足源文本'))) > 0 and length(coalesce(raw_text, '')) > 500 as fallback from w""")
+select distinct page_id, array_to_string(w, ';') as warnings, len(list_filter(w, lambda x: regexp_matches(x, '短行|表格'))) > 0 as coordinates, len(list_filter(w, lambda x: contains(x, '不足源文本'))) > 0 and length(coalesce(raw_text, '')) > 500 as fallback from w""")
 def validate_page(spark, d):
-    src = read_table(spark, d, "pages").select("page_id", "markdown", "method").join(read_table(spark, d, "analysis").select("page_id", "has_tables", "body_text", "raw_text"), "page_id").distinct()
+    src = read_table(spark, d, "pages").select("page_id", "markdown", "method").join(read_table(spark, d, "analysis").select("page_id", "has_tables", "body_text", "raw_text"), "page_id")
     w = src.withColumn("w", Q.page_warnings(F.col("markdown"), F.coalesce("method", F.lit("")), F.col("has_tables"), F.col("body_text"), F.col("raw_text")))
-    return w.select("page_id", F.array_join("w", ";").alias("warnings"), Q.wants_coordinates(F.col("w")).alias("coordinates"), Q.wants_fallback(F.col("w"), F.col("raw_text")).alias("fallback"))
+    return w.select("page_id", F.array_join("w", ";").alias("warnings"), Q.wants_coordinates(F.col("w")).alias("coordinates"), Q.wants_fallback(F.col("w"), F.col("raw_text")).alias("fallback")).distinct()
 
 
 @_query(f"select distinct page_id, array_to_string(regexp_extract_all(coalesce(raw_text, ''), '{HAN_SQL}{{3,}}'), ';') as phrases, cast(length(regexp_replace(coalesce(raw_text, ''), '[^\\p{{L}}]', '', 'g')) as bigint) as letters from analysis")
@@ -241,7 +241,7 @@ shown as (select page_id, line_no, case when not in_block or n_rows < 3 then l w
   else concat('| ', array_to_string(list_concat(cells, list_transform(range(w - len(cells)), lambda i: '')), ' | '), ' |', case when k = 1 then concat(chr(10), '| ', array_to_string(list_transform(range(w), lambda i: '---'), ' | '), ' |') else '' end) end as o from counted)
 select page_id, string_agg(o, chr(10) order by line_no) as fixed from shown where o is not null group by 1""")
 def plain_table_fix(spark, d):
-    return read_table(spark, d, "analysis").select("page_id", plain_tables(F.coalesce("raw_text", F.lit(""))).alias("fixed")).distinct()
+    return analysis_rows(spark, d).select("page_id", plain_tables(F.coalesce("raw_text", F.lit(""))).alias("fixed"))
 
 
 _RULE = r"^[\s\p{Z}\x{0b}\x{85}]*\|[\s\p{Z}\x{0b}\x{85}\-:|]+\|"
@@ -258,7 +258,7 @@ select page_id, string_agg(case when not in_block then l when line_no = first_no
   else concat('| ', array_to_string(list_transform(list_concat(cells, list_transform(range(w - len(cells)), lambda i: '')), lambda c: {_s('c')}), ' | '), ' |') end, chr(10) order by line_no) as fixed from wide group by 1""")
 def pipe_table_align(spark, d):
     t = F.replace(F.coalesce("markdown", F.lit("")), F.lit(" |  | "), F.lit(" | "))
-    return read_table(spark, d, "pages").select("page_id", align_pipe_tables(t).alias("fixed")).distinct()
+    return page_rows(spark, d).select("page_id", align_pipe_tables(t).alias("fixed"))
 
 
 @_query(f"""with src as (select distinct page_id, coalesce(raw_text, '') as t from analysis),
