@@ -7,7 +7,7 @@ threshold are drawn; nothing is sorted, and a larger budget draws a superset.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.plans.storage import materialize
@@ -94,6 +94,7 @@ def draw(sizes: DataFrame, targets: DataFrame, budget: int | None = None) -> tup
         n, tok = have.get(s, (0, 0))
         rows.append((s, share, most, n, tok, float(share / total_share * size), "absent" if not n else "short" if share / total_share * size > tok * most else "met"))
     plan = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, documents bigint, available bigint, wanted double, status string")
-    all_drawn = got.agg(F.sum("drawn").alias("all"))
-    out = plan.join(F.broadcast(got), "source", "left").join(F.broadcast(all_drawn)).select("source", "target_share", "max_repeats", "documents", "available", F.round("wanted", 3).alias("wanted"), F.coalesce("drawn", F.lit(0)).alias("drawn"), F.round(F.coalesce("drawn", F.lit(0)) / F.col("all"), 6).alias("actual_share"), "status")
+    every = Window.partitionBy(F.lit(0))  # the report has a row for each target, not more
+    report = plan.join(F.broadcast(got), "source", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    out = report.select("source", "target_share", "max_repeats", "documents", "available", F.round("wanted", 3).alias("wanted"), "drawn", F.round(F.try_divide(F.col("drawn"), F.sum("drawn").over(every)), 6).alias("actual_share"), "status")
     return drawn, out

@@ -205,6 +205,6 @@ def report(packed: DataFrame, capacity: int) -> DataFrame:
         F.sum("used").alias("tokens"),
         F.count("*").alias("containers"),
         F.ceil(F.sum("used") / capacity).alias("least_containers"),
-        F.round(F.sum("used") / (F.count("*") * F.lit(capacity)), 6).alias("fill"),
+        F.round(F.try_divide(F.sum("used"), F.count("*") * F.lit(capacity)), 6).alias("fill"),
         F.max("used").alias("fullest"),
     )

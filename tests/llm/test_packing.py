@@ -63,6 +63,8 @@ def test_pack(spark, monkeypatch):
 
 def test_pack_nothing(spark):
     assert packed(spark, [], 100) == []
+    none = spark.createDataFrame([], "doc_id bigint, tokens int")
+    assert P.report(P.pack(none, "doc_id", 10), 10).first().containers == 0
     assert [r.container for r in packed(spark, [0, 0], 100)] == [0, 0]
 
 
