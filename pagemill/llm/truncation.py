@@ -24,6 +24,9 @@ LIMIT_VALUES = 5
 #: Occurrences that make a token a known word; prefixes of words at least so frequent count.
 KNOWN, KNOWN_BELOW = 3, 3
 
+#: A token that is so many times as often the beginning of longer words as a word is taken for a beginning.
+BEGINS = 20
+
 _END = re.compile(r"[.!?。！？…；;：:»”’\"'」』）)】\]〉》|>*`~]\s*$")
 _ELLIPSIS = re.compile(r"(?:\[(?:\.{2,}|…)\]|\((?:\.{2,}|…)\)|\.{3,}|…+)\s*$")
 _LETTERS = r"A-Za-zÀ-ɏͰ-ϿЀ-ӿ"
@@ -178,7 +181,7 @@ def cut_texts(pages: DataFrame) -> DataFrame:
     reason = (
         F.when((F.col("size") == F.col("size_limit")) | ((F.col("bytes") >= F.col("bytes_limit") - 3) & ~F.col("state").isin("complete", "blob")), F.when(F.col("state") != "residue", "limit"))
         .when(F.col("state").isin("marker", "table"), F.col("state"))
-        .when((F.col("state") == "open") & partial, "word")
+        .when((F.col("state") == "open") & (partial | (F.coalesce("below", F.lit(0)) >= BEGINS * F.greatest("here", F.lit(1)))), "word")
         .when(F.col("state").isin("open", "sentence", "figure") & F.col("prose"), "sentence")
         .when(F.col("state").isin("sentence", "figure") & F.startswith("token", F.lit("^ ")) & ~unknown, "sentence")
         .when(heads & latin_token & partial, "word")
