@@ -28,7 +28,7 @@ KNOWN, KNOWN_BELOW = 3, 3
 BEGINS = 20
 
 _END = re.compile(r"[.!?。！？…；;：:»”’\"'」』）)】\]〉》|>*`~]\s*$")
-_ELLIPSIS = re.compile(r"(?:\[(?:\.{2,}|…)\]|\((?:\.{2,}|…)\)|\.{3,}|…+)\s*$")
+_ELLIPSIS = re.compile(r"(?:�|\[(?:\.{2,}|…)\]|\((?:\.{2,}|…)\)|\.{3,}|…+)\s*$")
 _LETTERS = r"A-Za-zÀ-ɏͰ-ϿЀ-ӿ"
 _LAST = re.compile(rf"[{_LETTERS}]+(?:[’'][{_LETTERS}]+)*$")
 _TOKENS = re.compile(rf"[{_LETTERS}]+")
@@ -44,7 +44,7 @@ _OPEN_BRACKET = re.compile(r"[（(【\[「『《“«][^）)】\]」』》”»]
 def tail(text: str, page: int | None = None) -> tuple[str, str, str]:
     """``(state, token, line)``: how ``text`` ends.
 
-    States: ``complete``; ``marker`` (an ellipsis stands for what is missing); ``table`` (a row or table left open);
+    States: ``complete``; ``marker`` (an ellipsis, or half a character, stands for what is missing); ``table`` (a row or table left open);
     ``heading`` and ``open`` (no closing mark: the token decides); ``blob`` (an unbroken run of code); ``sentence`` and
     ``figure`` (no closing mark after a character of text without spaces, or after something else). The token is what
     is looked up: the last word, a heading's last two characters (``# ``), or how the open sentence begins (``^ ``).
@@ -140,7 +140,7 @@ def tails(df: DataFrame, key: str, source: str, text: str, page: str) -> DataFra
                 if state != "complete" and state != "blob" and residue.classify(t)[0]:
                     state = "residue"
                 prose = len(_LIST.sub("", line)) >= 30 or _LIST.match(line) is not None or len(re.findall(r"\w+", line)) > 3
-                for col, v in zip(out, (k, s, len(t), len(t.encode()), state, token, prose)):
+                for col, v in zip(out, (k, s, len(t), len(t.rstrip("�").encode()), state, token, prose)):
                     col.append(v)
             return out
 
@@ -153,7 +153,8 @@ def tails(df: DataFrame, key: str, source: str, text: str, page: str) -> DataFra
 def _limit(ends: DataFrame, unit: str) -> DataFrame:
     """``source, <unit>_limit`` of the sources whose greatest length is shared by ``LIMIT_VALUES`` texts, half of them with an open end.
 
-    A limit in bytes may leave up to three bytes unused, where a character would not have fitted.
+    A limit in bytes may leave up to three bytes unused, where a character would not have fitted; half a character at
+    the end (U+FFFD) does not count.
     """
     sizes = ends.where(f"source is not null and {unit} > 200").groupBy("source", F.col(unit).alias("n")).agg(F.count_distinct("page_id").alias("values"), F.avg((F.col("state") != "complete").cast("int")).alias("open"))
     top = sizes.groupBy("source").agg(F.max("n").alias(f"{unit}_limit"))
@@ -179,7 +180,7 @@ def cut_texts(pages: DataFrame) -> DataFrame:
     unknown = F.coalesce("here", F.lit(0)) < KNOWN
     partial = unknown & (F.coalesce("below", F.lit(0)) >= KNOWN_BELOW)
     reason = (
-        F.when((F.col("size") == F.col("size_limit")) | ((F.col("bytes") >= F.col("bytes_limit") - 3) & ~F.col("state").isin("complete", "blob")), F.when(F.col("state") != "residue", "limit"))
+        F.when((F.col("size") == F.col("size_limit")) | ((F.col("bytes") >= F.col("bytes_limit") - 3) & ~F.col("state").isin("complete", "blob")) | ((F.col("bytes") == F.col("bytes_limit")) & (F.col("state") == "blob")), F.when(F.col("state") != "residue", "limit"))
         .when(F.col("state").isin("marker", "table"), F.col("state"))
         .when((F.col("state") == "open") & (partial | (F.coalesce("below", F.lit(0)) >= BEGINS * F.greatest("here", F.lit(1)))), "word")
         .when(F.col("state").isin("open", "sentence", "figure") & F.col("prose"), "sentence")
@@ -204,7 +205,7 @@ def cut_warnings(records: DataFrame) -> DataFrame:
     words = shapes.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace("word", rf"[{_LETTERS}]+$", "")), F.lit(rf"([{_LETTERS}]+)"), F.lit(1))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     tokens = trie(words, KNOWN_BELOW).select(F.col("prefix").alias("token"), F.col("below").alias("t_below"), F.col("here").alias("t_here"))
     look = each.join(nodes.withColumnRenamed("prefix", "shape"), "shape", "left").join(tokens, "token", "left")
-    reason = F.when(F.col("below") * 2 >= F.col("here"), "prefix").when((F.length("token") > 0) & (F.coalesce("t_here", F.lit(0)) == 0) & (F.col("t_below") >= KNOWN_BELOW), "word").when(F.col("shape").rlike(r"(\.{3}|…|\[\.\.\.\])$"), "marker")
+    reason = F.when(F.col("below") * 2 >= F.col("here"), "prefix").when((F.length("token") > 0) & (F.coalesce("t_here", F.lit(0)) == 0) & (F.col("t_below") >= KNOWN_BELOW), "word").when(F.col("shape").rlike(r"(\.{3}|…|\[\.\.\.\]|�)$"), "marker")
     return look.withColumn("reason", reason).where("reason is not null").select("page_id", "warning", "reason")
 
 

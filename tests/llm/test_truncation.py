@@ -9,7 +9,7 @@ def test_tails():
     assert state("Ends well.") == ("complete", "")
     assert state("Ends mid sen") == ("open", "sen")
     assert state("经营现金") == ("sentence", "^ 经营现") and state("他们") == ("sentence", "")
-    assert state("cut …")[0] == state("cut [...]")[0] == "marker"
+    assert state("cut …")[0] == state("cut [...]")[0] == state("字符被切�")[0] == "marker"
     assert state("| a | b |\n| --- | --- |\n| 1 | 2 |")[0] == "complete"
     assert state("| a | b |\n| --- | --- |\n| 1 | ")[0] == "table"
     assert state("<table><tr><td>1</td></tr></table>")[0] == "complete"
