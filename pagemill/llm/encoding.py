@@ -65,6 +65,14 @@ _UTF8_IN_GB = re.compile(rb"(?:[\xe2-\xe9\xef]\n?[\x80-\xbf]\n?[\x80-\xbf]\n?|[\
 #: Characters that two-byte encodings yield, a line end between them allowed.
 _WIDE = r"[ˇ-˙‐-⟿⺀-鿿가-힣豈-﫿︰-￯\ue000-\uf8ff]"
 _WIDE_RUN = re.compile(rf"{_WIDE}(?:\n?{_WIDE})+")
+_HIGH = re.compile("[À-ÿ]+")
+_KANA, _RUSSIAN = re.compile("[぀-ヿ]"), re.compile("[А-яЁё]")
+#: Cyrillic one-byte encodings taken for each other or for a western one, and the letters that give such text away.
+CYRILLIC = (("cp1251", "cp866"), ("latin", "cp1251"), ("latin", "koi8_r"), ("latin", "cp866"))
+_ODD_CYRILLIC = re.compile("[\xa0-¿ЂЃѓЉЊЌЎўЏђљњќћџҐґЄєЇїІіЈјЅѕ‚„†‡‰‹›€][Ѐ-ӿ®\xad]|[Ѐ-ӿ][®\xad¤¬§ҐЎўЁЂЃ]|[À-ÿ]{4}")
+_CYRILLIC_RUN = re.compile("[^\x00-\x7f](?:[^\x00-\x7f]|\n(?=[^\x00-\x7f]))+")
+#: Characters by which UTF-8 read as Shift JIS is known; fixed values (the lead bytes E3 and E4 to E9).
+_SJIS_SIGNS = re.compile("[縺繧繝縲譁蟷蜑邨驟髢]")
 _CJK, _ALPHABETIC = re.compile("[一-鿿぀-ヿ]"), re.compile("[А-яЁёÀ-ÿ‐-‧«»\n]+")
 #: A UTF-8 punctuation mark (E2 80 xx) seen through a one-byte encoding; nothing natural looks like it.
 _MARKS = re.compile("[‐-‧‰-›]")
@@ -121,6 +129,8 @@ def _gb_latin(text: str) -> tuple[str, int, int]:
     def dec(m):
         nonlocal n, covered
         raw = m.group().replace("\n", "")
+        if len(raw) > 5 and _HIGH.fullmatch(raw):
+            return m.group()  # letters only: Cyrillic looks like this, Chinese hardly ever
         try:
             out = raw.encode("latin-1").decode("gb2312")
         except UnicodeError:
@@ -128,6 +138,11 @@ def _gb_latin(text: str) -> tuple[str, int, int]:
                 out = raw.encode("latin-1").decode("gb18030")
             except UnicodeError:
                 return m.group()
+        if len(_KANA.findall(out)) * 5 >= len(out):  # kana stand in the same rows of EUC-JP, the rest does not
+            try:
+                out = raw.encode("latin-1").decode("euc_jp")
+            except UnicodeError:
+                pass
         n += 1
         covered += len(raw)
         return _line_ends_kept(m.group(), out)
@@ -135,6 +150,35 @@ def _gb_latin(text: str) -> tuple[str, int, int]:
     return _GB_LATIN.sub(dec, text), n, covered
 
 
+@lru_cache(maxsize=1)
+def _sjis_spans() -> re.Pattern:
+    """Shift JIS seen through a one-byte western encoding: three pairs or more; a second byte may be an ASCII letter."""
+    back = _byte_map("latin")
+    lead = "[" + _esc(c for c, b in back.items() if 0x81 <= b <= 0x9F or 0xE0 <= b <= 0xEF) + "]"
+    tail = "[@-~" + _esc(c for c, b in back.items() if 0x80 <= b <= 0xFC) + "]"
+    return re.compile(rf"{lead}\n?{tail}(?:\n?{lead}\n?{tail}){{2,}}")
+
+
+def _sjis_latin(text: str) -> tuple[str, int, int]:
+    """Decode Shift JIS seen through a one-byte western encoding; half of what comes out must be kana or Chinese characters."""
+    back, n, covered = _byte_map("latin"), 0, 0
+
+    def dec(m):
+        nonlocal n, covered
+        raw = m.group().replace("\n", "")
+        try:
+            out = bytes(back.get(c, ord(c) & 0xFF) for c in raw).decode("cp932")
+        except UnicodeError:
+            return m.group()
+        if len(_CJK.findall(out)) * 2 < len(out) or not _KANA.search(out):
+            return m.group()
+        n += 1
+        covered += len(raw)
+        return _line_ends_kept(m.group(), out)
+
+    return _sjis_spans().sub(dec, text), n, covered
+
+
 @lru_cache(maxsize=1)
 def _any_pair() -> re.Pattern:
     """A lead and a continuation byte of UTF-8 through any one-byte encoding, or two GB2312 pairs through a western one."""
@@ -147,27 +191,27 @@ def _any_pair() -> re.Pattern:
 
 def _one_byte(text: str) -> tuple[str, int]:
     """The one-byte reading that explains most characters; by chance others may fit a few."""
-    if not _any_pair().search(text):
+    if not _any_pair().search(text) and not _sjis_spans().search(text):
         return text, 0
-    tries = [_single(text, codec, least) for codec, least in SINGLE] + [_gb_latin(text)]
+    tries = [_single(text, codec, least) for codec, least in SINGLE] + [_gb_latin(text), _sjis_latin(text)]
     out, n, covered = max(tries, key=lambda t: t[2])
     return (out, n) if covered else (text, 0)
 
 
-def _utf8_gb(text: str) -> tuple[str, int]:
-    """Decode UTF-8 seen through GB18030; a byte that was lost at the end of a span becomes U+FFFD."""
+def _utf8_gb(text: str, codec: str = "gb18030") -> tuple[str, int]:
+    """Decode UTF-8 seen through a two-byte encoding; a byte that was lost at the end of a span becomes U+FFFD."""
     n = 0
 
     def dec(m):
         nonlocal n
         run = m.group()
         try:
-            data = run.encode("gb18030")
+            data = run.encode(codec)
         except UnicodeEncodeError:
             return run
         if not _UTF8_IN_GB.search(data):
             return run
-        parts = [c.encode("gb18030") for c in run]
+        parts = [c.encode(codec) for c in run]
         starts, at = {}, 0
         for k, p in enumerate(parts):
             starts[at] = k
@@ -192,7 +236,23 @@ def _utf8_gb(text: str) -> tuple[str, int]:
             k += 1
         return "".join(out)
 
-    return (_WIDE_RUN.sub(dec, text), n) if _UTF8_IN_GB.search(text.encode("gb18030", "replace")) else (text, 0)
+    return (_WIDE_RUN.sub(dec, text), n) if _UTF8_IN_GB.search(text.encode(codec, "replace")) else (text, 0)
+
+
+def _utf8_sjis(text: str) -> tuple[str, int]:
+    """Decode UTF-8 seen through Shift JIS."""
+    return _utf8_gb(text, "cp932") if _SJIS_SIGNS.search(text) else (text, 0)
+
+
+@lru_cache(maxsize=None)
+def _swap(read: str, true: str) -> dict[int, str]:
+    out = {}
+    for c, b in _byte_map(read).items():
+        try:
+            out[ord(c)] = bytes([b]).decode(true)
+        except UnicodeDecodeError:
+            pass
+    return out
 
 
 class Restorer:
@@ -240,6 +300,34 @@ class Restorer:
 
         return (_WIDE_RUN.sub(lambda m: self._parts(m, dec), text), n) if self.rare.search(text) else (text, 0)
 
+    def _cyrillic(self, text: str) -> tuple[str, int]:
+        """Decode Cyrillic words of one-byte encodings that were taken for each other, by the reading that gains most."""
+        if not _ODD_CYRILLIC.search(text):
+            return text, 0
+        best, kept, n = 0.0, text, 0
+        for read, true in CYRILLIC:
+            table, gain, k = _swap(read, true), 0.0, 0
+
+            def dec(m):
+                nonlocal gain, k
+                run = m.group()
+                own = len(_RUSSIAN.findall(run))
+                if own * 5 > len(run) * 4:
+                    return run  # Russian as it stands
+                out = run.translate(table)
+                up = self.score(out) - self.score(run)
+                letters = len(_RUSSIAN.findall(out))
+                if up < GAIN or letters < 2 or letters * 3 < len(out.replace("\n", "")) * 2:
+                    return run
+                gain += up * len(run)
+                k += 1
+                return out
+
+            out = _CYRILLIC_RUN.sub(dec, text)
+            if k and gain > best and gain >= 4 * GAIN:
+                best, kept, n = gain, out, k
+        return kept, n
+
     @staticmethod
     def _parts(m, dec):
         """A run is tried whole, then between characters that were lost."""
@@ -253,7 +341,7 @@ class Restorer:
         spans = 0
         for _ in range(LAYERS):
             found = 0
-            for step in (_one_byte, _utf8_gb, self._double):
+            for step in (_one_byte, _utf8_gb, _utf8_sjis, self._double, self._cyrillic):
                 text, k = step(text)
                 found += k
             spans += found

@@ -42,6 +42,27 @@ def test_short_stretch_beside_chinese():
     assert R.restore("«Él ¿ªº?»") == ("«Él ¿ªº?»", 0, 0)
 
 
+RU = "Примечания: компания открыла дочерние общества, что немного выше начального уровня."
+JA = "ファンドの売上高は予算を下回りましたので、詳しくは注記をご覧ください。"
+
+
+@pytest.mark.parametrize("read, true", [("cp1251", "cp866"), ("latin-1", "cp1251"), ("latin-1", "koi8_r")])
+def test_cyrillic(read, true):
+    model = Restorer({c: math.log(n / 1000) for c, n in Counter(RU * 9 + "ЂЎ").items() if c > "\x7f"})
+    bad = RU.encode(true).decode(read, "replace")
+    out, spans, _ = model.restore(bad)
+    assert spans and ("�" in bad or sum(a == b for a, b in zip(out, RU)) > 0.9 * len(RU))
+    assert model.restore(RU) == (RU, 0, 0) and model.restore(RU.upper()) == (RU.upper(), 0, 0)
+
+
+def test_japanese():
+    assert R.restore("前" + JA.encode("cp932").decode("cp1252", "replace"))[1] > 0
+    part = "となりました"
+    assert R.restore("粗利率は90万円" + part.encode().decode("cp932", "replace") + "。")[1] > 0
+    assert R.restore(JA.encode("euc_jp").decode("latin-1"))[0] == JA
+    assert R.restore(JA) == (JA, 0, 0)
+
+
 def test_gb_as_big5():
     run = "投资组合的净利润同比增长"
     bad = run.encode("gb18030").decode("cp950", "replace")
