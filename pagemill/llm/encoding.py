@@ -66,7 +66,7 @@ _UTF8_IN_GB = re.compile(rb"(?:[\xe2-\xe9\xef]\n?[\x80-\xbf]\n?[\x80-\xbf]\n?|[\
 _WIDE = r"[ˇ-˙‐-⟿⺀-鿿가-힣豈-﫿︰-￯\ue000-\uf8ff]"
 _WIDE_RUN = re.compile(rf"{_WIDE}(?:\n?{_WIDE})+")
 _HIGH = re.compile("[À-ÿ]+")
-_KANA, _RUSSIAN = re.compile("[぀-ヿ]"), re.compile("[А-яЁё]")
+_KANA, _RUSSIAN, _RUSSIAN_RUN = re.compile("[぀-ヿ]"), re.compile("[А-яЁё]"), re.compile("[А-яЁё«»–—№\n]+")
 #: Cyrillic one-byte encodings taken for each other or for a western one, and the letters that give such text away.
 CYRILLIC = (("cp1251", "cp866"), ("latin", "cp1251"), ("latin", "koi8_r"), ("latin", "cp866"))
 _ODD_CYRILLIC = re.compile("[\xa0-¿ЂЃѓЉЊЌЎўЏђљњќћџҐґЄєЇїІіЈјЅѕ‚„†‡‰‹›€][Ѐ-ӿ®\xad]|[Ѐ-ӿ][®\xad¤¬§ҐЎўЁЂЃ]|[À-ÿ]{4}")
@@ -304,7 +304,7 @@ class Restorer:
         """Decode Cyrillic words of one-byte encodings that were taken for each other, by the reading that gains most."""
         if not _ODD_CYRILLIC.search(text):
             return text, 0
-        best, kept, n = 0.0, text, 0
+        best, n, chosen = 0.0, 0, None
         for read, true in CYRILLIC:
             table, gain, k = _swap(read, true), 0.0, 0
 
@@ -323,10 +323,19 @@ class Restorer:
                 k += 1
                 return out
 
-            out = _CYRILLIC_RUN.sub(dec, text)
+            _CYRILLIC_RUN.sub(dec, text)
             if k and gain > best and gain >= 4 * GAIN:
-                best, kept, n = gain, out, k
-        return kept, n
+                best, n, chosen = gain, k, table
+        if chosen is None:
+            return text, 0
+
+        def swap(m):
+            # now that the reading is known, every run that isn't Russian as it stands and gains by it
+            run = m.group()
+            out = run.translate(chosen)
+            return out if not _RUSSIAN_RUN.fullmatch(run) and self.score(out) > self.score(run) else run
+
+        return _CYRILLIC_RUN.sub(swap, text), n
 
     @staticmethod
     def _parts(m, dec):
