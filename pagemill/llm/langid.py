@@ -21,7 +21,7 @@ from pagemill.llm.rows import map_batches
 from pagemill.plans.storage import materialize
 
 #: Labelled texts to which the models are fitted, at most so many of each language (those of the least hash).
-SAMPLE = 1500
+SAMPLE = 4000
 #: n-gram orders (with word boundaries) and buckets they are hashed to: the model is languages x BUCKETS floats, whatever the corpus.
 ORDERS, BUCKETS = (1, 2, 3, 4), 1 << 16
 #: Rounds of expectation-maximisation, and nats that one more language must earn besides BIC.
