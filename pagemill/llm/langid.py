@@ -74,13 +74,14 @@ def unit_counts(df: DataFrame, lang: str, text: str) -> DataFrame:
 
     def make():
         def fn(cols):
-            texts, n = Counter(), Counter()
+            texts: dict[str, Counter] = {}
+            times: dict[str, Counter] = {}
             for l, t in zip(*cols):
-                count = Counter(units(t))
-                for u, k in count.items():
-                    texts[l, u] += 1
-                    n[l, u] += k
-            return [[k[0] for k in n], [k[1] for k in n], [texts[k] for k in n], list(n.values())]
+                found = units(t)
+                times.setdefault(l, Counter()).update(found)
+                texts.setdefault(l, Counter()).update(set(found))
+            out = [(l, u, texts[l][u], k) for l, count in times.items() for u, k in count.items()]
+            return [[x[i] for x in out] for i in range(4)]
 
         return fn
 
