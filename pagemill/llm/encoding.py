@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.rows import map_batches
 
-#: One-byte encodings, and how many multibyte characters in a row (or accented letters in all) a text needs before its spans are believed.
+#: One-byte encodings, and how many multibyte characters in a row (or accented letters in all) a text needs before all its spans are believed; with fewer each is weighed.
 SINGLE = (("latin", 1), ("cp1251", 3), ("cp1250", 3), ("koi8_r", 3), ("cp866", 3), ("cp437", 3), ("cp850", 3), ("mac_roman", 3))
 #: Two-byte encodings in which the bytes were read, and what they were.
 DOUBLE = (("gb18030", "utf-8"), ("cp950", "gb18030"), ("cp949", "gb18030"), ("cp932", "gb18030"), ("cp932", "utf-8"), ("cp950", "utf-8"), ("cp949", "utf-8"), ("gb18030", "cp950"), ("gb18030", "cp932"), ("gb18030", "cp949"))
@@ -92,8 +92,11 @@ def _line_ends_kept(span: str, decoded: str) -> str:
     return "".join(out)
 
 
-def _single(text: str, codec: str, least: int) -> tuple[str, int, int]:
-    """Decode UTF-8 spans seen through a one-byte encoding: the text, the spans, the characters they covered."""
+def _single(text: str, codec: str, least: int, believed) -> tuple[str, int, int]:
+    """Decode UTF-8 spans seen through a one-byte encoding: the text, the spans, the characters they covered.
+
+    A text with few of them keeps those that ``believed`` (of the text, start, end and decoded span) holds to be right.
+    """
     spans, seq = _utf8_spans(codec)
     if not spans.search(text):
         return text, 0, 0
@@ -114,7 +117,7 @@ def _single(text: str, codec: str, least: int) -> tuple[str, int, int]:
         marks += len(_MARKS.findall(dec)) if codec != "cp866" else 0
         good.append((m.start(), m.end(), _line_ends_kept(raw, dec)))
     if longest < least and accents < least and not marks:
-        return text, 0, 0
+        good = [g for g in good if believed(text, *g)]
     out, at = [], 0
     for a, b, dec in good:
         out += [text[at:a], dec]
@@ -150,6 +153,11 @@ def _gb_latin(text: str) -> tuple[str, int, int]:
     return _GB_LATIN.sub(dec, text), n, covered
 
 
+def _script(c: str) -> str:
+    """Script of a letter, roughly."""
+    return "latin" if c < "Ͱ" else "greek" if c < "Ѐ" else "cyrillic" if c < "԰" else "wide"
+
+
 @lru_cache(maxsize=1)
 def _sjis_spans() -> re.Pattern:
     """Shift JIS seen through a one-byte western encoding: three pairs or more; a second byte may be an ASCII letter."""
@@ -189,11 +197,11 @@ def _any_pair() -> re.Pattern:
     return re.compile("|".join([*pairs, rf"{_PAIR}\n?{_PAIR}"]))
 
 
-def _one_byte(text: str) -> tuple[str, int]:
+def _one_byte(text: str, believed) -> tuple[str, int]:
     """The one-byte reading that explains most characters; by chance others may fit a few."""
     if not _any_pair().search(text) and not _sjis_spans().search(text):
         return text, 0
-    tries = [_single(text, codec, least) for codec, least in SINGLE] + [_gb_latin(text), _sjis_latin(text)]
+    tries = [_single(text, codec, least, believed) for codec, least in SINGLE] + [_gb_latin(text), _sjis_latin(text)]
     out, n, covered = max(tries, key=lambda t: t[2])
     return (out, n) if covered else (text, 0)
 
@@ -272,6 +280,23 @@ class Restorer:
         wide = [c for c in s if c > "\x7f" and c != "\n"]
         return sum(get(c, floor) for c in wide) / len(wide) if wide else floor
 
+    def _believed(self, text: str, a: int, b: int, dec: str) -> bool:
+        """Whether a short span through a one-byte encoding, ``dec`` when decoded, was wrongly decoded.
+
+        Its letters must be of the script of the letters beside it. A sign, or a capital after a small letter, within a
+        word of small letters is believed at once; anything else must become likelier by ``GAIN``.
+        """
+        raw, plain = text[a:b], dec.replace("\n", "")
+        before, after = text[a - 1 : a], text[b : b + 1]
+        beside = [c for c in (before, after) if c.isalpha()]
+        if any(_script(c) != _script(d) for c, d in ((before, plain[0]), (after, plain[-1])) if c.isalpha() and d.isalpha() and _script(d) != "wide"):
+            return False
+        if before.islower() and all(c.islower() and _script(c) == "latin" for c in plain) and not (raw.isalpha() and raw.islower()):
+            return True
+        if any(c.isalpha() and _script(c) != "wide" for c in beside) and not all(c.isalpha() for c in plain):
+            return False  # a sign within a word
+        return self.score(plain) - self.score(raw) >= GAIN
+
     def _double(self, text: str) -> tuple[str, int]:
         """Decode spans of two-byte encodings that were taken for each other, where that makes them far likelier."""
         n = 0
@@ -350,7 +375,7 @@ class Restorer:
         spans = 0
         for _ in range(LAYERS):
             found = 0
-            for step in (_one_byte, _utf8_gb, _utf8_sjis, self._double, self._cyrillic):
+            for step in (lambda t: _one_byte(t, self._believed), _utf8_gb, _utf8_sjis, self._double, self._cyrillic):
                 text, k = step(text)
                 found += k
             spans += found

@@ -30,6 +30,17 @@ def test_french_utf8(codec):
     assert R.restore(bad)[0] == text
 
 
+@pytest.mark.parametrize("codec, text", [("cp1250", "L'Activité de 2013."), ("mac_roman", "o exercício de 2013"), ("cp437", "a manqué de 1,6"), ("cp850", "el año 2013"), ("cp1251", "el año 2013"), ("mac_roman", "a évolué à peine")])
+def test_one_or_two_accents(codec, text):
+    assert R.restore(text.encode().decode(codec))[0] == text
+
+
+@pytest.mark.parametrize("text", ["— «État»", "—À la une", "АО «СССР» и ГРУПП»", "MÓ» ÁREA – É", "├── été", "все её лицё", "société»”"])
+def test_short_runs_that_are_sound(text):
+    model = Restorer({c: math.log(n / 5000) for c, n in Counter((RU + "État à é") * 20).items() if c > "\x7f"})
+    assert R.restore(text) == model.restore(text) == (text, 0, 0)
+
+
 def test_gb_as_latin_and_twice():
     assert R.restore(ZH.encode("gb18030").decode("latin-1"))[0] == ZH
     twice = ZH.encode().decode("latin-1").encode().decode("latin-1")
