@@ -15,6 +15,12 @@ NUMBER = re.compile(
 #: What separates a running header from its page number.
 SEPARATOR = re.compile(r"(?:\s*[·•|｜—–]\s*|\t\s*|\s{2,}| - )")
 _YEAR = re.compile(r"(?:19|20)\d\d")
+#: A year with letters read for some of its figures, and letters read for figures anywhere.
+_ODD_YEAR = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z|]*\d)(?:[1lI|L][9gq]|[2Z][0Oo])[0-9OoIlLSZBbgq|]{2}(?![A-Za-z0-9])")
+_LIKE = str.maketrans("OoIlLSZBbgq|", "001115286991")
+_LIKE_ANY = re.compile(r"[\doilszbgq|]")
+#: A misread number at the end of a line.
+_ODD_TAIL = re.compile(r"(?<=[\s·•|｜—–])[0-9OoIlSZBbgq]{1,3}$")
 
 
 def page_number(line: str) -> int | None:
@@ -50,17 +56,29 @@ def split_header(line: str) -> tuple[str, int] | None:
 
 
 def form(text: str) -> str:
-    """What header texts are compared by."""
-    return re.sub(r"\s+", "", text).casefold()
+    """What header texts are compared by: without white space, figures and letters that look like them folded."""
+    return _LIKE_ANY.sub("0", re.sub(r"\s+", "", text).casefold().replace("@", "a"))
+
+
+def header_form(line: str, page: int | None) -> str | None:
+    """Form of the text of a line that carries the page's own number, if it may be a running header."""
+    cut = split_header(line)
+    if cut is None or page is None or cut[1] != page or cut[0].startswith("|") or not re.search(r"[^\W\d_]", cut[0]) or len(cut[0]) < 4:
+        return None
+    return form(cut[0])
 
 
 def is_header_line(line: str, page: int | None, listed: frozenset[str] | set[str]) -> bool:
     """Whether ``line`` is a running header with its page number.
 
-    The number must be the page's own, and the text a line listed for the report or one that names a year, as titles of
-    periodical reports do; table rows have more than one figure column and are none.
+    The number must be the page's own, and the text's form one of ``listed`` (those of the report's own headers), or one
+    that names a year, as titles of periodical reports do; table rows have more than one figure column and are none.
+    Letters read for figures count as figures in years, and in the number of a listed text.
     """
     cut = split_header(line)
+    if listed and page is not None and (cut is None or cut[1] != page) and (m := _ODD_TAIL.search(line.rstrip())) and m.group().translate(_LIKE) == str(page):
+        cut = split_header(line.rstrip()[: m.start()] + str(page))
+        return cut is not None and cut[1] == page and form(cut[0]) in listed
     if cut is None:
         return False
     text, n = cut
@@ -68,5 +86,6 @@ def is_header_line(line: str, page: int | None, listed: frozenset[str] | set[str
         return False
     if form(text) in listed:
         return True
+    text = _ODD_YEAR.sub(lambda m: m.group().translate(_LIKE), text)
     years = _YEAR.findall(text)
     return bool(years) and len(re.findall(r"\d+", text)) == len(years) and "|" not in text and not re.search(r"\s{2,}|\t", text) and len(text) > 6

@@ -16,9 +16,9 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.furniture import is_header_line, is_number_line
+from pagemill.llm.furniture import form, header_form, is_header_line, is_number_line, split_header
 from pagemill.llm.rows import map_batches
-from pagemill.plans.storage import materialize
+from pagemill.plans.storage import broadcast_if_small, materialize
 
 #: A word or context is suspicious if a confusable one is at least so many times as frequent, and has so many occurrences.
 RATIO, LEAST = 20, 12
@@ -26,6 +26,10 @@ RATIO, LEAST = 20, 12
 SUPPORT = 3
 #: Greatest Levenshtein distance of a candidate, and least length of a word that is corrected.
 DISTANCE, SHORTEST = 2, 4
+#: Pages of a report on which a text must stand beside the page's own number to be its running header.
+HEADER_PAGES = 2
+#: Longest line that may be furniture.
+LINE = 160
 #: Corrections up to which their table is sent to every task; beyond it pages are joined with it.
 TABLE_ROWS = 400_000
 
@@ -292,6 +296,10 @@ def compound_splits(units: DataFrame) -> DataFrame:
 # A page --------------------------------------------------------------------------------------------------------------
 
 
+def _may_be_furniture(line: str) -> bool:
+    return line[-1].isdigit() or line[-1] in "]）)】页頁-–—·•* \t" or line[:1].isdigit()
+
+
 class Fixer:
     """Repairs one text after the other with given corrections."""
 
@@ -372,10 +380,20 @@ class Fixer:
             text = "".join(chars)
         return text, n
 
-    def repair(self, text: str, page: int | None, reflowed: bool = True) -> tuple[str, int, int, list[str]]:
-        """The repaired text, words joined, misreadings, and the lines of furniture that were taken out."""
-        lines = text.split("\n")
-        furniture = [l for l in lines if len(l) <= 160 and l and (l[-1].isdigit() or l[-1] in "]）)】页頁-–—·•* \t" or l[:1].isdigit()) and (is_number_line(l, page) or is_header_line(l, page, frozenset()))]
+    def is_header(self, line: str, page: int | None, heads: frozenset[str]) -> bool:
+        """Whether ``line`` is a running header, as it stands or with its misreadings put right."""
+        if is_header_line(line, page, heads) or heads and (page or 0) > 1 and form(line) in heads:
+            return True
+        cut = split_header(line)
+        if cut is None or page is not None and cut[1] != page:
+            return False
+        fixed = self.misread(line)[0]
+        return fixed != line and is_header_line(fixed, page, heads)
+
+    def repair(self, text: str, page: int | None, reflowed: bool = True, heads=()) -> tuple[str, int, int, list[str]]:
+        """The repaired text, words joined, misreadings, and the lines of furniture that were taken out; ``heads``: forms of the report's running headers."""
+        lines, heads = text.split("\n"), frozenset(heads or ())
+        furniture = [l for l in lines if 0 < len(l) <= LINE and (heads or _may_be_furniture(l)) and (is_number_line(l, page) or self.is_header(l, page, heads))]
         if furniture:
             gone = set(furniture)
             text = "\n".join(l for l in lines if l not in gone)
@@ -431,6 +449,26 @@ def page_texts(analysis: DataFrame, pages: DataFrame) -> DataFrame:
     return one(analysis, "analysis.raw_text", "raw_text").unionByName(one(pages, "pages.markdown", "markdown"))
 
 
+def running_headers(texts: DataFrame) -> DataFrame:
+    """``doc_id, heads``: forms of the texts that stand beside the page's own number on ``HEADER_PAGES`` pages of a report or more."""
+
+    def make():
+        def fn(cols):
+            out = [[], [], []]
+            for doc, page, text in zip(*cols):
+                forms = {header_form(l, page) for l in text.split("\n") if 0 < len(l) <= LINE and _may_be_furniture(l)}
+                for f in forms - {None}:
+                    for col, v in zip(out, (doc, page, f)):
+                        col.append(v)
+            return out
+
+        return fn
+
+    seen = map_batches(texts.where("doc_id is not null and page_number is not null").select("doc_id", "page_number", "text"), make, "doc_id string, page_number int, form string")
+    often = seen.groupBy("doc_id", "form").agg(F.count_distinct("page_number").alias("n")).where(F.col("n") >= HEADER_PAGES)
+    return often.groupBy("doc_id").agg(F.collect_set("form").alias("heads"))
+
+
 def corrections(texts: DataFrame) -> DataFrame:
     """All corrections of the corpus: ``kind, read, meant``; materialised."""
     units = materialize(unit_counts(texts, "text"))
@@ -442,11 +480,14 @@ def repair(analysis: DataFrame, pages: DataFrame, manifest: DataFrame, with_text
 
     ``furniture`` counts page numbers and running headers taken out, lines listed in the report's own
     ``repeated_texts`` excepted (they go too, but are no noise). Defined cases: NULL and empty texts have no row; a page
-    that comes twice has two; without a page number only forms that are unmistakable count; texts with wrongly decoded
+    that comes twice has two; without a page number only forms that are unmistakable count; a header is known by a year
+    or by standing on several pages of its report, misreadings put right (one that never carries a number, or stands on
+    page 1 without it, is taken for a title and stays); texts with wrongly decoded
     spans are not searched for misreadings; an empty corpus gives no rows.
     """
     texts = page_texts(analysis, pages)
     fixes = corrections(texts)
+    texts = texts.join(broadcast_if_small(materialize(running_headers(texts))), "doc_id", "left").select("field", "page_id", "doc_id", "page_number", "text", "heads")
     if fixes.limit(TABLE_ROWS + 1).count() <= TABLE_ROWS:
         shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in fixes.toLocalIterator()])
 
@@ -454,7 +495,7 @@ def repair(analysis: DataFrame, pages: DataFrame, manifest: DataFrame, with_text
             fixer = Fixer(shared.value)
 
             def fn(cols):
-                done = [fixer.repair(t, p, with_text) for p, t in zip(cols[3], cols[4])]
+                done = [fixer.repair(t, p, with_text, h) for p, t, h in zip(cols[3], cols[4], cols[5])]
                 return [cols[0], cols[1], cols[2], *map(list, zip(*done))]
 
             return fn
@@ -493,12 +534,12 @@ def _joined(texts: DataFrame, fixes: DataFrame, with_text: bool) -> DataFrame:
 
     def make():
         def fn(cols):
-            done = [Fixer([(o["kind"], o["read"], o["meant"]) for o in own or []]).repair(t, p, with_text) for p, t, own in zip(cols[3], cols[4], cols[5])]
+            done = [Fixer([(o["kind"], o["read"], o["meant"]) for o in own or []]).repair(t, p, with_text, h) for p, t, h, own in zip(cols[3], cols[4], cols[5], cols[6])]
             return [cols[0], cols[1], cols[2], *map(list, zip(*done))]
 
         return fn
 
-    return map_batches(keyed.join(own, "row", "left").select("field", "page_id", "doc_id", "page_number", "text", "own"), make, RESULT)
+    return map_batches(keyed.join(own, "row", "left").select("field", "page_id", "doc_id", "page_number", "text", "heads", "own"), make, RESULT)
 
 
 def noisy(repaired: DataFrame) -> DataFrame:

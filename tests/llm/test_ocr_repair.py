@@ -102,6 +102,14 @@ def test_repair(spark, monkeypatch):
     assert corpus(spark, CASES + shown) == got
 
 
+def test_running_headers(spark):
+    cases = [(p, f"within the segment business level.\n{h}") for p, h in [(2, "ACME LTD ANNUAL REPORT 20L9 | 2"), (3, "Operating review of Acme · 3"), (4, "Operating review of Acme · 4"), (5, "Operating review of Acme"), (6, "Operating revicw of Acme | 6"), (7, "busincss 2018 outlook · 7"), (8, "Operating review of Acme - 9"), (9, "Risk outlook · 9"), (10, "Operating review of Acme · lO"), (1, "Operating review of Acme")]]
+    got = corpus(spark, cases)
+    assert [got[i].furniture for i in range(10)] == [1, 1, 1, 1, 0, 1, 0, 0, 1, 0]
+    assert all(got[i].text == "within the segment business level." for i in (0, 1, 2, 3, 5, 8)) and "Acme" in got[9].text
+    assert N.is_header_line("某公司20LB年度报告 | 1 / 5", 1, set()) and not N.is_header_line("Zoll · 5", 5, set())
+
+
 def test_reflow():
     text = "A first line of running text that goes on\nand ends here.\nA second paragraph starts here and goes\non to its end.\n\n- item\n| a | b |\n| --- | --- |"
     assert O.reflow(text).split("\n\n")[0] == "A first line of running text that goes on and ends here."
