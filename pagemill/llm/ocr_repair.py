@@ -181,16 +181,17 @@ def _base(s: str) -> str:
 
 
 def keys_of(word: str, known: bool) -> list[str]:
-    """Pigeonhole keys: one misreading leaves the first half, the second half, or what follows the middle unharmed.
+    """Pigeonhole keys, each with the length of the misread form.
 
-    A known word also gives the keys that a misread form one letter shorter or longer would ask for.
+    Two letters misread for two others leave one of three pieces unharmed. A misreading that changes the length leaves
+    the first half, the second half, or what follows the middle; a known word gives these for the lengths beside its own.
+    So every pair that ``operations`` explains meets.
     """
-    out = set()
-    for n in (len(word) - 1, len(word), len(word) + 1) if known else (len(word),):
+    n = len(word)
+    out = {f"{n}{i}{word[i * n // 3 : (i + 1) * n // 3]}" for i in range(3)}
+    for n in (len(word) - 1, len(word) + 1) if known else (len(word),):
         h = n // 2
-        for kind, piece in (("p", word[:h]), ("s", word[len(word) - (n - h) :]), ("s", word[len(word) - (n - h - 1) :] if n - h > 1 else "")):
-            if len(piece) >= 2:
-                out.add(kind + piece)
+        out |= {f"{n}p{word[:h]}", f"{n}s{word[len(word) - (n - h) :]}", f"{n}s{word[len(word) - (n - h - 1) :]}"}
     return sorted(out)
 
 
@@ -258,7 +259,7 @@ def word_fixes(words: DataFrame) -> DataFrame:
     each = pairs.select("read", "meant", "n_meant", F.size("ops").alias("k"), F.explode("ops").alias("op"))
     good = each.join(believed, "op").groupBy("read", "meant", "n_meant", "k").agg(F.count("*").alias("hits")).where(F.col("hits") >= F.col("k"))
     ranked = good.groupBy("read").agg(F.sort_array(F.collect_list(F.struct("k", (-F.col("n_meant")).alias("m"), "meant"))).alias("c"))
-    return ranked.select(F.lit("w").alias("kind"), "read", F.transform(F.slice("c", 1, 4), lambda s: s["meant"]).alias("meant"))
+    return ranked.select(F.lit("w").alias("kind"), "read", F.transform("c", lambda s: s["meant"]).alias("meant"))
 
 
 def character_fixes(chars: DataFrame) -> DataFrame:

@@ -43,6 +43,27 @@ def test_keys_meet():
                 assert set(O.keys_of(bad, False)) & set(O.keys_of(word, True)), (word, bad)
 
 
+def test_keys_meet_for_two_letters():
+    rng = random.Random(4)
+    for word in [*WORDS, "four", "fives"]:
+        for i in range(len(word)):
+            for j in range(i):
+                bad = "".join("@" if k in (i, j) else c for k, c in enumerate(word))
+                assert O.operations(bad, word) and set(O.keys_of(bad, False)) & set(O.keys_of(word, True)), (word, bad)
+        at = rng.randrange(len(word) - 1)
+        for bad in (word[:at] + "0" + word[at + 2 :], word[:at] + "00" + word[at + 1 :]):
+            if len(bad) >= O.SHORTEST:
+                assert set(O.keys_of(bad, False)) & set(O.keys_of(word, True)), (word, bad)
+
+
+def test_all_candidates_are_kept(spark):
+    meant = {"elile": 900, "ciile": 800, "cllle": 700, "clilc": 600, "dile": 500, "chle": 400, "cliie": 300}
+    words = spark.createDataFrame([("w", w, n) for w, n in {**meant, "clile": 1}.items()], "kind string, unit string, n bigint")
+    fixes = [tuple(r) for r in O.word_fixes(words).where("read = 'clile'").collect()]
+    assert sorted(fixes[0][2]) == sorted(meant)
+    assert O.Fixer(fixes).misread("the clile and the cliie of it")[0] == "the cliie and the cliie of it"
+
+
 def test_numbers():
     for t in ("- 9 -", "p. 9", "[9]", "Page 9", "第 9 页", "— 9 —", "9 / 12", "·9·", "第9页 共12页", "Página 9 / 12"):
         assert N.is_number_line(t, 9), t
