@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators import coords, cost, layout, merge, repeats
-from pagemill.plans.pipeline import route
+from pagemill.plans.pipeline import PAGE, read_images, route, with_images
 from pagemill.plans.storage import materialize
 from pagemill.plans.transcribe import StandIn, Transcriber
 from pagemill.sources import documents
@@ -53,21 +53,28 @@ def run(spark: SparkSession, args: argparse.Namespace, model: Transcriber | None
     """The command's result: an estimate, page outputs, or canonical texts."""
     out = args.output or os.path.join(os.path.dirname(os.path.abspath(args.input)), "output")
     pages_path, text_path = f"{out}/pages.parquet", f"{out}/canonical.parquet"
+    manifest_path = f"{out}/manifest.parquet"
     if args.stage != "merge" or args.dry_run:
         pages = decoded(spark, args.input, args.decoder)
         if not args.force and not args.dry_run and os.path.exists(text_path):
             pages = documents.unfinished(pages, spark.read.parquet(text_path))
         if args.dry_run:
             return cost.dry_run(pages, "doc_id")
-        outputs = route(prepared(pages), model or StandIn("raw_text"), concurrency=args.ocr_concurrency)
-        outputs.write.mode("overwrite").parquet(pages_path)
+        ready = materialize(prepared(pages))
+        model = model or StandIn("raw_text")
+        outputs = materialize(route(ready, model, concurrency=args.ocr_concurrency))
+        native = ready.where("native_candidate")
+        images = materialize(read_images(layout.pending_images(exploded(pages, "images").join(native.select(*PAGE), PAGE, "left_semi")), model, args.ocr_concurrency))
+        with_images(outputs, native, images).write.mode("overwrite").parquet(pages_path)
+        listed = ready.select("doc_id", "repeated_texts").dropDuplicates(["doc_id"]).join(images, "doc_id", "left")
+        listed.select("doc_id", F.concat("doc_id", F.lit(".pdf")).alias("source_pdf"), F.coalesce("repeated_texts", F.array().cast("array<string>")).alias("repeated_texts"), "image_ocr").write.mode("overwrite").parquet(manifest_path)
+        documents.export_errors(merge.error_texts(merge.document_gate(spark.read.parquet(pages_path))), out)
     outputs = spark.read.parquet(pages_path)
     if args.stage == "extract":
         return outputs
     gate = merge.document_gate(outputs)
     good = outputs.join(gate.where("success").select("doc_id"), "doc_id", "left_semi")
-    manifest = good.select("doc_id").distinct().select("doc_id", F.concat("doc_id", F.lit(".pdf")).alias("source_pdf"), F.array().cast("array<string>").alias("repeated_texts"))
-    texts = merge.canonical(good, manifest)
+    texts = materialize(merge.canonical(good, spark.read.parquet(manifest_path)))
     texts.write.mode("append" if not args.force else "overwrite").parquet(text_path)
     documents.export_canonical(texts, out)
     return spark.read.parquet(text_path)

@@ -82,6 +82,37 @@ def test_command(spark, folder, tmp_path):
     assert (tmp_path / "out/a/canonical.md").exists()
 
 
+def image_decoder(path):
+    """Three pages with an embedded image each and a header; in file b a page that no model can read."""
+    text = "这是一页有文本层的正文，长度足够，可以直接读取，没有任何乱码，也不需要视觉模型。2024年度共有12项投资。"
+    span = lambda b, t, y: dict(block_no=b, line_no=1, span_no=1, text=t, size=11.0, flags=0, x0=0.0, y0=y, x1=9.0, y1=y + 5)
+    for n in (1, 2, 3):
+        image = dict(xref=n, rect_no=1, y0=80.0, ext="png", image=b"chart")
+        yield dict(page_number=n, width=100.0, page_height=100.0, raw_text="页眉文字\n" + text, spans=[span(1, "页眉文字", 2.0), span(2, text, 50.0)], words=[], tables=[], images=[image])
+    if "b." in str(path):
+        yield dict(page_number=4, width=100.0, page_height=100.0, raw_text="", spans=[], words=[], tables=[], images=[])
+
+
+class ImageReader:
+    def __call__(self, job, prompt):
+        from pagemill.plans.transcribe import Reply
+
+        if "placeholder_id" not in job:
+            raise RuntimeError("no page can be read")
+        return Reply("图中文字" + job["placeholder_id"])
+
+
+def test_command_reads_images(spark, folder, tmp_path):
+    out = str(tmp_path / "out")
+    args = cli.arguments([str(folder), "-o", out, "--decoder", "test_sources:image_decoder"])
+    texts = {r.doc_id: r.markdown for r in cli.run(spark, args, ImageReader()).collect()}
+    assert set(texts) == {"a"} and "IMG_OCR" not in texts["a"]
+    assert [texts["a"].count(f"图中文字xref-{n}") for n in (1, 2, 3)] == [1, 1, 1]
+    kept = spark.read.parquet(out + "/manifest.parquet").where("doc_id = 'a'").first()
+    assert kept.repeated_texts == ["页眉文字"] and set(kept.image_ocr) == {"xref-1", "xref-2", "xref-3"}
+    assert (tmp_path / "out/b/errors.txt").read_text() == "以下页面未通过校验：4" and not (tmp_path / "out/a/errors.txt").exists()
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     df = spark.createDataFrame([("s", 1), ("s", 2)], "source string, page_number int")
