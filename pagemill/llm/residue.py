@@ -2,7 +2,7 @@
 
 A grammar for each delimiter finds placeholders; what stands around a match decides whether it counts (code blocks and
 text that explains a template syntax do not). Filler, errors and notices count only where they are the page: their
-patterns are weighed against the length of the text that is left without them.
+patterns are weighed against the length of the text that is left without them, whatever the page's length.
 """
 
 from __future__ import annotations
@@ -91,10 +91,18 @@ def _may_hold(text: str) -> bool:
 
 #: Share of a page's letters that filler, error and notice lines must make up.
 SHARE = 0.6
-#: A page of messages is short: at most so many characters of other text beside them.
+#: Characters of other text beside messages that make no difference; beyond it, other text may be twice as long as they are.
 OTHER_TEXT = 160
 
 
+#: Longer lines are paragraphs: their sentences are looked at one by one.
+LINE = 160
+_DIGIT = re.compile(r"\d")
+_SENTENCE = re.compile(r"(?<=[.!?]) +|(?<=[。！？])")
+#: A line of a stack trace below its message.
+_FRAME = re.compile(r'^[ \t]*(?:at [\w.$<>/]+ ?\([^)\n]*\)|File "[^"\n]+", line \d+|\.\.\. \d+ more$|Caused by: )', re.M)
+
+
 def placeholders(text: str) -> list[tuple[str, int, int]]:
     """``(grammar, start, end)`` of the placeholders in ``text`` that nothing explains away."""
     if not _may_hold(text):
@@ -147,16 +155,43 @@ def classify(text: str | None) -> tuple[str | None, list[tuple[str, int, int]]]:
     lines = [l.strip(" \t#>*-•") for l in body.split("\n") if l.strip()]
     if _all_filler(lines, body):
         return "filler", found
-    if len(body) <= 600:
-        for kind, pattern in (("script", SCRIPT), ("error", ERROR)):
-            if pattern.search(body):
-                hit = [l for l in lines if pattern.search(l) and len(l) <= 160]
-                size = sum(map(len, hit))
-                if hit and len(body) - size <= max(OTHER_TEXT, 2 * size) and not _report_like(body, hit):
-                    return kind, found
+    report = _report_lines(body)
+    for kind, pattern in (("script", SCRIPT), ("error", ERROR)):
+        if not _other_report(pattern, report, body) and pattern.search(body):
+            hit = _message_lines(pattern, body)
+            size = sum(map(len, hit))
+            if hit and len(body) - size <= max(OTHER_TEXT, 2 * size) and not _report_like(body, hit):
+                return kind, found
     return ("placeholder", found) if found else (None, [])
 
 
+def _report_lines(body: str) -> list[str]:
+    """Lines that ``_report_like`` takes for a report's if they are no messages, the shortest first."""
+    return sorted((l for l in body.split("\n") if len(l) > 50 and _DIGIT.search(l) or l.count("|") > 2), key=len)
+
+
+def _other_report(pattern: re.Pattern, report: list[str], body: str) -> bool:
+    """Whether one of the report lines holds no message: most often the first one settles that the page is none."""
+    return any(not pattern.search(l) for l in report) and not (_FRAME.search(body) and pattern.search(body))
+
+
+def _message_lines(pattern: re.Pattern, body: str) -> list[str]:
+    """Lines that are messages, of long ones the sentences that are; the frames of a stack trace, and the code below each, count with its message."""
+    hit, code = [], False
+    for raw in body.split("\n"):
+        l = raw.strip(" \t#>*-•")
+        if not l:
+            continue
+        if _FRAME.match(raw) or code and raw[:1] in " \t":
+            hit.append(l)
+            code = raw.lstrip().startswith("File ")
+            continue
+        code = False
+        if pattern.search(l):
+            hit += [l] if len(l) <= LINE else [x for x in _SENTENCE.split(l) if pattern.search(x)]
+    return hit
+
+
 def _all_filler(lines: list[str], body: str) -> bool:
     """Whether filler lines make up ``SHARE`` of the letters; stops as soon as other lines exceed the rest."""
     if re.match(r"\W*lorem ipsum\b", body, re.I) or _pseudo_latin(body):

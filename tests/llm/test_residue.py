@@ -64,6 +64,22 @@ def test_no_residue(text):
     assert classify(text)[0] is None
 
 
+JAVA = "java.lang.IllegalStateException: no page 41\n" + "\n".join(f"    at com.example.render.Page.step{i}(Page.java:{i})" for i in range(60))
+PYTHON = "Traceback (most recent call last):\n" + "\n".join(f'  File "/srv/render/page_{i}.py", line {i}, in render\n    render_the_page(document, number={i}, width=595, height=842)' for i in range(20)) + "\nValueError: no page"
+SERVER = "# 502 Bad Gateway\n\n" + "\n\n".join(["The upstream connection failed before it gave any answer.", "The service is temporarily unavailable.", "Please try again later, or ask those who keep the site."] * 5)
+BROWSER = "This document is shown by scripts, and your browser has JavaScript disabled, so nothing of it can be seen here at all. Please enable JavaScript in the settings of your browser and load the page again. Cookies must be enabled too."
+
+
+@pytest.mark.parametrize("kind, text", [("error", JAVA), ("error", PYTHON), ("error", SERVER), ("script", BROWSER), ("script", BROWSER * 4)])
+def test_long_messages(kind, text):
+    assert classify(M + text)[0] == kind
+
+
+@pytest.mark.parametrize("text", [REPORT * 9 + "\n" + JAVA[:300], "The company builds portals for clients and keeps them running. " * 6 + "Something went wrong once.", "\n".join([REPORT] * 9) + "\n404 Not Found"])
+def test_messages_beside_a_report(text):
+    assert classify(M + text)[0] is None
+
+
 def test_frame(spark):
     rows = [(1, M + "{{a}}"), (2, REPORT), (3, None), (None, "{{a}}"), (1, M + "{{a}}"), (4, REPORT * 2000 + " {{b}}")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, markdown string, kind string")
