@@ -82,7 +82,7 @@ _BLOB = re.compile(r"[A-Za-z0-9+/]{60,}")
 
 #: A quick look that no residue passes: a literal of every grammar, then a pattern for those whose literals are common.
 _LITERALS = ("{{", "{%", "${", "#{", "$", "@@", "__", "<%", "<?", "<<", "««", "[[", "＿", "IMG_OCR", "......", "……", "请", "待", "填", "输入", "插入", "粘贴", "记入", "記入", "undefined", "NaN", "null", "XX", "ＸＸ", "××", "某某")
-_HINT = re.compile(r"%[A-Z(%]|<(?:enter|insert|your|fill|add|please|type|choose|select|placeholder|tbd)|\[[ \t]*[\]A-Za-zÀ-ÿЀ-ӿ]|[(（【〔［][ \t]*(?:fill|to be|insert|enter|your|add|choose|select|placeholder|tbd|tbc|todo|company|client|fund|à |ins|compl|rellenar|preencher|a definir|ein|aus|запол|встав|укаж|N/A|[ \t　]*[）】)])|\{\d|[:：][ \t]*(?:N/A|to be|TB[DC]|TODO|click|à |por |a |[(（【])", re.I)
+_HINT = re.compile(r"%[A-Z(%]|<(?:enter|insert|your|fill|add|please|type|choose|select|placeholder|tbd)|\[\s*[\]A-Za-zÀ-ÿЀ-ӿ在入]|[(（【〔［]\s*(?:在此|入力|fill|to be|insert|enter|your|add|choose|select|placeholder|tbd|tbc|todo|company|client|fund|à |ins|compl|rellenar|preencher|a definir|ein|aus|запол|встав|укаж|N/A|[ \t　]*[）】)])|\{\d|[:：][ \t]*(?:N/A|NA[ \t]*[（(]|to be|TB[DC]|TODO|click|à |por |a |[(（【])", re.I)
 
 
 def _may_hold(text: str) -> bool:

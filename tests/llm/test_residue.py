@@ -1,6 +1,8 @@
+import re
+
 import pytest
 
-from pagemill.llm.residue import classify, find_residue, without_residue
+from pagemill.llm.residue import PLACEHOLDERS, _may_hold, classify, find_residue, without_residue
 
 M = "<!-- page:1 method:native -->\n"
 REPORT = "Revenue of the fund reached USD 1,234 thousand in 2021, as explained in note 4."
@@ -80,6 +82,44 @@ def test_messages_beside_a_report(text):
     assert classify(M + text)[0] is None
 
 
+def _samples(tree):
+    """Strings of a parsed pattern: every alternative and every character of a class stands in one of them."""
+    parts = []
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(arg)]
+        elif name == "IN":
+            classes = {"CATEGORY_DIGIT": "1", "CATEGORY_WORD": "x", "CATEGORY_SPACE": " "}
+            some = ["x"] if str(arg[0][0]) == "NEGATE" else [chr(a) if str(o) == "LITERAL" else chr(a[0]) if str(o) == "RANGE" else classes[str(a)] for o, a in arg]
+        elif name == "BRANCH":
+            some = [x for b in arg[1] for x in _samples(b)]
+        elif name == "SUBPATTERN":
+            some = _samples(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            one = _samples(arg[2])
+            some = [x * max(arg[0], 1) for x in one] + ([""] if arg[0] == 0 else [])
+        elif name == "ASSERT":
+            some = _samples(arg[1])
+        else:
+            some = ["" if name in ("AT", "ASSERT_NOT") else "x"]
+        parts.append(some)
+    least = [min(p, key=len) for p in parts]
+    full = [p[0] for p in parts]
+    return list({"".join([*base[:i], v, *base[i + 1 :]]) for base in (least, full) for i, p in enumerate(parts) for v in p})
+
+
+@pytest.mark.parametrize("name, pattern, may", PLACEHOLDERS)
+def test_quick_look_passes_every_alternative(name, pattern, may):
+    made = {t for s in _samples(re._parser.parse(pattern.pattern, pattern.flags)) for t in (s, s.upper(), s.lower()) if pattern.search(t)}
+    assert made and [s for s in made if not _may_hold(s)] == []
+
+
+@pytest.mark.parametrize("text", ["[入力してください]", "【入力してください】", "【在此签名】", "[\u3000TBD]", "（\n在此签名）", "基金名称：NA（por completar）"])
+def test_prompts_without_a_colon(text):
+    assert classify(f"{M}{REPORT} {text}")[0] == "placeholder"
+
+
 def test_frame(spark):
     rows = [(1, M + "{{a}}"), (2, REPORT), (3, None), (None, "{{a}}"), (1, M + "{{a}}"), (4, REPORT * 2000 + " {{b}}")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, markdown string, kind string")
