@@ -273,6 +273,15 @@ def cell_order_reliable(spark, d):
     return read_table(spark, d, "analysis").select("page_id", TB.order_is_reliable(t, F.array(F.array(cell))).alias("reliable")).distinct()
 
 
+@_query()
+def cell_order_reliable_whole(spark, d):
+    """The same with all lines of the page as the cell; no SQL."""
+    t = F.coalesce("raw_text", F.lit(""))
+    lines = F.filter(F.transform(F.split(t, "\n", -1), TX.strip_u), lambda l: F.length(l) > 0)
+    cell = F.array_join(F.when(F.col("page_id") % 3 == 0, F.reverse(lines)).otherwise(lines), "\n")
+    return read_table(spark, d, "analysis").select("page_id", TB.order_is_reliable(t, F.array(F.array(cell))).alias("reliable")).distinct()
+
+
 # Layout --------------------------------------------------------------------------------------------------------------
 
 
@@ -599,8 +608,19 @@ back as (select *, len(list_filter(w, lambda x: contains(x, '不足源文本')))
 select * from local_out union all
 select doc_id, page_number, case when error is null then case when back then 'native-fallback' else 'vision' end end, case when error is null then case when back then concat('<!-- page:', page_number, ' method:native-fallback -->', chr(10), raw) else content end end, error is null, case when error is not null then error when back then '{Q.FELL_BACK}' else array_to_string(w, ';') end from back""")
 def routing_ladder(spark, d):
+    return _ladder(spark, d, ladder_pages(spark, d), repairs=False)
+
+
+@_query()
+def routing_ladder_repaired(spark, d):
+    """The ladder with all repairs and whole native texts; no SQL."""
+    whole = ladder_pages(spark, d).withColumn("native_markdown", F.coalesce("body_text", "raw_text", F.lit("")))
+    return _ladder(spark, d, whole, repairs=True)
+
+
+def _ladder(spark, d, pages, repairs):
     replies = page_rows(spark, d).select("doc_id", "page_number", TX.strip_markers(F.coalesce("markdown", F.lit(""))).alias("text"), F.when(F.col("page_number") % 13 == 0, "no answer").alias("error"))
-    out = route(ladder_pages(spark, d), transcripts=replies, repairs=False)
+    out = route(pages, transcripts=replies, repairs=repairs)
     return out.select("doc_id", "page_number", "method", "content", "validated", F.array_join("warnings", ";").alias("warnings"))
 
 

@@ -215,6 +215,30 @@ def test_timeout(spark):
     assert "第4页 vision OCR 超时" in transcribe(jobs, Slow(), seconds=0.2).first().error
 
 
+def test_whole_queries(spark, tmp_path):
+    from pagemill.plans import catalogue
+
+    a = "page_id bigint, doc_id string, page_number int, raw_text string, body_text string, has_tables boolean, native_candidate boolean, garbled boolean, analyzed_at timestamp"
+    text = ["first line", "second line", "third line", "fourth line", "fifth line", "sixth line"]
+    long = "这是一页有文本层的正文，长度足够，可以直接读取，没有任何乱码，也不需要视觉模型。" * 3
+    rows = [(1, "d", 5, long, long, False, True, False, None), (2, "d", 6, "\n".join(text), None, False, False, False, None), (3, "d", 7, "\n".join(["x", "x", *text]), None, False, False, False, None), (4, "d", 8, "b b\nc\nd\ne\nb", None, False, False, False, None)]
+    spark.createDataFrame(rows, a).write.parquet(f"{tmp_path}/analysis.parquet")
+    table = "名称  数值  比例\n甲项  100  5%\n乙项  200  6%\n丙项  300  7%"
+    spark.createDataFrame([(2, "d", 6, table, None)], "page_id bigint, doc_id string, page_number int, markdown string, written_at timestamp").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([("d", "d.pdf", [], True, None)], "doc_id string, source_pdf string, repeated_texts array<string>, success boolean, received_at timestamp").write.parquet(f"{tmp_path}/manifest.parquet")
+    got = {r.page_id: r.reliable for r in catalogue.queries()["cell_order_reliable_whole"](spark, str(tmp_path)).collect()}
+
+    def brute(page_id, t):
+        lines = [l for l in t.split("\n") if l]
+        at = [t.find(l) for l in (lines[::-1] if page_id % 3 == 0 else lines)]
+        return all(x <= y for x, y in zip(at, at[1:]))
+
+    assert got == {r[0]: brute(r[0], r[3]) for r in rows} and not got[4]
+    out = {r.page_number: r for r in catalogue.queries()["routing_ladder_repaired"](spark, str(tmp_path)).collect()}
+    assert long in out[5].content and "| 甲项 | 100 | 5% |" in out[6].content
+    assert not {"routing_ladder_repaired", "cell_order_reliable_whole"} & set(catalogue.oracle_sql())
+
+
 def test_catalogue_matches_sql(spark):
     import duckdb
 
