@@ -1,131 +1,110 @@
 """Filling containers of fixed capacity: pattern packing by non-negative least squares.
 
-Items are counted by size class. Patterns of a few sizes that fill a container are enumerated, how often each is used is
-fitted to the histogram by non-negative least squares, rounded down, and what is left is packed best-fit-decreasing, also
-on the histogram. The histogram has at most as many classes as the capacity has tokens, so all this is small however many
-items there are; the items themselves are only ranked within their class and looked up in the plan.
+Items are counted by size. Patterns of a few sizes that fill a container are enumerated, how often each is used is
+fitted to the histogram by non-negative least squares, the counts are rounded, and what is left is packed
+best-fit-decreasing, also on the histogram. It has at most as many rows as the capacity has tokens and patterns are
+bounded by it, so all this is small however many items there are; the items themselves are only ranked within their
+size and looked up in the plan.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right, insort
+from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.plans.storage import materialize
 
-#: Size classes a capacity is divided into (sizes of smaller capacities stay exact), and items of an enumerated pattern.
-CLASSES, PATTERN_ITEMS = 256, 4
-#: Items of a class that one task ranks.
+#: Items of an enumerated pattern, about how many patterns are enumerated, and how full one must be to be fitted.
+PATTERN_ITEMS, PATTERNS, FULL = 4, 24_000, 0.95
+#: Sweeps of the least squares, and the change of a count at which they end.
+SWEEPS, SETTLED = 40, 0.02
+#: Items of a size that one task ranks.
 RANKED = 100_000
 
 
-def class_size(capacity: int) -> int:
-    """Tokens of a size class: an item takes its size rounded up to a multiple of it."""
-    return max(1, capacity // CLASSES)
+def nnls(columns: list[dict[int, int]], b: list[float], sweeps: int = SWEEPS, settled: float = SETTLED) -> list[float]:
+    """Least squares ``min |A x - b|`` with ``x >= 0`` for sparse columns (row to value), by coordinate descent.
 
-
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 0) -> np.ndarray:
-    """Least squares ``min |a x - b|`` with ``x >= 0`` by the active-set method of Lawson and Hanson."""
-    n = a.shape[1]
-    x, passive = np.zeros(n), np.zeros(n, bool)
-    scale = max(1.0, float(np.abs(b).max(initial=0)))
-    w = a.T @ b
-    for _ in range(rounds or 3 * a.shape[0]):
-        if passive.all() or (w[~passive] <= 1e-9 * scale).all():
+    Each step solves for one count exactly and cuts it off at 0; early columns take what they can, so the counts come out
+    concentrated on few patterns and lose little when they are rounded.
+    """
+    x, left = [0.0] * len(columns), list(map(float, b))
+    cols = [(tuple(c.items()), float(sum(v * v for v in c.values()))) for c in columns]
+    for _ in range(sweeps):
+        moved = 0.0
+        for j, (col, norm) in enumerate(cols):
+            step = 0.0
+            for i, v in col:
+                step += v * left[i]
+            step = max(step / norm, -x[j])
+            if step > 1e-9 or step < -1e-9:
+                x[j] += step
+                for i, v in col:
+                    left[i] -= v * step
+                moved = max(moved, abs(step))
+        if moved < settled:
             break
-        j = int(np.argmax(np.where(passive, -np.inf, w)))
-        passive[j] = True
-        while True:
-            cols = np.flatnonzero(passive)
-            s = np.zeros(n)
-            part = a[:, cols]
-            s[cols] = np.linalg.solve(part.T @ part + 1e-9 * np.eye(len(cols)), part.T @ b)
-            if s[cols].min() > 0:
-                break
-            bad = cols[s[cols] <= 0]
-            step = min(x[i] / (x[i] - s[i]) if x[i] > s[i] else 0.0 for i in bad)
-            x += step * (s - x)
-            passive &= x > 1e-10 * scale
-            x[~passive] = 0
-            if not passive.any():
-                break
-        if passive.any():
-            x = s
-        w = a.T @ (b - a @ x)
     return x
 
 
-def enumerate_patterns(hist: dict[int, int], room: int) -> list[tuple[int, ...]]:
-    """Descending patterns of up to ``PATTERN_ITEMS`` present classes that leave as little of ``room`` as the sizes allow.
+def enumerate_patterns(sizes: list[int], capacity: int) -> list[tuple[int, ...]]:
+    """Descending patterns of up to ``PATTERN_ITEMS`` of the ascending ``sizes`` that leave as little of ``capacity`` as they can.
 
-    For every first size and every second one the rest is filled with the largest sizes that fit, so their number is at
-    most the square of the number of classes.
+    A size of which more than that fit into a container also has a pattern of its own, with as many as fit.
+    For every first size come the second ones that nearly fill what is left and some spread over all; the rest is
+    filled with the largest sizes that fit. About ``PATTERNS`` are made, and at least two for each size.
     """
-    sizes = sorted(hist)
+    near = max(1, min(24, PATTERNS // (2 * max(1, len(sizes)))))
     out = set()
 
     def largest(limit: int) -> int | None:
         k = bisect_right(sizes, limit)
         return sizes[k - 1] if k else None
 
-    step = max(1, len(sizes) // 96)
-    for i in range(len(sizes) - 1, -1, -1):
-        first = sizes[i]
+    def add(pattern: list[int], most: int) -> None:
+        left = capacity - sum(pattern)
+        while left > 0 and len(pattern) < most and (nxt := largest(min(left, pattern[-1]))) is not None:
+            pattern.append(nxt)
+            left -= nxt
+        out.add(tuple(pattern))
+
+    for first in sizes:
         out.add((first,))
-        top = bisect_right(sizes, min(first, room - first))
-        seconds = {largest(room - first), *sizes[max(0, top - 24) : top], *sizes[:top:step]}
-        for second in seconds:
-            if second is None or second > first or first + second > room:
-                continue
-            pattern, left = [first, second], room - first - second
-            while left > 0 and len(pattern) < PATTERN_ITEMS:
-                nxt = largest(min(left, pattern[-1]))
-                if nxt is None:
-                    break
-                pattern.append(nxt)
-                left -= nxt
-            out.add(tuple(pattern))
+        if (times := capacity // first) > PATTERN_ITEMS:
+            add([first] * times, times + PATTERN_ITEMS - 1)
+        top = bisect_right(sizes, min(first, capacity - first))
+        for second in {*sizes[max(0, top - near) : top], *sizes[: top : max(1, top // near)]}:
+            add([first, second], PATTERN_ITEMS)
     return sorted(out, reverse=True)
 
 
-def plan_containers(hist: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
-    """``(pattern, repeats)`` that use up ``hist`` (class to items) exactly; a pattern's sizes sum to at most ``room``."""
+def plan_containers(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """``(pattern, repeats)`` that use up ``hist`` (size to items) exactly; a pattern's sizes sum to at most ``capacity``."""
     left = {s: n for s, n in hist.items() if n > 0}
-    plan: dict[tuple[int, ...], int] = {}
-    if sum(left.values()) > 4 * len(left):
-        patterns = enumerate_patterns(left, room)
-        sizes = sorted(left)
-        at = {s: i for i, s in enumerate(sizes)}
-        a = np.zeros((len(sizes), len(patterns)))
-        for j, p in enumerate(patterns):
+    plan: Counter = Counter()
+    sizes = sorted(left)
+    at = {s: i for i, s in enumerate(sizes)}
+    # the fullest patterns first: descent lets them take what they can
+    fitted = sorted((p for p in enumerate_patterns(sizes, capacity) if sum(p) >= FULL * capacity), key=lambda p: (-sum(p), len(p), p))
+    counts = nnls([{at[s]: c for s, c in Counter(p).items()} for p in fitted], [left[s] for s in sizes])
+    for p, x in zip(fitted, counts):
+        k = min(math.floor(x + 0.5), *(left[s] // c for s, c in Counter(p).items()))
+        if k > 0:
+            plan[p] += k
             for s in p:
-                a[at[s], j] += 1
-        b = np.array([left[s] for s in sizes], float)
-        # full patterns first: their columns weigh more, so that the fit prefers them
-        fill = np.array([sum(p) / room for p in patterns])
-        good = np.flatnonzero(fill >= 0.9)
-        if len(good):
-            x = nnls(a[:, good], b, rounds=2 * len(sizes))
-            for j in np.argsort(-fill[good] * 1e6 - x, kind="stable"):
-                p = patterns[good[j]]
-                need: dict[int, int] = {}
-                for s in p:
-                    need[s] = need.get(s, 0) + 1
-                k = min(int(math.floor(x[j] + 1e-6)), *(left.get(s, 0) // c for s, c in need.items()))
-                if k > 0:
-                    plan[p] = plan.get(p, 0) + k
-                    for s, c in need.items():
-                        left[s] -= k * c
-    for pattern, k in best_fit({s: n for s, n in left.items() if n > 0}, room):
-        plan[pattern] = plan.get(pattern, 0) + k
+                left[s] -= k
+    for p, k in best_fit({s: n for s, n in left.items() if n > 0}, capacity):
+        plan[p] += k
     return sorted(plan.items(), reverse=True)
 
 
-def best_fit(hist: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
+def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Residuals by best fit: a container starts with the largest size left and takes the largest that fits, again and again.
 
     Containers alike are made at once, as often as the classes allow, so the work follows the classes, not the items.
@@ -133,16 +112,16 @@ def best_fit(hist: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int
     left, sizes, out = dict(hist), sorted(hist), []
     while sizes:
         pattern: list[int] = []
-        room_left, taken = room, {}
+        room, taken = capacity, {}
         k = len(sizes) - 1
         while k >= 0:
             s = sizes[k]
-            if s <= room_left and left[s] - taken.get(s, 0) > 0:
+            if s <= room and left[s] - taken.get(s, 0) > 0:
                 pattern.append(s)
                 taken[s] = taken.get(s, 0) + 1
-                room_left -= s
+                room -= s
             else:
-                k = min(k - 1, bisect_right(sizes, room_left) - 1)
+                k = min(k - 1, bisect_right(sizes, room) - 1)
         times = min(left[s] // c for s, c in taken.items())
         out.append((tuple(pattern), times))
         for s, c in taken.items():
@@ -152,49 +131,60 @@ def best_fit(hist: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int
     return out
 
 
-def layout(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int]]:
-    """``(class, first rank, last rank, container of the first rank)`` for every place of the plan."""
-    rows, used, base = [], {}, 0
+def layout(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int]]:
+    """``(size, first rank, container of the first rank)`` for every place of the plan; ranks of a size have no gaps."""
+    rows, used, base = [], Counter(), 0
     for pattern, times in plan:
         for s in pattern:
-            a = used.get(s, 0)
-            rows.append((s, a, a + times - 1, base))
-            used[s] = a + times
+            rows.append((s, used[s], base))
+            used[s] += times
         base += times
     return rows
 
 
+def _look_up(ranked: DataFrame, places: list[tuple[int, int, int]], most: int) -> DataFrame:
+    """``ranked`` (``m``, ``rank``) with ``container``: the place whose first rank is the last not above the item's, by bisection."""
+    code = np.array([s * (most + 1) + a for s, a, _ in places], dtype=np.int64)
+    order = np.argsort(code)
+    shift = np.array([base - a for _, a, base in places], dtype=np.int64)[order]
+    # as many rows as the plan has places: bounded by the capacity and PATTERNS, not by the items
+    shared = ranked.sparkSession.sparkContext.broadcast((code[order], shift))
+
+    def run(batches):
+        code, shift = shared.value
+        for b in batches:
+            m, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("m", "rank"))
+            place = np.searchsorted(code, m * (most + 1) + rank, side="right") - 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rank + shift[place])], names=[*b.schema.names, "container"])
+
+    return ranked.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in ranked.schema)}, container bigint")
+
+
 def pack(sizes: DataFrame, key: str, capacity: int) -> DataFrame:
     """Containers of the items of ``sizes`` (``key``, ``tokens``): ``key, part, tok_start, tok_end, tokens, container``.
 
     An item larger than ``capacity`` is cut into full containers and a remainder, which is packed like an item; no other
-    item is split. Ranks within a class are taken in parts of about ``RANKED`` items, so a class with a third of all
+    item is split. Ranks within a size are taken in parts of about ``RANKED`` items, so a size with a third of all
     items is spread. Defined cases: items of 0 tokens (or NULL) stand in container 0, which they do not fill; a NULL key
-    is an item; equal keys are items each; no items give no containers.
+    is an item; equal keys are items each; no items give no containers; a capacity below 1 is an error.
     """
-    unit = class_size(capacity)
-    room = capacity // unit
-    cut = sizes.select(F.col(key).alias("k"), F.coalesce("tokens", F.lit(0)).alias("n"))
+    if capacity < 1:
+        raise ValueError("a container holds at least one token")
+    cut = sizes.select(F.col(key).alias("k"), F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("bigint").alias("n"))
     parts = F.when(F.col("n") > capacity, F.ceil(F.col("n") / capacity)).otherwise(1).cast("int")
-    piece = cut.select("k", "n", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).withColumn("a", F.col("part") * capacity).withColumn("b", F.least(F.col("a") + capacity, F.col("n")))
-    piece = piece.withColumn("m", (F.col("b") - F.col("a")).cast("int")).withColumn("cls", F.ceil(F.col("m") / unit).cast("int"))
-    piece = materialize(piece.withColumn("salt", F.xxhash64("k", "part")).drop("n"))
-    hist = {r.cls: r.n for r in piece.groupBy("cls").agg(F.count("*").alias("n")).collect()}  # at most capacity + 1 rows
-    hist.pop(0, None)
-    places = layout(plan_containers(hist, room))
+    piece = cut.select("k", "n", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).withColumn("a", F.col("part") * F.lit(capacity).cast("bigint")).withColumn("b", F.least(F.col("a") + capacity, F.col("n")))
+    piece = materialize(piece.select("k", "part", "a", "b", (F.col("b") - F.col("a")).cast("int").alias("m"), F.xxhash64("k", "part").alias("salt")))
+    hist = {r.m: r.n for r in piece.where("m > 0").groupBy("m").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     shards = max(1, math.ceil(max(hist.values(), default=0) / RANKED))
-    piece = piece.withColumn("shard", F.pmod("salt", F.lit(shards)).cast("int"))
-    per = piece.where("cls > 0").groupBy("cls", "shard").agg(F.count("*").alias("n"))
-    before = per.withColumn("before", F.sum("n").over(Window.partitionBy("cls").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = F.broadcast(before.select("cls", "shard", F.coalesce("before", F.lit(0)).alias("before"))) if shards == 1 else before.select("cls", "shard", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = piece.where("cls > 0").withColumn("r", F.row_number().over(Window.partitionBy("cls", "shard").orderBy("salt", "k", "part")) - 1).join(offsets, ["cls", "shard"]).withColumn("rank", F.col("r") + F.col("before"))
-    spark = sizes.sparkSession
-    # at most (classes + fitted patterns) x places rows, bounded by the capacity
-    table = spark.createDataFrame([(c, a, b, k) for c, a, b, k in places] or [(-1, 0, 0, 0)], "cls int, lo bigint, hi bigint, base bigint")
-    found = ranked.join(F.broadcast(table), (ranked.cls == table.cls) & (ranked["rank"] >= table.lo) & (ranked["rank"] <= table.hi)).withColumn("container", F.col("base") + F.col("rank") - F.col("lo"))
-    empty = piece.where("cls = 0").withColumn("container", F.lit(0).cast("bigint"))
+    full = piece.where("m > 0").withColumn("shard", F.pmod("salt", F.lit(shards)).cast("int"))
+    per = full.groupBy("m", "shard").agg(F.count("*").alias("n"))
+    before = per.select("m", "shard", F.coalesce(F.sum("n").over(Window.partitionBy("m").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    offsets = F.broadcast(before) if shards == 1 else before
+    ranked = full.withColumn("r", F.row_number().over(Window.partitionBy("m", "shard").orderBy("salt", "k", "part")) - 1).join(offsets, ["m", "shard"]).select("k", "part", "a", "b", "m", (F.col("r") + F.col("before")).alias("rank"))
+    places = layout(plan_containers(hist, capacity))
     cols = [F.col("k").alias(key), F.col("part"), F.col("a").alias("tok_start"), F.col("b").alias("tok_end"), F.col("m").alias("tokens"), "container"]
-    return found.select(*cols).unionByName(empty.select(*cols))
+    empty = piece.where("m = 0").withColumn("container", F.lit(0).cast("bigint")).select(*cols)
+    return _look_up(ranked, places, max(hist.values())).select(*cols).unionByName(empty) if places else empty
 
 
 def report(packed: DataFrame, capacity: int) -> DataFrame:
