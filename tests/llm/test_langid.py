@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import langid as L
 
@@ -68,6 +69,35 @@ def test_issues(spark, fitted, rows):
     assert rows(L.label_issues(found)) == sorted([(2, "wrong"), (3, "missing"), (4, "missing"), (5, "missing"), (6, "mixed"), (10, "mixed"), (10, "wrong")], key=repr)
 
 
+def test_confidence(fitted):
+    model, _, say = fitted
+    k = len(model.langs)
+    tie = np.full((1, k), -10.0) - 0.001 * np.arange(k)
+    assert abs(L.certainty(tie, 0) - 1 / k) < 0.01 and abs(L.certainty(np.array([[-10.0, -10.0, -90.0]]), 0) - 0.5) < 0.01
+    assert L.certainty(np.array([[-10.0, -1000.0], [0.0, -5.0]]), 1) >= 0.0
+    # what two languages share leaves both open, and more text settles it
+    short = L.analyse(model, "plan")["confidence"]
+    assert short < 0.9 < L.analyse(model, say("pt"))["confidence"] <= 1.0
+
+
+def test_confidence_is_calibrated(fitted):
+    """Words of held-out texts: those given about the same confidence are right about as often."""
+    model, _, _ = fitted
+    docs, _ = corpus(40, seed=11)
+    got = [(r["confidence"], r["lang"] == lang) for _, _, lang, t in docs for w in set(L._RUN.findall(t)) if (r := L.analyse(model, w))]
+    sure, right = (np.array(x, float) for x in zip(*got))
+    apart = sum(abs(sure[m].mean() - right[m].mean()) * m.mean() for lo in np.arange(0, 1, 0.1) for m in [(sure > lo) & (sure <= lo + 0.1)] if m.any())
+    assert apart < 0.1 and abs(sure.mean() - right.mean()) < 0.1, (apart, sure.mean(), right.mean())
+
+
+def test_sample_without_exchange(spark):
+    rows = [(i, "en" if i % 50 else "fr", "x") for i in range(6000)] + [(i, "de", "x") for i in range(6000, 6030)]
+    known = spark.createDataFrame(rows, "doc_id bigint, label_lang string, text string")
+    got = {r.label_lang: r.n for r in L.sampled(known, 300).groupBy("label_lang").agg(F.count("*").alias("n")).collect()}
+    assert got["de"] == 30 and got["fr"] == 120 and 240 < got["en"] < 360
+    assert "Exchange hashpartitioning" not in L.sampled(known, 300).select("text")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
 def test_mixture():
     ll = np.log(np.array([[0.9, 0.1], [0.8, 0.2], [0.85, 0.15]])) * 50
     shares, post = L.mixture(ll)
