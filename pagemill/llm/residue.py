@@ -19,37 +19,49 @@ MARKER = re.compile(r"<!--\s*page:.*?-->")
 OWN_RESULTS = re.compile(r"\[空白页\]|\[图片识别失败\]|\[logo\]|\[装饰图片\]")
 
 _FILL = r"(?:fill[ -]?in|to be (?:completed|supplied|confirmed|determined|added|filled)|insert|enter|your|add|choose|select|placeholder|tbd|tbc|todo|company name|client name|fund name|à compléter|à remplir|insérer|completar|rellenar|insertar|preencher|inserir|a definir|einfügen|ausfüllen|заполнить|вставить|укажите|待补充|待填|待定|待录入|待确认|待完善|请填写|请输入|请选择|此处填写|在此|点击输入|填写|插入|请插入|粘贴|入力してください|記入)"
+
+#: Square brackets, for a character class.
+_SQUARE = r"\[\]"
+
+
+def _within(excluded: str) -> str:
+    """A character of a paragraph but ``excluded``: a placeholder may go over a line end, not over a blank line."""
+    return rf"(?:[^{excluded}\n]|\n(?![ \t]*\n))"
+
+
 #: Delimiter-specific grammars. Each entry: name, pattern, whether prose around a match may explain it away.
 PLACEHOLDERS = (
-    ("double braces", re.compile(r"\{\{[^{}\n]{1,80}\}\}|\{\{[^\n]{1,80}?\}\}"), True),
-    ("statement braces", re.compile(r"\{%-?[^%\n]{1,80}-?%\}"), True),
-    ("dollar braces", re.compile(r"[$#]\{[A-Za-z_][\w.\[\]\-]{0,60}\}"), True),
-    ("dollar name", re.compile(r"(?<![\w$])\$[A-Za-z][A-Za-z_]{0,40}\$|(?<![\w$])\$[A-Za-z_]*_[A-Za-z_]+\b|(?<=[:：])\s*\$[A-Za-z]\w{0,30}[ \t]*$", re.M), True),
+    ("double braces", re.compile(rf"\{{\{{{_within('{}')}+\}}\}}|\{{\{{{_within('')}+?\}}\}}"), True),
+    ("statement braces", re.compile(rf"\{{%-?{_within('%')}+-?%\}}"), True),
+    ("dollar braces", re.compile(r"[$#]\{[A-Za-z_][\w.\[\]\-]*\}"), True),
+    ("dollar name", re.compile(r"(?<![\w$])\$[A-Za-z][A-Za-z_]*\$|(?<![\w$])\$[A-Za-z_]*_[A-Za-z_]+\b|(?<=[:：])\s*\$[A-Za-z]\w*[ \t]*$", re.M), True),
     ("percent name", re.compile(r"%%?[A-Z][A-Z]*(?:_[A-Z0-9]+)+%%?|%\([a-z_]+\)[sd]"), True),
     ("at name", re.compile(r"@@[A-Za-z_][\w.]*@@|__[A-Z][A-Z0-9_]*[A-Z0-9]__"), True),
-    ("server tag", re.compile(r"<%[=\-@#]?[^%\n]{1,80}%>|<\?=[^?\n]{1,60}\?>"), True),
-    ("angle name", re.compile(r"<<[^<>\n]{1,40}>>|«{2}[^«»\n]{1,40}»{2}"), True),
-    ("angle field", re.compile(r"<(?:enter|insert|your|fill|add|please|type|choose|select|placeholder|tbd|请|填|输入|待)[^<>\n]{0,40}>", re.I), True),
-    ("square double", re.compile(r"\[\[[A-Z][A-Z0-9 _\-]{2,40}\]\]|\[\[[^\[\]\n]{0,6}(?:insert|fill|enter|请|待)[^\[\]\n]{0,30}\]\]", re.I), True),
-    ("square field", re.compile(rf"\[\s*{_FILL}[^\[\]\n]{{0,60}}\]|\[(?:TBD|TBC|TODO)\b[^\]\n]{{0,60}}\]|\[(?:Company|Client|Fund|Issuer|Manager|Insert|Your|Nom|Nome|Nombre)[ _][A-Z][\w<>!: \-]{{0,60}}\]", re.I), True),
-    ("lenticular field", re.compile(rf"[【〔［(（]\s*(?:{_FILL})[^】〕］)）\n]{{0,40}}[】〕］)）]", re.I), True),
+    ("server tag", re.compile(rf"<%[=\-@#]?{_within('%')}+%>|<\?={_within('?')}+\?>"), True),
+    ("angle name", re.compile(rf"<<{_within('<>')}+>>|««{_within('«»')}+»»"), True),
+    ("angle field", re.compile(rf"<(?:enter|insert|your|fill|add|please|type|choose|select|placeholder|tbd|请|填|输入|待){_within('<>')}*>", re.I), True),
+    ("square double", re.compile(rf"\[\[[A-Z][A-Z0-9 _\-]{{2,}}\]\]|\[\[{_within(_SQUARE)}*?(?:insert|fill|enter|请|待){_within(_SQUARE)}*\]\]", re.I), True),
+    ("square field", re.compile(rf"\[\s*{_FILL}{_within(_SQUARE)}*\]|\[(?:TBD|TBC|TODO)\b{_within(_SQUARE)}*\]|\[(?:Company|Client|Fund|Issuer|Manager|Insert|Your|Nom|Nome|Nombre)[ _][A-Z][\w<>!: \-]*\]", re.I), True),
+    ("lenticular field", re.compile(rf"[【〔［]\s*{_FILL}{_within('】〕］')}*[】〕］]", re.I), True),
+    # round brackets hold sentences as well, which begin with such words too
+    ("round field", re.compile(rf"[(（]\s*{_FILL}{_within('()（）.!?。！？')}*[)）]", re.I), True),
     ("numbered argument", re.compile(r"(?<![A-Za-z0-9_{\\$])\{\d{1,2}\}(?![A-Za-z0-9_}])"), True),
     ("serialised object", re.compile(r"\[object Object\]|\bundefined undefined\b|(?<=[:：] )(?:undefined|NaN|null)[ \t]*$", re.M), True),
     ("masked name", re.compile(r"(?<![A-Za-z0-9+/])[XＸ×]{3,}(?:有限公司|股份|公司|基金|[ _]?(?:Ltd|Inc|LLC|GmbH|SA|Company|Fund|Corp)\b)|(?<![A-Za-z0-9+/])X{2}/X{2}/(?:20)?X{2,4}|[某×Ｘ]{2,}年[某×Ｘ]{1,}月|20[XＸ×]{2}(?:年|\b)"), True),
     ("blank date", re.compile(r"[_＿]{2,}\s*年\s*[_＿]{1,}\s*月|[_＿]{1,4}/[_＿]{1,4}/[_＿]{2,4}"), False),
-    ("pending image", re.compile(r"<!--\s*IMG_OCR:[^>\n]{0,60}-->|<!-- IMG_OCR:"), False),
+    ("pending image", re.compile(r"<!--\s*IMG_OCR:(?:[^>\n]*-->)?"), False),
     ("form blank", re.compile(r"(?:^|[:：])[ \t]*(?:_{3,}|＿{2,}|\.{6,}|…{3,})[ \t]*$|[_＿]{6,}", re.M), False),
     ("form box", re.compile(r"[:：][ \t]*(?:\[[ \t]*\]|【[ \t　]*】|（[ 　]*）|\([ \t]*\))[ \t]*$", re.M), False),
     ("form prompt", re.compile(r"[:：][ \t]*(?:请输入|请填写|请选择|待填|待补充|待定|待录入|N/?A[ \t]*[（(](?:待填|to be (?:filled|completed|added)|à compléter|por completar|a preencher)[）)]|to be (?:filled in|completed|confirmed|supplied)|TBD|TBC|TODO|click (?:or tap )?(?:here )?to enter text\.?|à compléter|por completar|a preencher)[ \t]*$", re.M | re.I), False),
 )
 
-#: Filler: repeated or telltale dummy text. Matched line by line.
-FILLER_LINE = re.compile(
-    r"(?:lorem ipsum\b.*|(?:(?:test|asdf|qwer|foo|bar|blah|xxx|dummy|sample|abc|测试|占位|テスト|тест|prueba|teste|essai)[ \t,.，。]*){2,}"
-    r"|(?:sample|dummy|placeholder|filler|body|example) (?:text|copy|content|paragraph)\b[^\n]{0,60}|your (?:heading|text|title|content|headline|logo)\b[^\n]{0,30}"
-    r"|[^\n]{0,60}\b(?:copy|text|content) (?:to be|will be) (?:supplied|added|provided|inserted)\b[^\n]{0,30}|(?:replace|insert|add|type|enter) (?:this|your)\b[^\n]{0,60}(?:text|content|paragraph|heading|copy|here)\b[^\n]{0,20}"
-    r"|(?:一二三四五六七八九十|甲乙丙丁戊己庚辛|一二三四五|a ?b ?c ?d ?e ?f ?g|qwerty(?:uiop)?|1234567890)+[ \t,.，。]*|(?:click|tap) (?:here )?to (?:add|edit|enter)\b[^\n]{0,40}|[^\n]{0,12}(?:正文|内容|标题|文字|段落)[^\n]{0,8}(?:待录入|待补充|待填|占位|在此|预览)[^\n]{0,12}|在此(?:输入|添加|填写|处)[^\n]{0,20}|(?:这里|此处)(?:是|为)?(?:占位|示例|测试|填写)[^\n]{0,30}|请在此[^\n]{0,30}"
-    r"|texte (?:d['’]exemple|à venir|fictif)\b[^\n]{0,40}|(?:texto|conteúdo|contenido) (?:de (?:exemplo|ejemplo|relleno)|provisório|a inserir|por insertar)\b[^\n]{0,40}|(?:Beispiel|Blind|Platzhalter)text\b[^\n]{0,40}|(?:пример текста|текст-заполнитель|здесь будет текст)[^\n]{0,40}|(?:ここに|ダミー)[^\n]{0,30}(?:入力|テキスト)[^\n]{0,20})",
+#: Filler: repeated or telltale dummy text, matched at the start of a sentence; what follows in it may hold no figure.
+FILLER = re.compile(
+    r"(?:lorem ipsum\b|(?:(?:test|asdf|qwer|foo|bar|blah|xxx|dummy|sample|abc|测试|占位|テスト|тест|prueba|teste|essai)[ \t,.，。]*){2,}$"
+    r"|(?:sample|dummy|placeholder|filler|body|example) (?:text|copy|content|paragraph)\b|your (?:heading|text|title|content|headline|logo)\b"
+    r"|[^\n]*\b(?:copy|text|content) (?:to be|will be) (?:supplied|added|provided|inserted)\b|(?:replace|insert|add|type|enter) (?:this|your)\b[^\n]*\b(?:text|content|paragraph|heading|copy|here)\b"
+    r"|(?:一二三四五六七八九十|甲乙丙丁戊己庚辛|一二三四五|a ?b ?c ?d ?e ?f ?g|qwerty(?:uiop)?|1234567890)+[ \t,.，。]*$|(?:click|tap) (?:here )?to (?:add|edit|enter)\b|[^\n，]*(?:正文|内容|标题|文字|段落)[^\n，]*(?:待录入|待补充|待填|占位|在此|预览)|在此(?:输入|添加|填写|处)|(?:这里|此处)(?:是|为)?(?:占位|示例|测试|填写)|请在此"
+    r"|texte (?:d['’]exemple|à venir|fictif)\b|(?:texto|conteúdo|contenido) (?:de (?:exemplo|ejemplo|relleno)|provisório|a inserir|por insertar)\b|(?:Beispiel|Blind|Platzhalter)text\b|(?:пример текста|текст-заполнитель|здесь будет текст)|(?:ここに|ダミー)[^\n]*(?:入力|テキスト))",
     re.I,
 )
 
@@ -60,21 +72,25 @@ ERROR = re.compile(
     r"|\b(?:access|permission) (?:denied|forbidden)|\bacc[èe]s refus[ée]|\bacceso denegado|\bacesso negado|Zugriff verweigert|доступ (?:запрещ[её]н|закрыт)|アクセス(?:が)?(?:拒否|できません)|没有(?:访问|权限)|无权(?:访问|限)|访问(?:被拒绝|受限)|权限不足"
     r"|\b(?:session|sesi[óo]n|sess[ãa]o) (?:has |a |ha )?(?:expir|timed out)|session (?:expirée|a expiré)|Sitzung (?:ist )?abgelaufen|сессия истекла|(?:会话|登录|セッション)(?:已|が)?(?:过期|失效|超时|切れ)"
     r"|\b(?:service|server|servicio|servi[çc]o|serveur) (?:is )?(?:temporarily |currently |temporalmente |temporariamente |temporairement )?(?:unavailable|down|no disponible|indispon[íi]vel|indisponible)|(?:服务|系统|网站)(?:暂)?(?:不可用|繁忙|维护|异常)|サービス(?:は|が)?(?:一時的に)?(?:利用できません|停止)|сервис (?:временно )?недоступен"
-    r"|\b(?:internal|unexpected|unknown|fatal) (?:server )?error\b|something went wrong|too many requests|\b(?:request|gateway|connection|upstream)[^\n]{0,30}(?:timed? ?out|could not be served|did not answer|failed|refused|reset)\b|请求(?:超时|过于频繁|失败|被拒)|(?:网络|连接)(?:超时|异常|错误|失败)|(?:加载|读取|下载|渲染)(?:失败|超时|出错)|请(?:稍后|刷新)[^\n]{0,6}(?:重试|再试)|délai d['’]attente|tiempo de espera|tempo (?:limite )?esgotado|\btry again later\b|\bretry later\b|réessayer|intente de nuevo|tente novamente"
-    r"|\b\w*(?:Error|Exception): [^\n]{0,80}|\bTraceback \(most recent|^\s+at [\w.$<>]+ ?\([^)\n]*\)|\bstack trace\b|Warning: \w+\(\)|\bReference (?:#|no\.? ?)?[0-9a-f]{6,}\b|\bRay(?: ID)?: [0-9a-f]{6,}|请求号[:：]|错误编号",
+    r"|\b(?:internal|unexpected|unknown|fatal) (?:server )?error\b|something went wrong|too many requests|\b(?:request|gateway|connection|upstream)[^\n]*(?:timed? ?out|could not be served|did not answer|failed|refused|reset)\b|请求(?:超时|过于频繁|失败|被拒)|(?:网络|连接)(?:超时|异常|错误|失败)|(?:加载|读取|下载|渲染)(?:失败|超时|出错)|请(?:稍后|刷新)[^\n]*(?:重试|再试)|délai d['’]attente|tiempo de espera|tempo (?:limite )?esgotado|\btry again later\b|\bretry later\b|réessayer|intente de nuevo|tente novamente"
+    r"|\b\w*(?:Error|Exception): |\bTraceback \(most recent|^\s+at [\w.$<>]+ ?\([^)\n]*\)|\bstack trace\b|Warning: \w+\(\)|\bReference (?:#|no\.? ?)?[0-9a-f]{6,}\b|\bRay(?: ID)?: [0-9a-f]{6,}|请求号[:：]|错误编号",
     re.I | re.M,
 )
 
 #: Notices that scripts, cookies or a newer browser are needed.
 SCRIPT = re.compile(
-    r"<noscript\b|\b(?:enable|activate|allow|turn(?:ed)? (?:on|off)|requires?|need(?:s|ed)?(?: to)?(?: \w+){0,2}|disabled?|without|supports?)\b[^\n.]{0,40}\b(?:java ?script|scripts?\b|cookies)|\b(?:java ?script|scripts?|cookies)\b[^\n.]{0,40}\b(?:is|are|must be|to be|has been|need)?\s*(?:required|disabled|enabled|turned o(?:n|ff)|blocked|needed|not (?:supported|enabled|available))"
-    r"|\b(?:activez|activer|active|ative|activar|ativar|habilite|habilitar|aktivieren Sie|autorisez|permita|permitir)\b[^\n.]{0,30}\b(?:java ?script|scripts?|cookies)|java ?script[^\n.]{0,30}(?:désactivé|requis|nécessaire|desactivado|desativado|necess[áa]rio|deaktiviert|erforderlich|отключ|необходим)|включите[^\n.]{0,20}(?:java ?script|скрипт)|(?:browser|navigateur|navegador|Browser|браузер)[^\n.]{0,50}(?:out of date|outdated|not supported|unsupported|too old|upgrade|update|obsolète|mettez à jour|desactualizad|actualice|atualize|veraltet|устарел|обновите)|(?:upgrade|update|mettez à jour|actualice|atualize|aktualisieren|обновите)[^\n.]{0,30}(?:browser|navigateur|navegador|браузер)|checking your browser|loading(?:…|\.\.\.)[^\n]{0,60}"
-    r"|(?:启用|开启|打开|允许|支持|禁用|关闭)[^\n。]{0,10}(?:脚本|JavaScript|Cookie)|(?:脚本|JavaScript|Cookie)[^\n。]{0,8}(?:被?禁用|未启用|运行|不可用|关闭)|浏览器[^\n。]{0,12}(?:版本)?(?:过低|过旧|太旧|不支持|升级|更新)|(?:ブラウザ|スクリプト|JavaScript)[^\n。]{0,20}(?:有効|無効|更新|必要|対応していません)",
+    r"<noscript\b|\b(?:enable|activate|allow|turn(?:ed)? (?:on|off)|requires?|need(?:s|ed)?(?: to)?(?: \w+){0,2}|disabled?|without|supports?)\b[^\n.]*\b(?:java ?script|scripts?\b|cookies)|\b(?:java ?script|scripts?|cookies)\b[^\n.]*\b(?:is|are|must be|to be|has been|need)?\s*(?:required|disabled|enabled|turned o(?:n|ff)|blocked|needed|not (?:supported|enabled|available))"
+    r"|\b(?:activez|activer|active|ative|activar|ativar|habilite|habilitar|aktivieren Sie|autorisez|permita|permitir)\b[^\n.]*\b(?:java ?script|scripts?|cookies)|java ?script[^\n.]*(?:désactivé|requis|nécessaire|desactivado|desativado|necess[áa]rio|deaktiviert|erforderlich|отключ|необходим)|включите[^\n.]*(?:java ?script|скрипт)|(?:browser|navigateur|navegador|Browser|браузер)[^\n.]*(?:out of date|outdated|not supported|unsupported|too old|upgrade|update|obsolète|mettez à jour|desactualizad|actualice|atualize|veraltet|устарел|обновите)|(?:upgrade|update|mettez à jour|actualice|atualize|aktualisieren|обновите)[^\n.]*(?:browser|navigateur|navegador|браузер)|checking your browser|loading(?:…|\.\.\.)"
+    r"|(?:启用|开启|打开|允许|支持|禁用|关闭)[^\n。]*(?:脚本|JavaScript|Cookie)|(?:脚本|JavaScript|Cookie)[^\n。]*(?:被?禁用|未启用|运行|不可用|关闭)|浏览器[^\n。]*(?:版本)?(?:过低|过旧|太旧|不支持|升级|更新)|(?:ブラウザ|スクリプト|JavaScript)[^\n。]*(?:有効|無効|更新|必要|対応していません)",
     re.I,
 )
 
-#: Text that speaks about template syntax: such prose explains one kind of match away in its own paragraph.
-ABOUT = re.compile(r"\b(?:template (?:engine|syntax|language|variable)s?|placeholders? (?:such as|like|are|is)|syntax|curly (?:braces|brackets)|e\.g\.|for example|for instance|tutorial|documentation|markup language|variables? (?:are|is|such as)|escap(?:e|ed|ing)|literal(?:ly)?|notation|the set)\b|花括号|占位符|模板(?:语法|引擎|变量)|语法|例如|教程|变量(?:形如|用|以)|accolades|llaves|chaves|syntaxe|sintaxis|sintaxe|фигурн|波括弧|テンプレート", re.I)
+#: Terms of template syntax: in the sentence of a match or the one before it they explain the match away.
+ABOUT = re.compile(r"\b(?:template (?:engine|syntax|language|variable)s?|placeholders? (?:such as|like|are|is)|syntax|curly (?:braces|brackets)|tutorial|markup language|variables? (?:are|is|such as|like|in)|escap(?:e|ed|ing)|notation)\b|花括号|占位符|模板(?:语法|引擎|变量)|语法|教程|变量(?:形如|用|以)|标记变量|accolades|llaves|chaves|syntaxe|sintaxis|sintaxe|фигурн|波括弧|テンプレート", re.I)
+#: Words that make what follows at once an example.
+EXAMPLE = re.compile(r"(?:\b(?:e\.g\.|for example|for instance|such as|like|written|the (?:set|literal|string|token))|例如|形如|比如|诸如)[\s,:，：\"'“”「『‘’(（]*$", re.I)
+#: Ends of sentences and paragraphs.
+_STOP = re.compile(r"[.!?](?=\s)|[。！？]|\n[ \t]*(?=\n)")
 
 _FENCE = re.compile(r"^(```|~~~)[^\n]*\n.*?(?:^\1[ \t]*$|\Z)", re.S | re.M)
 _INLINE = re.compile(r"`[^`\n]+`")
@@ -89,37 +105,42 @@ def _may_hold(text: str) -> bool:
     return any(x in text for x in _LITERALS) or _HINT.search(text) is not None
 
 
-#: Share of a page's letters that filler, error and notice lines must make up.
-SHARE = 0.6
-#: Characters of other text beside messages that make no difference; beyond it, other text may be twice as long as they are.
-OTHER_TEXT = 160
-
-
-#: Longer lines are paragraphs: their sentences are looked at one by one.
-LINE = 160
-_DIGIT = re.compile(r"\d")
+#: Share of a page's letters that filler must make up, and share of its sentences that messages must.
+SHARE, MESSAGES = 0.6, 1 / 3
 _SENTENCE = re.compile(r"(?<=[.!?]) +|(?<=[。！？])")
+_FIGURE = re.compile(r"\d")
 #: A line of a stack trace below its message.
 _FRAME = re.compile(r'^[ \t]*(?:at [\w.$<>/]+ ?\([^)\n]*\)|File "[^"\n]+", line \d+|\.\.\. \d+ more$|Caused by: )', re.M)
+#: Something counted: a sentence that does so tells of errors, it is none. Codes and waiting times are not counts.
+_COUNT = re.compile(r"(?<![\w#:.\-/])(?!(?:[1-5]\d\d)\b)\d[\d.,]*(?:[ -]+(?!(?:seconds?|minutes?|hours?|ms|secondes?|segundos?|minutos?|минут|секунд|s)\b)[a-zà-ÿа-яё][\w\-]{2,}|[次家个件位名笔项])")
+#: Report text beside a message: a table row, or a line of prose with figures.
+_TABLE_ROW = re.compile(r"\|[^|\n]*\|[^|\n]*\|")
+
+
+def _explained(text: str, a: int, b: int) -> bool:
+    """Whether the words around ``text[a:b]`` speak about it: an example is announced right before it, or syntax is the topic of its sentence or the one before."""
+    lo = text.rfind("\n\n", 0, a) + 1
+    before = text[lo:a]
+    if EXAMPLE.search(before):
+        return True
+    ends = [m.end() for m in _STOP.finditer(before)]
+    end = _STOP.search(text, b)
+    return ABOUT.search(before[ends[-2] if len(ends) > 1 else 0 :] + " " + text[b : end.start() if end else len(text)]) is not None
 
 
 def placeholders(text: str) -> list[tuple[str, int, int]]:
     """``(grammar, start, end)`` of the placeholders in ``text`` that nothing explains away."""
     if not _may_hold(text):
         return []
-    code = [m.span() for m in _FENCE.finditer(text)] + [m.span() for m in _INLINE.finditer(text)] + [m.span() for m in _BLOB.finditer(text)] + [m.span() for m in OWN_RESULTS.finditer(text)]
+    code = None
     found = []
     for name, pattern, may in PLACEHOLDERS:
         for m in pattern.finditer(text):
             a, b = m.span()
-            if a == b or any(x <= a < y for x, y in code):
+            if code is None:
+                code = [x.span() for skip in (_FENCE, _INLINE, _BLOB, OWN_RESULTS) for x in skip.finditer(text)]
+            if a == b or any(x <= a < y for x, y in code) or may and _explained(text, a, b):
                 continue
-            if may:
-                lo = text.rfind("\n\n", 0, a) + 1
-                hi = text.find("\n\n", b)
-                around = text[lo:a] + text[b : hi if hi >= 0 else len(text)]
-                if ABOUT.search(around):
-                    continue
             found.append((name, a, b))
     return found
 
@@ -130,7 +151,7 @@ def _letters(s: str) -> int:
 
 def _pseudo_latin(body: str) -> bool:
     """Filler of a made-up tongue: several sentences drawn from a few words only, in no order, without one digit or function word."""
-    if re.search(r"\d", body):
+    if _FIGURE.search(body):
         return False
     words = re.findall(r"[^\W\d_]+", body.lower())
     if len(words) < 12 or any(ord(c) > 0x24F for w in words for c in w):
@@ -155,68 +176,66 @@ def classify(text: str | None) -> tuple[str | None, list[tuple[str, int, int]]]:
     lines = [l.strip(" \t#>*-•") for l in body.split("\n") if l.strip()]
     if _all_filler(lines, body):
         return "filler", found
-    report = _report_lines(body)
+    traced = _FRAME.search(body) is not None
+    report = sorted((l for l in lines if _TABLE_ROW.search(l) or _reports(l)), key=len)
     for kind, pattern in (("script", SCRIPT), ("error", ERROR)):
-        if not _other_report(pattern, report, body) and pattern.search(body):
-            hit = _message_lines(pattern, body)
-            size = sum(map(len, hit))
-            if hit and len(body) - size <= max(OTHER_TEXT, 2 * size) and not _report_like(body, hit):
-                return kind, found
+        # most often the first line that reports figures and is no message settles it
+        if (traced or all(map(pattern.search, report))) and _is_message(pattern, body, traced):
+            return kind, found
     return ("placeholder", found) if found else (None, [])
 
 
-def _report_lines(body: str) -> list[str]:
-    """Lines that ``_report_like`` takes for a report's if they are no messages, the shortest first."""
-    return sorted((l for l in body.split("\n") if len(l) > 50 and _DIGIT.search(l) or l.count("|") > 2), key=len)
+def _is_message(pattern: re.Pattern, body: str, traced: bool) -> bool:
+    """Whether ``body`` is a message: a third of its sentences or of its letters are, and nothing beside them reports figures.
 
-
-def _other_report(pattern: re.Pattern, report: list[str], body: str) -> bool:
-    """Whether one of the report lines holds no message: most often the first one settles that the page is none."""
-    return any(not pattern.search(l) for l in report) and not (_FRAME.search(body) and pattern.search(body))
-
-
-def _message_lines(pattern: re.Pattern, body: str) -> list[str]:
-    """Lines that are messages, of long ones the sentences that are; the frames of a stack trace, and the code below each, count with its message."""
-    hit, code = [], False
+    Frames of a stack trace, and the code below each, are part of it.
+    """
+    hits = others = hit_letters = other_letters = told = 0
+    code = False
     for raw in body.split("\n"):
         l = raw.strip(" \t#>*-•")
         if not l:
             continue
-        if _FRAME.match(raw) or code and raw[:1] in " \t":
-            hit.append(l)
-            code = raw.lstrip().startswith("File ")
-            continue
-        code = False
-        if pattern.search(l):
-            hit += [l] if len(l) <= LINE else [x for x in _SENTENCE.split(l) if pattern.search(x)]
-    return hit
+        if traced:
+            if _FRAME.match(raw) or code and raw[:1] in " \t":
+                hits, hit_letters = hits + 1, hit_letters + len(l)
+                code = raw.lstrip().startswith("File ")
+                continue
+            code = False
+        for x in _SENTENCE.split(l):
+            if pattern.search(x):
+                if _COUNT.search(x):
+                    return False
+                told, hits, hit_letters = told + 1, hits + 1, hit_letters + len(x)
+            elif x.strip():
+                if _TABLE_ROW.search(x) or _reports(x):
+                    return False
+                others, other_letters = others + 1, other_letters + len(x)
+    return told > 0 and (hits >= MESSAGES * (hits + others) or hit_letters >= MESSAGES * (hit_letters + other_letters))
+
+
+def _reports(sentence: str) -> bool:
+    """Whether a sentence that is no message gives figures as a report does: it counts something, or is long beside its figures."""
+    return _FIGURE.search(sentence) is not None and (len(sentence) > 50 or _COUNT.search(sentence) is not None)
 
 
 def _all_filler(lines: list[str], body: str) -> bool:
-    """Whether filler lines make up ``SHARE`` of the letters; stops as soon as other lines exceed the rest."""
+    """Whether filler makes up ``SHARE`` of the letters; stops as soon as other sentences exceed the rest."""
     if re.match(r"\W*lorem ipsum\b", body, re.I) or _pseudo_latin(body):
         return True
-    if len(lines) >= 2 and len(set(lines)) == 1 and len(lines[0]) < 60 and _letters(lines[0]) and not re.search(r"\d", lines[0]):
+    if len(lines) >= 2 and len(set(lines)) == 1 and _letters(lines[0]) and not _FIGURE.search(lines[0]):
         return True
     allowed = (1 - SHARE) * _letters(body)
-    for line in lines:
-        if len(line) > 200 or not FILLER_LINE.fullmatch(line):
-            allowed -= _letters(line)
-            if allowed < 0:
-                return False
+    for line in sorted(lines, key=len, reverse=True):
+        for x in _SENTENCE.split(line):
+            m = FILLER.match(x)
+            if not m or _FIGURE.search(x, m.end()):
+                allowed -= _letters(x)
+                if allowed < 0:
+                    return False
     return _letters(body) > 0
 
 
-def _report_like(body: str, hit: list[str]) -> bool:
-    """Whether the page holds report text beside the message: a sentence of prose with figures, or a table."""
-    rest = body
-    for l in hit:
-        rest = rest.replace(l, "")
-    prose = [l for l in rest.split("\n") if len(l) > 50 and re.search(r"\d", l) or l.count("|") > 2]
-    told = any(len(l) > 12 and re.search(r"\d{2,}", l) and re.search(r"(?:年|in the year|resolved|恢复|clients|家客户|customers)", l) for l in hit)
-    return bool(prose) or told
-
-
 def find_residue(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, kind, placeholders, first`` of the rows whose text is residue or holds a placeholder.
 

@@ -82,6 +82,39 @@ def test_messages_beside_a_report(text):
     assert classify(M + text)[0] is None
 
 
+@pytest.mark.parametrize(
+    "text, first",
+    [
+        ("Dear {{name}}, for example your fund gained.", "{{name}}"),
+        ("{{ " + "the name of the company " * 9 + "}} grew.", None),
+        ("{{ company\nname }} grew.", None),
+        ("[fill in " + "the name and the seat of the manager " * 8 + "]", None),
+        ("<% " + "x" * 300 + " %>", None),
+        ("Dear {{name}}. The set of share classes was reduced, for instance to {{n}} classes.", "{{name}}"),
+    ],
+)
+def test_placeholders_of_any_length(text, first):
+    kind, found = classify(f"{M}{REPORT} {text}")
+    assert kind == "placeholder" and (first is None or any(f"{M}{REPORT} {text}"[a:b] == first for _, a, b in found))
+
+
+@pytest.mark.parametrize("text", ["A variable is written {{ name }} there.", "Variables such as `{{ name }}` or {{ x }} are filled later.", "占位符形如{{ name }}，会被替换。", "{{ open\n\nclosed }} elsewhere", "(your attention is drawn to note 4. It says more)"])
+def test_text_about_placeholders(text):
+    assert classify(f"{M}{REPORT}\n\n{text}")[0] is None
+
+
+def test_density_not_length():
+    page = "HTTP Error 503 Service Unavailable. The upstream gateway did not answer in time. Please try again later. "
+    notes = "Ask those who keep the site. "
+    for n in (1, 4, 9, 40):
+        assert classify(M + page * n + notes * n)[0] == "error"
+        assert classify(M + "\n".join([page, *[REPORT] * n]))[0] is None
+        assert classify(M + page + notes * 12 * n)[0] is None
+        assert classify(M + "Sample text of the heading goes here and is replaced by the editors. " * n)[0] == "filler"
+        assert classify(M + "Sample text. " + "The partners met and approved the plan of the manager. " * n)[0] is None
+    assert classify(M + "The portal counted 41 page not found errors.")[0] is None and classify(M + "Page not found. Reference 41ab77c0de. Retry in 30 seconds.")[0] == "error"
+
+
 def _samples(tree):
     """Strings of a parsed pattern: every alternative and every character of a class stands in one of them."""
     parts = []
