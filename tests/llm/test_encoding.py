@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from pagemill.llm.encoding import Restorer, restore_text
+from pagemill.llm.encoding import CYRILLIC, Restorer, restore_text, shares, units
 
 ZH = "根据管理人提供的资料，基金持有医疗科技股份有限公司的股权，账面成本为一千万元，较期初略有上升。投资组合的净利润同比增长，相关款项已于五月到账，差异已在附注中说明。"
 COUNT = Counter(ZH * 900 + "éàçãõ’–“”·龘")
@@ -57,13 +57,48 @@ RU = "Примечания: компания открыла дочерние о
 JA = "ファンドの売上高は予算を下回りましたので、詳しくは注記をご覧ください。"
 
 
-@pytest.mark.parametrize("read, true", [("cp1251", "cp866"), ("latin-1", "cp1251"), ("latin-1", "koi8_r")])
+RUSSIAN = Restorer(shares({c: n for c, n in units([RU] * 40 + [RU.upper(), "В 2017 году показатель «выручка» вырос на 44,04 %. " * 20, "État à é"]).items() if len(c) == 2 or c > "\x7f"}))
+
+
+@pytest.mark.parametrize("read, true", CYRILLIC)
 def test_cyrillic(read, true):
-    model = Restorer({c: math.log(n / 1000) for c, n in Counter(RU * 9 + "ЂЎ").items() if c > "\x7f"})
-    bad = RU.encode(true).decode(read, "replace")
-    out, spans, _ = model.restore(bad)
-    assert spans and ("�" in bad or sum(a == b for a, b in zip(out, RU)) > 0.9 * len(RU))
-    assert model.restore(RU) == (RU, 0, 0) and model.restore(RU.upper()) == (RU.upper(), 0, 0)
+    bad = RU.encode(true).decode("cp1252" if read == "latin" else read, "replace")
+    out, spans, _ = RUSSIAN.restore(bad)
+    # through a western encoding, bytes from 0x80 to 0xBF look like Chinese too: found, and read as that first
+    assert spans and ((read, true) in (("latin", "cp866"), ("latin", "iso8859_5")) or sum(a == b for a, b in zip(out, RU)) >= 0.97 * (len(RU) - bad.count("�")))
+    assert RUSSIAN.restore(RU) == (RU, 0, 0) and RUSSIAN.restore(RU.upper()) == (RU.upper(), 0, 0)
+
+
+def test_cyrillic_spans_only():
+    swap = lambda t: t.encode("koi8_r").decode("cp1251")
+    mixed = RU + " " + swap("открыла дочерние общества, что") + " немного выше. " + RU
+    assert RUSSIAN.restore(mixed)[0] == RU + " открыла дочерние общества, что немного выше. " + RU
+    assert RUSSIAN.restore("компания открыла доч" + swap("ерние") + " общества")[0] == "компания открыла дочерние общества"
+    assert RUSSIAN.restore("«ТАШСУНА» ГОДОВОЙ ОТЧЁТ 2016 · 2")[1] == 0
+
+
+@pytest.mark.parametrize("layers", [1, 2, 5, 7, 9])
+def test_any_number_of_layers(layers):
+    text = "As participações"
+    for _ in range(layers):
+        text = text.encode().decode("latin-1")
+    assert R.restore(text)[0] == "As participações"
+
+
+def test_short_spans():
+    assert R.restore("Fees were Γé¼41 per unit.")[0] == "Fees were €41 per unit."
+    assert R.restore("El ├ímbito de")[0] == "El ámbito de"
+    assert R.restore("医疗光电å®ž\n现收益政策ã€‚\n投资")[0] == "医疗光电实\n现收益政策。\n投资"
+
+
+@pytest.mark.parametrize("read", ["cp950", "cp949"])
+def test_gb_span_within_chinese(read):
+    """The span's ends are found within one unbroken run."""
+    rare = Restorer(shares({**{c: n for c, n in COUNT.items() if c > "\x7f"}, **dict.fromkeys("瞳薹蚕惆", 1)}))
+    before, span, after = "基金持有医疗科技的", "净利润同比增长相关款项", "已于五月到账"
+    bad = before + span.encode("gb18030").decode(read, "replace") + after
+    out, spans, _ = rare.restore(bad)
+    assert spans and ("�" in bad or out == before + span + after)
 
 
 def test_japanese():
