@@ -17,11 +17,11 @@ def _limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return ocr_repair.noisy(ocr_repair.repair(*_p1_tables(spark, d), with_text=False)).select("field", "page_id").distinct()
+    return ocr_repair.noisy(ocr_repair.repair(*_p1_tables(spark, d))).select("field", "page_id").distinct()
 
 
 def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return ocr_repair.repair(*_p1_tables(spark, d)).dropDuplicates(["field", "page_id"])
+    return ocr_repair.repair(*_p1_tables(spark, d), once=True).drop("row")
 
 
 def _p1_tables(spark, d):

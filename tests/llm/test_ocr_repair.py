@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from pagemill.llm import furniture as N
 from pagemill.llm import ocr_repair as O
@@ -59,9 +62,62 @@ def test_keys_meet_for_two_letters():
 def test_all_candidates_are_kept(spark):
     meant = {"elile": 900, "ciile": 800, "cllle": 700, "clilc": 600, "dile": 500, "chle": 400, "cliie": 300}
     words = spark.createDataFrame([("w", w, n) for w, n in {**meant, "clile": 1}.items()], "kind string, unit string, n bigint")
-    fixes = [tuple(r) for r in O.word_fixes(words).where("read = 'clile'").collect()]
-    assert sorted(fixes[0][2]) == sorted(meant)
-    assert O.Fixer(fixes).misread("the clile and the cliie of it")[0] == "the cliie and the cliie of it"
+    row = O.word_fixes(words).where("read = 'clile'").first()
+    assert sorted(m.meant for m in row.meant) == sorted(meant)
+    fixer = O.Fixer([("w", "clile", "the", "and", [(m.meant, m.weight) for m in row.meant])])
+    assert fixer.misread("the clile and the cliie of it")[0] == "the cliie and the cliie of it"
+
+
+def two_errors(rng, word):
+    """``word`` with two confusions anywhere in it."""
+    i, j = sorted(rng.sample(range(len(word)), 2))
+    return "".join(rng.choice("1ec0o5qx") if k in (i, j) else c for k, c in enumerate(word))
+
+
+def test_retrieval_is_complete(spark, monkeypatch):
+    """Every pair that brute force finds, whatever its two errors, in one part of a key or many."""
+    rng = random.Random(6)
+    known = {w: 1000 for w in [*WORDS, "investment", "four", "note", "notes", "annual"]}
+    asking = {b: 1 for w in known for b in {two_errors(rng, w) for _ in range(25)} | {"invcstmcnt", "lnvestmenf", "ihvestmeht"} if b not in known}
+    words = spark.createDataFrame([*known.items(), *asking.items()], "unit string, n bigint")
+    want = {(a, w) for a in asking if len(a) >= O.SHORTEST for w in known if distance(a, w) <= O.DISTANCE and O.operations(a, w)}
+    assert {("invcstmcnt", "investment"), ("lnvestmenf", "investment"), ("ihvestmeht", "investment")} <= want and len(want) > 400
+    assert {(r.read, r.meant) for r in O.candidates(words).collect()} == want
+    monkeypatch.setattr(O, "ASKING", 3)
+    monkeypatch.setattr(O, "VOCABULARY", 2)
+    assert {(r.read, r.meant) for r in O.candidates(words).collect()} == want
+
+
+def test_context_ranks(spark):
+    """Of two words that explain a misreading, the one that stands between such neighbours elsewhere is taken."""
+    texts = ["they sent mail by post."] * 80 + ["they built the mall in town."] * 120
+    texts += ["they sent ma1l by post.", "they built the ma1l in town.", "ma1l is what the mail is for."]
+    a = spark.createDataFrame([(i, "d", 1, t) for i, t in enumerate(texts)], "page_id bigint, doc_id string, page_number int, raw_text string").withColumn("markdown", F.lit(None).cast("string"))
+    m = spark.createDataFrame([], "doc_id string, repeated_texts array<string>")
+    got = {r.page_id: r.text for r in O.repair(a, a.limit(0), m).collect()}
+    assert [got[i] for i in (200, 201, 202)] == ["they sent mail by post.", "they built the mall in town.", "mail is what the mail is for."]
+
+
+def test_misread_misreadings_are_no_words(spark):
+    """A misreading seen often is a candidate only where nothing else is."""
+    words = spark.createDataFrame([("w", "business", 90_000), ("w", "busincss", 40), ("w", "buslncss", 1)], "kind string, unit string, n bigint")
+    got = {r.read: [m.meant for m in r.meant] for r in O.word_fixes(words).collect()}
+    assert got == {"busincss": ["business"], "buslncss": ["business"]}
+
+
+def test_trigrams():
+    texts = ["甲乙丙乙丙", "", "a乙0丙x", "丙\ud800丙乙"]
+    units, n = O._trigrams(texts)
+    got = {chr(u >> 42) + chr(u >> 21 & 0x1FFFFF) + chr(u & 0x1FFFFF): k for u, k in zip(units.tolist(), n.tolist())}
+    want = Counter(t[i : i + 3] for t in texts for i in range(len(t) - 2) if "一" <= t[i + 1] <= "鿿")
+    assert got == want
+
+
+def test_sieve(spark):
+    units = [f"w{i}" for i in range(3000)]
+    s = O.sieve(spark.createDataFrame([(u,) for u in units], "u string"), "u")
+    assert all(map(s, units)) and sum(s(f"x{i}") for i in range(3000)) < 600
+    assert not O.sieve(spark.createDataFrame([], "u string"), "u")("w")
 
 
 def test_numbers():
@@ -101,8 +157,10 @@ CASES = [
     (None, "amounted to 1O,5S4 thousand\nin 2O18."),
     (1, "投资组合的净利润较期初略冇上升，相关款项已干5月到账，账面成本为3万兀。"),
     (1, "Reference 77087922b2 within the segment."),
-    (1, "Gegen\u0102\u013dber 2020 within the seg\u00ad\nment business level."),
+    (1, "Gegen\u0102\u013dber 2020, prime\u00ad\nr\u0102\u013d within the segment business level."),
     (2, "Long text within the segment business level " * 3000 + "."),
+    (1, "Gegen\u0102\u013dber within the seg\u00ad\nment busincss level."),
+    (1, "В сегм\u00ad\nенте и по дан¬\nным управляющего."),
 ]
 
 
@@ -118,9 +176,13 @@ def test_repair(spark, monkeypatch):
     assert 5 not in got and 6 not in got
     assert got[7].misread == 2 and "10,554 thousand in 2018" in got[7].text
     assert got[9].misread == got[10].misread == got[10].joined == got[11].misread == 0
-    # the way for corrections too many to send gives the same
-    monkeypatch.setattr(O, "TABLE_ROWS", 0)
-    assert corpus(spark, CASES + shown) == got
+    # wrongly decoded tokens are left alone, the rest of their page is not
+    assert (got[12].joined, got[12].misread, got[12].text) == (1, 1, "Gegen\u0102\u013dber within the segment business level.")
+    assert (got[13].joined, got[13].text) == (2, "В сегменте и по данным управляющего.")
+    # a sieve that lets nearly everything pass changes nothing
+    text = lambda rows: {k: (r.text, r.joined, r.misread, r.furniture) for k, r in rows.items()}
+    monkeypatch.setattr(O, "SIEVE_MOST", 64)
+    assert text(corpus(spark, CASES + shown)) == text(got)
 
 
 def test_running_headers(spark):
@@ -136,6 +198,9 @@ def test_reflow():
     assert O.reflow(text).split("\n\n")[0] == "A first line of running text that goes on and ends here."
     assert "| a | b |\n| --- | --- |" in O.reflow(text)
     assert O.reflow("") == ""
+    # a line that grew with a joined word does not make titles of the others
+    grown = "Words of the first line and of the second that moved up with its begin\nning of the third\nline as they were set."
+    assert O.reflow(grown, 30).count("\n\n") == 0 and O.line_width("# a long heading is no measure\nshort line") == 10
     assert O.reflow("本期共计三十万\n元，同比增长。") == "本期共计三十万元，同比增长。"
 
 
