@@ -65,18 +65,22 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_residue(read_table(spark, d, "pages"), "page_id", "markdown")
 
 
+def _owners(spark: SparkSession, d: str) -> DataFrame:
+    """The source of each report."""
+    return read_table(spark, d, "manifest").groupBy("doc_id").agg(F.min("source").alias("source"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     texts = truncation.cut_texts(read_table(spark, d, "pages")).select(F.lit("pages.markdown").alias("field"), "page_id")
-    warnings = truncation.cut_warnings(read_table(spark, d, "page_record")).select(F.lit("page_record.warnings").alias("field"), "page_id")
+    warnings = truncation.cut_warnings(read_table(spark, d, "page_record"), _owners(spark, d)).select(F.lit("page_record.warnings").alias("field"), "page_id")
     return texts.unionByName(warnings).distinct()
 
 
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     pages, records = read_table(spark, d, "pages"), read_table(spark, d, "page_record")
     texts = truncation.share_by_source(pages.where("markdown is not null").select("page_id", "source"), truncation.cut_texts(pages))
-    owner = read_table(spark, d, "manifest").select("doc_id", "source").dropDuplicates(["doc_id"])
-    keys = records.select("page_id", "doc_id").join(owner, "doc_id", "left").select("page_id", "source")
-    warned = truncation.share_by_source(keys, truncation.cut_warnings(records))
+    keys = records.select("page_id", "doc_id").join(_owners(spark, d), "doc_id", "left").select("page_id", "source")
+    warned = truncation.share_by_source(keys, truncation.cut_warnings(records, _owners(spark, d)))
     return texts.withColumn("field", F.lit("pages.markdown")).unionByName(warned.withColumn("field", F.lit("page_record.warnings")))
 
 

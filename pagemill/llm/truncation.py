@@ -21,6 +21,8 @@ from pagemill.plans.storage import broadcast_if_small, materialize
 
 #: A length is a source's limit if at least so many of its values have it and none is longer.
 LIMIT_VALUES = 5
+#: So many different warnings that end at the same length were cut there.
+LIMIT_SHAPES = 4
 #: Occurrences that make a token a known word; prefixes of words at least so frequent count.
 KNOWN, KNOWN_BELOW = 3, 3
 
@@ -121,12 +123,60 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     return map_batches(df.select(text), make, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def trie(words: DataFrame, least: int) -> DataFrame:
-    """The trie of ``words`` as a table: ``prefix, below, here``: occurrences of longer words with the prefix, and of itself as a word."""
+def trie(words: DataFrame, least: int, asked: DataFrame | None = None) -> DataFrame:
+    """The trie of ``words`` (read twice, so materialised) as a table: ``prefix, below, here``: occurrences of longer words with the prefix, and of itself as a word.
+
+    With ``asked`` (``prefix``, distinct) only those nodes are made: other prefixes are dropped before they are exchanged.
+    """
     usable = words.where(F.col("n") >= least)
     inner = usable.where(F.length("word") > 1).select(F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("k"), "word", "n").select(F.substring("word", F.lit(1), F.col("k")).alias("prefix"), F.col("n").alias("below"), F.lit(0).cast("bigint").alias("here"))
     leaves = words.select(F.col("word").alias("prefix"), F.lit(0).cast("bigint").alias("below"), F.col("n").alias("here"))
-    return inner.unionByName(leaves).groupBy("prefix").agg(F.sum("below").alias("below"), F.sum("here").alias("here"))
+    nodes = inner.unionByName(leaves)
+    if asked is not None:
+        nodes = nodes.join(broadcast_if_small(asked), "prefix", "left_semi")
+    return nodes.groupBy("prefix").agg(F.sum("below").alias("below"), F.sum("here").alias("here"))
+
+
+#: Prefixes of warnings are told apart by a rolling hash modulo this prime, with this base.
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
+
+
+def prefix_hashes(text: str) -> list[int]:
+    """A hash of every non-empty prefix of ``text``, in one pass."""
+    out, h = [], 0
+    for c in text:
+        h = (h * _BASE + ord(c) + 1) % _PRIME
+        out.append(h)
+    return out
+
+
+def shape_trie(shapes: DataFrame) -> DataFrame:
+    """``shape, below``: of every string in ``shapes`` (``shape, n``, distinct, materialised) the occurrences of longer ones it is a prefix of.
+
+    A string sends one number for each of its prefixes, so the work is linear in its length; only those that are
+    strings themselves are exchanged further.
+    """
+
+    def make(whole: bool):
+        def start():
+            def fn(cols):
+                out: list[list] = [[], []]
+                for s, n in zip(*cols):
+                    h = prefix_hashes(s)
+                    got = [(h[-1], s)] if whole else [(x, n) for x in h[:-1]]
+                    for x, v in got:
+                        out[0].append(x)
+                        out[1].append(v)
+                return out
+
+            return fn
+
+        return start
+
+    own = materialize(map_batches(shapes.where(F.length("shape") > 0).select("shape", "n"), make(True), "h bigint, shape string"))
+    longer = map_batches(shapes.select("shape", "n").where(F.length("shape") > 0), make(False), "h bigint, n bigint")
+    below = longer.join(broadcast_if_small(own.select("h")), "h", "left_semi").groupBy("h").agg(F.sum("n").alias("below"))
+    return own.join(below, "h", "left").select("shape", F.coalesce("below", F.lit(0)).alias("below"))
 
 
 def tails(df: DataFrame, key: str, source: str, text: str, page: str) -> DataFrame:
@@ -156,7 +206,7 @@ def _limit(ends: DataFrame, unit: str) -> DataFrame:
     A limit in bytes may leave up to three bytes unused, where a character would not have fitted; half a character at
     the end (U+FFFD) does not count.
     """
-    sizes = ends.where(f"source is not null and {unit} > 200").groupBy("source", F.col(unit).alias("n")).agg(F.count_distinct("page_id").alias("values"), F.avg((F.col("state") != "complete").cast("int")).alias("open"))
+    sizes = ends.where("source is not null").groupBy("source", F.col(unit).alias("n")).agg(F.count_distinct("page_id").alias("values"), F.avg((F.col("state") != "complete").cast("int")).alias("open"))
     top = sizes.groupBy("source").agg(F.max("n").alias(f"{unit}_limit"))
     near = F.col("n") == F.col(f"{unit}_limit") if unit == "size" else F.col("n") >= F.col(f"{unit}_limit") - 3
     return materialize(sizes.join(top, "source").where(near).groupBy("source", f"{unit}_limit").agg(F.sum("values").alias("values"), (F.sum(F.col("values") * F.col("open")) / F.sum("values")).alias("open")).where((F.col("values") >= LIMIT_VALUES) & (F.col("open") >= 0.5)).select("source", f"{unit}_limit"))
@@ -172,8 +222,8 @@ def cut_texts(pages: DataFrame) -> DataFrame:
     """
     ends = materialize(tails(pages, "page_id", "source", "markdown", "page_number"))
     limits = [_limit(ends, unit) for unit in ("size", "bytes")]
-    asked = ends.where("state not in ('complete', 'residue')").select("token").distinct()
-    known = trie(word_counts(pages, "markdown"), KNOWN_BELOW).join(asked.withColumnRenamed("token", "prefix"), "prefix", "left_semi")
+    asked = materialize(ends.where("state not in ('complete', 'residue') and token <> ''").select(F.col("token").alias("prefix")).distinct())
+    known = trie(materialize(word_counts(pages, "markdown")), KNOWN_BELOW, asked)
     heads = F.col("state") == "heading"
     latin_token = F.col("token").rlike(rf"^[{_LETTERS}’']+$")
     look = ends.join(broadcast_if_small(limits[0]), "source", "left").join(broadcast_if_small(limits[1]), "source", "left").withColumn("prefix", F.col("token")).join(known, "prefix", "left")
@@ -191,21 +241,39 @@ def cut_texts(pages: DataFrame) -> DataFrame:
     return look.withColumn("reason", reason).where("reason is not null").select("page_id", "source", "reason")
 
 
-def cut_warnings(records: DataFrame) -> DataFrame:
+def cut_warnings(records: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     """``page_id, warning, reason`` of the warnings that were cut short.
 
-    Warnings are compared with their figures replaced, as strings of a trie of characters: one that is a proper prefix of
-    at least half as many other warnings was cut (``prefix``); so was one that ends in an ellipsis or in an unknown
-    proper prefix of a word used in warnings (``word``). NULL and empty warnings are not cut.
+    Warnings are compared with their figures replaced, as strings of a trie. Reasons: ``limit`` (as long as the longest
+    warning of its source, which ``LIMIT_VALUES`` records reach, in as many shapes as ``LIMIT_SHAPES`` or half of them
+    plainly cut: mid-word, or the beginning of longer ones and found in no other source); ``prefix`` (a proper prefix of at least half as many other warnings, those at their source's limit not
+    counted as whole); ``word`` (ends in an unknown proper prefix of a word used in warnings); ``marker`` (ends in an
+    ellipsis). One that other sources have too, and nothing continues, is whole at any length. ``owners`` (``doc_id, source``, one row a document) tells the source of ``records``' ``doc_id``; without it,
+    or for a document without one, there is no length evidence. NULL and empty warnings are not cut.
     """
-    each = records.select("page_id", F.explode("warnings").alias("warning")).where(F.length("warning") > 0).distinct()
-    each = materialize(each.withColumn("shape", F.regexp_replace(F.regexp_replace("warning", r"\d+", "9"), r"\s+$", "")).withColumn("token", F.lower(F.regexp_extract("shape", rf"([{_LETTERS}]+)$", 1))))
-    shapes = each.groupBy(F.col("shape").alias("word")).agg(F.count("*").alias("n"))
-    nodes = trie(shapes, 1).where(F.col("here") > 0)
-    words = shapes.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace("word", rf"[{_LETTERS}]+$", "")), F.lit(rf"([{_LETTERS}]+)"), F.lit(1))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
-    tokens = trie(words, KNOWN_BELOW).select(F.col("prefix").alias("token"), F.col("below").alias("t_below"), F.col("here").alias("t_here"))
-    look = each.join(nodes.withColumnRenamed("prefix", "shape"), "shape", "left").join(tokens, "token", "left")
-    reason = F.when(F.col("below") * 2 >= F.col("here"), "prefix").when((F.length("token") > 0) & (F.coalesce("t_here", F.lit(0)) == 0) & (F.col("t_below") >= KNOWN_BELOW), "word").when(F.col("shape").rlike(r"(\.{3}|…|\[\.\.\.\]|�)$"), "marker")
+    said = records.select("page_id", *(["doc_id"] if owners is not None else []), F.explode("warnings").alias("warning")).where(F.length("warning") > 0).distinct()
+    said = said.join(owners.select("doc_id", "source"), "doc_id", "left").drop("doc_id") if owners is not None else said.withColumn("source", F.lit(None).cast("string"))
+    each = materialize(said.withColumn("shape", F.regexp_replace(F.regexp_replace("warning", r"\d+", "9"), r"\s+$", "")).withColumns({"token": F.lower(F.regexp_extract("shape", rf"([{_LETTERS}]+)$", 1)), "size": F.length("warning")}))
+    shapes = materialize(each.groupBy("shape").agg(F.count("*").alias("n")))
+    nodes = materialize(shape_trie(shapes))
+    words = materialize(shapes.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace("shape", rf"[{_LETTERS}]+$", "")), F.lit(rf"([{_LETTERS}]+)"), F.lit(1))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")))
+    asked = materialize(each.where("token <> ''").select(F.col("token").alias("prefix")).distinct())
+    tokens = trie(words, KNOWN_BELOW, asked).select(F.col("prefix").alias("token"), F.col("below").alias("t_below"), F.col("here").alias("t_here"))
+    look = each.join(nodes, "shape", "left").join(tokens, "token", "left")
+    half_word = (F.length("token") > 0) & (F.coalesce("t_here", F.lit(0)) == 0) & (F.col("t_below") >= KNOWN_BELOW)
+    marked = F.col("shape").rlike(r"(\.{3}|…|\[\.\.\.\]|�)$")
+    look = materialize(look.withColumns({"below": F.coalesce("below", F.lit(0)), "half": half_word, "marked": marked}))
+    own = materialize(look.where("source is not null").groupBy("source", "shape").agg(F.count("*").alias("n_own")).join(shapes, "shape").select("source", "shape", (F.col("n") > F.col("n_own")).alias("elsewhere")))
+    # a form that other sources have as well is whole, whatever begins with it
+    by_size = look.join(own, ["source", "shape"]).groupBy("source", "size").agg(F.count_distinct("page_id").alias("values"), F.count_distinct("shape").alias("kinds"), F.avg((F.col("half") | F.col("marked") | (F.col("below") > 0) & ~F.col("elsewhere")).cast("int")).alias("open"))
+    top = by_size.groupBy("source").agg(F.max_by(F.struct("values", "kinds", "open"), "size").alias("t"), F.max("size").alias("size_limit"))
+    limits = materialize(top.where((F.col("t.values") >= LIMIT_VALUES) & ((F.col("t.kinds") >= LIMIT_SHAPES) | (F.col("t.open") >= 0.5))).select("source", "size_limit"))
+    whole = (F.col("below") == 0) & F.coalesce("elsewhere", F.lit(True))
+    look = look.join(broadcast_if_small(limits), "source", "left").join(broadcast_if_small(own), ["source", "shape"], "left").withColumn("at_limit", F.coalesce((F.col("size") == F.col("size_limit")) & ~whole, F.lit(False)))
+    here = look.where("not at_limit").groupBy("shape").agg(F.count("*").alias("here"))
+    look = look.join(here, "shape", "left")
+    prefix = (F.col("below") > 0) & (F.col("below") * 2 >= F.coalesce("here", F.lit(0)))
+    reason = F.when(F.col("at_limit"), "limit").when(prefix, "prefix").when(F.col("half"), "word").when(F.col("marked"), "marker")
     return look.withColumn("reason", reason).where("reason is not null").select("page_id", "warning", "reason")
 
 
