@@ -13,11 +13,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from pagemill.llm.furniture import form, header_form, is_header_line, is_number_line, split_header
 from pagemill.llm.rows import map_batches
@@ -33,8 +33,8 @@ DISTANCE, SHORTEST = 2, 4
 HEADER_PAGES = 2
 #: Longest line that may be furniture.
 LINE = 160
-#: Bits of the sieve that tells which units may have a correction: so many for each, and at most (8 MB).
-SIEVE_BITS, SIEVE_MOST = 16, 1 << 26
+#: Bits of the sieve that tells which units may have a correction: so many for each, at most (8 MB), and how many each sets.
+SIEVE_BITS, SIEVE_MOST, SIEVE_PLACES = 64, 1 << 26, 4
 #: Words that ask, and words of the vocabulary, that one task takes of a pigeonhole key.
 ASKING, VOCABULARY = 50_000, 50_000
 #: Nats by which a candidate gains if it stands on the page, and loses for a second misreading.
@@ -396,13 +396,14 @@ class Sieve:
         if hit is None:
             if len(self.seen) > 200_000:
                 self.seen.clear()
-            at = place(unit, self.size)
-            hit = self.seen[unit] = bool(int(self.bits[at >> 6]) >> (at & 63) & 1)
+            hit = self.seen[unit] = all(int(self.bits[at >> 6]) >> (at & 63) & 1 for at in places(unit, self.size))
         return hit
 
 
-def place(unit: str, size: int) -> int:
-    return crc32(unit.encode("utf-8", "surrogatepass")) % size
+def places(unit: str, size: int) -> list[int]:
+    """Bits that a unit sets in a sieve."""
+    h = xxh64_intdigest(unit.encode("utf-8", "surrogatepass"))
+    return [((h & 0xFFFFFFFF) + i * (h >> 32)) % size for i in range(SIEVE_PLACES)]
 
 
 def sieve(units: DataFrame, unit: str) -> Sieve:
@@ -414,8 +415,8 @@ def sieve(units: DataFrame, unit: str) -> Sieve:
         def fn(cols):
             words: dict[int, int] = defaultdict(int)
             for u in cols[0]:
-                at = place(u, size)
-                words[at >> 6] |= 1 << (at & 63)
+                for at in places(u, size):
+                    words[at >> 6] |= 1 << (at & 63)
             return [list(words), [w - (1 << 64) if w >> 63 else w for w in words.values()]]
 
         return fn
