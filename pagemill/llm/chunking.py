@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,29 +53,30 @@ def boundaries(text: str) -> dict[int, int]:
 
 
 def cut_points(text: str, limit: int, overlap: int) -> list[int]:
-    """Offsets of the cuts, 0 and the length included; every span is at most ``limit - overlap`` long (the first ``limit``)."""
+    """Offsets of the cuts, 0 and the length included; every span is at most ``limit - overlap`` long, the first ``limit``.
+
+    The first span is at least ``overlap`` long, so that the piece after it can share as much; neither a cut nor the
+    start of the overlap before it falls within a visible character, unless one is longer than the window.
+    """
     n = len(text)
     if n <= limit:
         return [0, n]
     room, marks, cuts = limit - overlap, boundaries(text), []
     ordered = sorted(marks)
-    from bisect import bisect_left, bisect_right
-
+    good = lambda p: not _joined(text, p) and not _joined(text, p - overlap)
     stack = [(0, n)]
     while stack:
         lo, hi = stack.pop()
-        if hi - lo <= room:
+        if hi - lo <= (room if lo else limit):
             continue
-        mid, reach = (lo + hi) // 2, max(1, int((hi - lo) * WINDOW))
-        span = ordered[bisect_left(ordered, max(lo + 1, mid - reach)) : bisect_right(ordered, min(hi - 1, mid + reach))]
-        if span:
-            at = max(span, key=lambda p: (marks[p], -abs(p - mid), -p))
-        else:
-            at = mid
-            while at > lo + 1 and _joined(text, at):
-                at -= 1
-            if at <= lo + 1:  # one visible character longer than the window
-                at = mid
+        least, most = lo + 1 if lo else max(1, overlap), hi - 1
+        mid, reach = max(least, (lo + hi) // 2), max(1, int((hi - lo) * WINDOW))
+        span = ordered[bisect_left(ordered, max(least, mid - reach)) : bisect_right(ordered, min(most, mid + reach))]
+        at = max((p for p in span if good(p)), key=lambda p: (marks[p], -abs(p - mid), -p), default=None)
+        if at is None:
+            at = next((p for p in range(mid, max(least, mid - reach) - 1, -1) if good(p)), None)
+        if at is None:
+            at = next((p for p in range(mid, min(most, mid + reach) + 1) if good(p)), mid)
         cuts.append(at)
         stack += [(lo, at), (at, hi)]
     return [0, *sorted(cuts), n]
@@ -90,7 +92,7 @@ def split_items(df: DataFrame, key: str, text: str, limit: int, overlap: int) ->
     """Pieces of every text of ``df``: ``(key, piece_no, n_pieces, start, end, piece)``, numbered from 1.
 
     Sizes are code points. A text is bisected at the strongest boundary near its midpoint, the halves again while they
-    exceed ``limit - overlap``, and then every piece but the first is extended to the left by ``overlap`` characters.
+    exceed ``limit - overlap`` (the first piece ``limit``), and then every piece but the first is extended to the left by ``overlap`` characters.
     Defined cases: a NULL text has no pieces; an empty one has a single empty piece; a text without any boundary is cut
     in the middle, never inside a combining sequence; a NULL key is kept; repeated rows are cut each; other columns,
     whatever they are called, are not read.

@@ -21,11 +21,12 @@ def source_form(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
 
 
-def draw(sizes: DataFrame, targets: DataFrame, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
+def draw(sizes: DataFrame, targets: DataFrame, budget: int | str | None = None) -> tuple[DataFrame, DataFrame]:
     """The drawn documents and the report.
 
     ``sizes``: ``doc_id, source, tokens``; ``targets``: ``source, target_share, max_repeats``. ``budget`` is the size of
-    the mixture in tokens; by default the tokens of all targeted sources, once. A source is to give ``share * budget``
+    the mixture in tokens; by default the tokens of all targeted sources, once; ``"reachable"`` is the largest size at
+    which every target that has documents is met, so no source holds more than its share for another's lack. A source is to give ``share * budget``
     tokens: whole rounds of all its documents and, of one round more, those below its threshold, at most ``max_repeats``
     copies of a document.
 
@@ -44,7 +45,9 @@ def draw(sizes: DataFrame, targets: DataFrame, budget: int | None = None) -> tup
     docs = materialize(docs.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITS * LEVELS)))
     have = {r.source: (r.docs, r.tokens) for r in docs.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")).collect()}
     total_share = sum(s for s, _ in goal.values()) or 1.0
-    size = budget if budget is not None else sum(t for _, t in have.values())
+    size = sum(t for _, t in have.values()) if budget is None else budget
+    if budget == "reachable":
+        size = min((have[s][1] * goal[s][1] * total_share / goal[s][0] for s in names if s in have and goal[s][0] > 0), default=0)
     rounds, rest = {}, {}
     for s in names:
         share, most = goal[s]

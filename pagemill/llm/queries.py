@@ -126,6 +126,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_shares_reachable(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the largest mixture in which every target that has documents is met."""
+    return mixing.draw(_sizes(spark, d, "source"), read_table(spark, d, "mix_targets"), "reachable")[1]
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(read_table(spark, d, "documents"), read_table(spark, d, "lang_labels"))
 
@@ -143,7 +148,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_lines, p3_clean, p4_found, p4_clean, p5_found, p5_shares, p6_found, p6_restored, p7_pack, p7_pack_small, p7_report, p8_mix, p8_shares, p9_found, p9_languages, p9_segments)
+    named = (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_lines, p3_clean, p4_found, p4_clean, p5_found, p5_shares, p6_found, p6_restored, p7_pack, p7_pack_small, p7_report, p8_mix, p8_shares, p8_shares_reachable, p9_found, p9_languages, p9_segments)
     return {f.__name__: f for f in named}
 
 

@@ -11,7 +11,7 @@ def check(text, limit, overlap):
     rebuilt = text[pieces[0][0] : pieces[0][1]]
     for (a, b), (c, d) in zip(pieces, pieces[1:]):
         assert c <= b < d
-        assert b - c == overlap or c == 0
+        assert b - c == overlap and a <= c
         rebuilt += text[b:d]
     assert rebuilt == text
     return pieces
@@ -23,6 +23,21 @@ def test_round_trip(text, limit, overlap):
     check(text, limit, overlap)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab .。\n中", min_size=1, max_size=900), st.integers(2, 400), st.data())
+def test_any_overlap(text, limit, data):
+    check(text, limit, data.draw(st.integers(0, limit - 1)))
+
+
+def test_overlaps_start_at_characters():
+    text = ("e\u0301" * 3 + "a") * 90
+    for overlap in (10, 11, 25):
+        for a, _ in check(text, 60, overlap):
+            assert text[a : a + 1] != "\u0301"
+    assert check("x" * 1400, 400, 200)[:2] == [(0, 350), (150, 525)] or check("x" * 1400, 400, 200)[0][1] >= 200
+    assert check("y" * 350, 400, 399) == [(0, 350)]
+
+
 def test_boundaries():
     text = "First paragraph with words. " * 5 + "\n\n" + "Second paragraph with words. " * 5
     cuts = [b for _, b in check(text, 200, 0)]

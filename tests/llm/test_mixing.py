@@ -33,6 +33,16 @@ def test_nested_and_short(spark):
     assert report.first().status == "short" and {r.copies for r in drawn.collect()} == {2}
 
 
+def test_reachable(spark):
+    """The scarcest source sets the size, and every share is met."""
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 1), ("gone", 0.0, 2)], T)
+    short = {r.source: r for r in draw(sizes(spark), t, budget=10**6)[1].collect()}
+    got = {r.source: r for r in draw(sizes(spark), t, budget="reachable")[1].collect()}
+    assert short["a"].status == "short" and {r.status for r in got.values()} == {"met", "absent"}
+    assert all(abs(got[s].actual_share - w) < 0.02 for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    assert any(abs(got[s].wanted - got[s].available * got[s].max_repeats) < 1 for s in "abc")
+
+
 def test_edges(spark):
     none = spark.createDataFrame([], T)
     drawn, report = draw(sizes(spark, 10), none)
