@@ -41,6 +41,18 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).distinct()
 
 
+def p2_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Each page put together again from its pieces, and whether they are as long and share as much as they should: the check of p2_pieces."""
+    size, overlap = _limit(spark, d, "page_chunk")
+    pieces = _pieces(spark, d).distinct()
+    ordered = F.sort_array(F.collect_list(F.struct("piece_no", "start", "end", "piece")))
+    kept = pieces.groupBy("page_id").agg(ordered.alias("p"))
+    before = F.concat(F.array(F.lit(0)), F.transform("p", lambda x: x["end"]))
+    fits = F.forall(F.transform("p", lambda x, i: (F.length(x["piece"]) <= size) & (F.length(x["piece"]) == x["end"] - x["start"]) & ((x["start"] == F.get(before, i) - overlap) | (i == 0))), lambda ok: ok)
+    text = F.array_join(F.transform("p", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substring(x["piece"], F.lit(overlap + 1), F.length(x["piece"])))), "")
+    return kept.select("page_id", F.size("p").alias("n"), text.alias("text"), fits.alias("fits")).select("page_id", "text", "fits", (F.col("n") > 1).alias("cut"))
+
+
 def _repeated(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.find_repeated(read_table(spark, d, "analysis"), read_table(spark, d, "manifest"))
 
@@ -148,7 +160,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_lines, p3_clean, p4_found, p4_clean, p5_found, p5_shares, p6_found, p6_restored, p7_pack, p7_pack_small, p7_report, p8_mix, p8_shares, p8_shares_reachable, p9_found, p9_languages, p9_segments)
+    named = (p1_found, p1_repaired, p2_found, p2_pieces, p2_rejoined, p3_found, p3_lines, p3_clean, p4_found, p4_clean, p5_found, p5_shares, p6_found, p6_restored, p7_pack, p7_pack_small, p7_report, p8_mix, p8_shares, p8_shares_reachable, p9_found, p9_languages, p9_segments)
     return {f.__name__: f for f in named}
 
 
@@ -174,6 +186,7 @@ found as (select field, record_key, source, cast(line_no as integer) as line_no,
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": "select distinct page_id from pages where length(markdown) > (select max_size from limits where name = 'page_chunk')",
+        "p2_rejoined": "select distinct page_id, markdown as text, true as fits, length(markdown) > (select max_size from limits where name = 'page_chunk') as cut from pages where markdown is not null",
         "p3_found": _REPEATED + "select distinct field, record_key, line_no from found",
         "p3_clean": _REPEATED
         + """, gone as (select distinct cast(record_key as bigint) as page_id, line_no from found where field = 'analysis.body_text'),
@@ -183,4 +196,12 @@ def oracle_sql() -> dict[str, str]:
         n as (select page_id, count(*) as removed from gone group by 1)
         select page_id, case when n.removed is null then body_text else coalesce(t, '') end as body_text, cast(coalesce(n.removed, 0) as integer) as removed
         from body left join n using (page_id) left join kept_lines using (page_id)""",
+        "p3_lines": _REPEATED.replace("with lines", "with recursive lines", 1).replace("found as (select field,", "found as (select field, doc_id,", 1)
+        + """, follow as (select source, doc_id, form, reports, lead(form) over w as form2, lead(reports) over w as reports2, lead(rank) over w = rank + 1 as next_to
+          from (select f.field, f.record_key, f.doc_id, f.source, f.form, f.reports, r.rank from found f join ranked r using (field, record_key, line_no)) window w as (partition by field, record_key order by rank)),
+        edge as (select source, form, form2 from follow where next_to and form <> form2 group by source, form, form2, least(reports, reports2) having count(distinct doc_id) >= 3 and count(distinct doc_id) * 2 >= least(reports, reports2)),
+        both_ways as (select source, form, form2 from edge union select source, form2, form from edge),
+        reach as (select source, form, form as other from kept union select r.source, r.form, b.form2 from reach r join both_ways b on b.source = r.source and b.form = r.other),
+        block as (select source, form, min(other) as block from reach group by 1, 2)
+        select source, block, min(line) as line, reports, count(*) as occurrences from found join block using (source, form) group by source, block, form, reports""".replace("join ranked r", "join (select field, record_key, cast(line_no as integer) as line_no, row_number() over (partition by field, record_key, copy order by line_no) - 1 as rank from (select *, row_number() over (partition by field, record_key, line_no order by line) as copy from forms where form <> '') where copy = 1) r"),
     }

@@ -2,7 +2,8 @@
 
 Every line is a node of its source's graph, weighted by the number of reports it stands in; consecutive lines are
 edges. Nodes and edges of high support stay, connected components of what is left are the source's boilerplate blocks,
-and every occurrence of a node is deleted.
+and matching occurrences are deleted block by block. What is excessive is fixed by a node's support, so edges decide
+which lines make up one block, not which lines go.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def occurrences(lines: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def blocks(found: DataFrame, nodes: DataFrame, min_reports: int = MIN_REPORTS) -> DataFrame:
-    """Connected components of the graph of nodes and high-support edges: ``source, a, b, block``.
+    """Connected components of the graph of nodes and high-support edges: ``source, a, b, block``, the least form of a component's lines.
 
     An edge joins nodes that follow each other in a record and stays if at least ``min_reports`` reports have it and at
     least half the reports of its rarer end. Components spread the least node label along edges until nothing changes;
@@ -106,7 +107,10 @@ def blocks(found: DataFrame, nodes: DataFrame, min_reports: int = MIN_REPORTS) -
         label = nxt.select("u", "block")
         if nxt.where("changed").limit(1).count() == 0:
             break
-    return nodes.withColumn("u", node("a", "b")).join(label, "u").select("source", "a", "b", F.xxhash64("block").alias("block"))
+    form = found.groupBy("source", "a", "b").agg(F.min(line_form(F.col("line"))).alias("form"))
+    named = materialize(nodes.withColumn("u", node("a", "b")).join(label, "u").join(form, ["source", "a", "b"]).select("source", "a", "b", "form", F.col("block").alias("u")))
+    least = named.groupBy("u").agg(F.min("form").alias("block"))
+    return named.join(least, "u").select("source", "a", "b", "block")
 
 
 def find_repeated(analysis: DataFrame, manifest: DataFrame, min_reports: int = MIN_REPORTS, min_share: float = MIN_SHARE) -> DataFrame:

@@ -116,3 +116,13 @@ def test_token_sizes(spark):
     got = {r.doc_id: (r.source, r.tokens) for r in tokens.token_sizes(df, "doc_id", "text", "source").collect()}
     enc = tokens.encoder(tokens.VOCABULARY)
     assert got == {1: ("a", len(enc.encode_ordinary("hello world <|endoftext|>"))), 2: (None, 0), 3: ("b", 0)}
+
+
+def test_other_vocabulary(spark, tmp_path):
+    """A vocabulary of bytes only, from any folder: as many tokens as bytes."""
+    import base64
+
+    path = tmp_path / "bytes.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)))
+    df = spark.createDataFrame([(1, "héllo"), (2, "中")], "doc_id bigint, text string")
+    assert {r.doc_id: r.tokens for r in tokens.token_sizes(df, "doc_id", "text", vocabulary=str(path)).collect()} == {1: 6, 2: 3}
