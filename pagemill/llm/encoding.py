@@ -507,7 +507,7 @@ def character_counts(df: DataFrame, text: str) -> DataFrame:
 
         return fn
 
-    return map_batches(df.select(text), make, "ch string, n bigint").groupBy("ch").agg(F.sum("n").alias("n"))
+    return map_batches(df.select(text), make, "ch string, n bigint", rows=None).groupBy("ch").agg(F.sum("n").alias("n"))
 
 
 def log_frequencies(counts: DataFrame) -> dict[str, float]:

@@ -88,7 +88,7 @@ def unit_counts(df: DataFrame, lang: str, text: str) -> DataFrame:
 
         return fn
 
-    return map_batches(df.select(lang, text), make, "lang string, unit string, texts bigint, n bigint").groupBy("lang", "unit").agg(F.sum("texts").alias("texts"), F.sum("n").alias("n"))
+    return map_batches(df.select(lang, text), make, "lang string, unit string, texts bigint, n bigint", rows=None).groupBy("lang", "unit").agg(F.sum("texts").alias("texts"), F.sum("n").alias("n"))
 
 
 def gram_vectors(counts: DataFrame) -> DataFrame:
@@ -313,7 +313,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return fn
 
     # one more step of expectation-maximisation over the sample: every segment teaches the language it was found to be in
-    return build(map_batches(chosen.select("text"), make, "lang string, unit string, n bigint").groupBy("lang", "unit").agg(F.sum("n").alias("n")))
+    return build(map_batches(chosen.select("text"), make, "lang string, unit string, n bigint", rows=None).groupBy("lang", "unit").agg(F.sum("n").alias("n")))
 
 
 RESULT = "doc_id bigint, label string, label_lang string, lang string, confidence double, whole map<string,int>, segments array<struct<start:int,end:int,lang:string,confidence:double>>"

@@ -161,7 +161,7 @@ def unit_counts(texts: DataFrame) -> DataFrame:
 
         return fn
 
-    return map_batches(texts.select("doc_id", "page_number", "text"), make, "kind string, unit string, n bigint").groupBy("kind", "unit").agg(F.sum("n").alias("n"))
+    return map_batches(texts.select("doc_id", "page_number", "text"), make, "kind string, unit string, n bigint", rows=None).groupBy("kind", "unit").agg(F.sum("n").alias("n"))
 
 
 # Candidate retrieval ------------------------------------------------------------------------------------------------
@@ -422,7 +422,7 @@ def sieve(units: DataFrame, unit: str) -> Sieve:
         return fn
 
     bits = np.zeros(size >> 6, np.uint64)
-    for r in map_batches(units.select(unit), make, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+    for r in map_batches(units.select(unit), make, "word bigint, bits bigint", rows=None).groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
         bits[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
     return Sieve(bits, size)
 

@@ -10,10 +10,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], schema: str | StructType) -> DataFrame:
-    """Apply a column-list function to every Arrow batch of ``df``.
+#: Rows of a batch that are Python objects at once.
+ROWS = 1000
 
-    ``make`` is called once per task and returns a function from the batch's columns (lists) to the result's columns.
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], schema: str | StructType, rows: int | None = ROWS) -> DataFrame:
+    """Apply a column-list function to the Arrow batches of ``df``, ``rows`` at a time (None: a whole batch, for functions that sum up).
+
+    ``make`` is called once per task and returns a function from columns (lists) to the result's columns.
     """
     struct = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
@@ -21,9 +25,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[list[list]], list[li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cols = fn([c.to_pylist() for c in batch.columns])
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
+            for at in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                part = batch.slice(at, rows) if rows else batch
+                cols = fn([c.to_pylist() for c in part.columns])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
     return df.mapInArrow(run, struct)

@@ -120,7 +120,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
         return fn
 
-    return map_batches(df.select(text), make, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(df.select(text), make, "word string, n bigint", rows=None).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def trie(words: DataFrame, least: int, asked: DataFrame | None = None) -> DataFrame:
