@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import DECORATION, FAILED_IMAGE, LOGO, source_comment, strip_markers, strip_u
+from pagemill.plans.storage import broadcast_if_small, materialize
 
 #: Lines at the top of a page that may be a brand header, and the share of pages that makes one.
 TOP_LINES, BRAND_SHARE = 3, 0.4
@@ -73,9 +74,15 @@ def canonical(outputs: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """The last version of each row by ``by``."""
+    """The last version of each row by ``by``, one of them on a tie; rows with a NULL key are kept as they are.
+
+    Keys alone are counted first. What comes once, nearly everything, goes through untouched; only rows whose key comes
+    again are exchanged with all their columns. Which keys those are is broadcast if they are few.
+    """
+    again = broadcast_if_small(materialize(df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys)))
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(by))
-    return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    last = df.join(again, keys, "left_semi").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    return df.join(again, keys, "left_anti").unionByName(last)
 
 
 def orphan_assets(assets: DataFrame, canonical_texts: DataFrame) -> DataFrame:

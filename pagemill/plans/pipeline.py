@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,20 +88,33 @@ def judged(read: DataFrame) -> DataFrame:
     )
 
 
-def route(pages: DataFrame, model: Transcriber | None = None, transcripts: DataFrame | None = None, repairs: bool = True, concurrency: int = 8) -> DataFrame:
+def route(
+    pages: DataFrame,
+    model: Transcriber | None = None,
+    transcripts: DataFrame | None = None,
+    repairs: bool = True,
+    concurrency: int = 8,
+    image: Callable[[dict], bytes] | None = None,
+    tasks: int | None = None,
+    on_read: Callable[[DataFrame], None] | None = None,
+) -> DataFrame:
     """Every page read the cheapest way that passes: ``doc_id, page_number, method, content, validated, warnings, attempts``.
 
-    What the local ways cannot read goes to ``model``, or takes its ``text`` and ``error`` from ``transcripts``. The ways
-    are branches that filter before the costly step, never a conditional around it. ``pages`` needs ``repeated_texts``.
+    What the local ways cannot read goes to ``model`` (its picture made by ``image``, in at most ``tasks`` tasks), or takes
+    its ``text`` and ``error`` from ``transcripts``. The ways are branches that filter before the costly step, never a
+    conditional around it; texts are neither written nor exchanged to be split. ``on_read`` gets the materialised
+    answers with their token counts. ``pages`` needs ``repeated_texts``.
     """
-    local = materialize(local_ways(pages))
+    local = local_ways(pages)
     jobs = local.where("way is null")
     if transcripts is not None:
         read = jobs.join(transcripts.select(*PAGE, "text", "error"), PAGE, "left").withColumn("text", F.coalesce("text", F.lit("")))
     else:
         if model is None:
             raise ValueError("a model or transcripts are needed")
-        read = materialize(transcribe(jobs, model, concurrency=concurrency))
+        read = materialize(transcribe(jobs.repartition(tasks, *PAGE) if tasks else jobs, model, concurrency=concurrency, image=image))
+        if on_read is not None:
+            on_read(read.select(*PAGE, "error", "prompt_tokens", "completion_tokens"))
     known = None
     if repairs:
         sound = pages.where(~F.coalesce("garbled", F.lit(False)) & (F.length("raw_text") > 0))

@@ -41,6 +41,18 @@ class Provider:
         return cls(name, env[f"{prefix}_BASE_URL"].rstrip("/"), env[f"{prefix}_MODEL"], f"{prefix}_API_KEY", env.get(f"{prefix}_STYLE", "chat"))
 
 
+def read_env(path: str, env: dict[str, str] | None = None) -> dict[str, str]:
+    """``env`` (the process's own by default) with the ``NAME=value`` lines of a file that it does not have yet, and without proxy settings, which reach local providers wrongly."""
+    known = dict(os.environ if env is None else env)
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                name, sep, value = line.strip().removeprefix("export ").partition("=")
+                if sep and not name.startswith("#"):
+                    known.setdefault(name.strip(), value.strip().strip("'\""))
+    return {k: v for k, v in known.items() if k.lower() not in ("http_proxy", "https_proxy", "all_proxy")}
+
+
 def mime_type(image: bytes) -> str:
     """The real type of image bytes, whatever a file's name says."""
     return next((t for start, t in SIGNATURES if image.startswith(start)), "application/octet-stream")
@@ -97,5 +109,6 @@ class HttpTranscriber:
         else:
             path, headers = "/chat/completions", {"Authorization": f"Bearer {key}"}
         request = urllib.request.Request(p.base_url + path, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
-        with urllib.request.urlopen(request, timeout=REQUEST_SECONDS) as answer:
+        direct = urllib.request.build_opener(urllib.request.ProxyHandler({}))
+        with direct.open(request, timeout=REQUEST_SECONDS) as answer:
             return reply_of(p.style, json.load(answer))

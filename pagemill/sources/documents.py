@@ -8,7 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import page_file
+from pagemill.functions.text import debug_name, page_file
+from pagemill.plans.storage import broadcast_if_small, materialize
 
 MANIFEST = "doc_id string, source_pdf string, generated_at bigint, success boolean, repeated_texts array<string>, image_ocr map<string,string>, pages array<struct<page_number:int,page_file:string,validated:boolean,method:string,warnings:array<string>,assets:array<string>,attempts:array<struct<method:string,ok:boolean,warnings:array<string>>>>>"
 
@@ -48,9 +49,16 @@ def unfinished(documents: DataFrame, finished: DataFrame, force: bool = False) -
     return documents if force else documents.join(finished.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-def write_outputs(outputs: DataFrame, path: str) -> None:
-    """Page outputs as Parquet, one folder a document is too many: partitioned by method, dynamically overwritten."""
-    outputs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method").parquet(path)
+def append_run(df: DataFrame, path: str, run: int) -> None:
+    """Rows of one run added to a table; a document that a later run has again is superseded, the others are untouched."""
+    df.withColumn("run", F.lit(run).cast("bigint")).write.mode("append").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Of each document the rows of its last run. Runs are compared by document alone; rows aren't exchanged while documents are few enough to broadcast."""
+    df = spark.read.parquet(path)
+    last = materialize(df.groupBy("doc_id").agg(F.max("run").alias("run")))
+    return df.join(broadcast_if_small(last), ["doc_id", "run"], "left_semi").drop("run")
 
 
 def export_texts(df: DataFrame, name: str, text: str, root: str) -> None:
@@ -80,6 +88,33 @@ def export_canonical(texts: DataFrame, root: str) -> None:
     export_texts(both, "name", "markdown", root)
 
 
+def export_manifests(manifests: DataFrame, root: str) -> None:
+    """``<doc_id>/manifest.json``: the fields of ``MANIFEST``, indented, non-ASCII kept."""
+    fields = F.struct(*manifests.columns)
+    export_texts(manifests.select(F.concat_ws("/", "doc_id", F.lit("manifest.json")).alias("name"), F.to_json(fields, {"pretty": "true", "ignoreNullFields": "false"}).alias("json")), "name", "json", root)
+
+
+def export_debug(tried: DataFrame, root: str) -> None:
+    """``<doc_id>/debug/page-NNN.<way>.md`` for each local way that was tried: ``doc_id, page_number, native_markdown, coords_markdown``."""
+    ways = F.array(*(F.struct(F.lit(s).alias("suffix"), F.col(c).alias("text")) for s, c in (("native.md", "native_markdown"), ("native-coords.md", "coords_markdown"))))
+    each = tried.select("doc_id", "page_number", F.explode(F.filter(ways, lambda w: w["text"].isNotNull())).alias("w"))
+    export_texts(each.select(F.concat_ws("/", "doc_id", F.lit("debug"), debug_name(F.col("page_number"), F.col("w.suffix"))).alias("name"), "w.text"), "name", "text", root)
+
+
+def delete_documents(documents: DataFrame, root: str) -> None:
+    """The folders of documents under ``root`` deleted, with all that is in them."""
+
+    def drop(rows: Iterable) -> None:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + os.path.abspath(root))
+        for r in rows:
+            if system.get_file_info(f"{base}/{r.doc_id}").type == fs.FileType.Directory:
+                system.delete_dir(f"{base}/{r.doc_id}")
+
+    documents.select("doc_id").distinct().foreachPartition(drop)
+
+
 def export_errors(errors: DataFrame, root: str) -> None:
     """``<doc_id>/errors.txt`` for each document that failed."""
     export_texts(errors.select(F.concat_ws("/", "doc_id", F.lit("errors.txt")).alias("name"), "errors"), "name", "errors", root)

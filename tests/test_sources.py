@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.plans import cli
-from pagemill.plans.storage import broadcast_if_small, materialize
+from pagemill.plans.storage import broadcast_if_small, exists, materialize, scratch, shared_dir
+from pagemill.plans.transcribe import StandIn
 from pagemill.sources import documents, pdf
 from pagemill.streaming import incremental
 
@@ -72,12 +73,35 @@ def test_storage(spark):
     assert "broadcast" not in broadcast_if_small(df, 5)._jdf.queryExecution().logical().toString().lower()
 
 
+def test_scratch_is_dropped(spark):
+    with scratch(spark):
+        df = materialize(spark.range(3))
+        with scratch(spark):
+            inner = materialize(spark.range(4))
+        assert not exists(spark, inner.inputFiles()[0]) and df.count() == 3
+    assert not exists(spark, df.inputFiles()[0]) and exists(spark, materialize(spark.range(1)).inputFiles()[0])
+
+
+class FakeSession:
+    class conf:
+        get = staticmethod(lambda name, default=None: default)
+
+    def __init__(self, master):
+        self.sparkContext = type("C", (), {"master": master, "getCheckpointDir": lambda self: None})()
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"])
+def test_a_cluster_needs_a_shared_folder(master):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(FakeSession(master))
+
+
 def test_command(spark, folder, tmp_path):
     out = str(tmp_path / "out")
     base = [str(folder), "-o", out, "--decoder", "test_sources:fake_decoder"]
     estimate = {r.doc_id: r.scan_pages for r in cli.run(spark, cli.arguments([*base, "--dry-run"])).collect()}
     assert estimate == {"a": 1, "b": 1, None: 2}
-    texts = {r.doc_id: r.markdown for r in cli.run(spark, cli.arguments(base)).collect()}
+    texts = {r.doc_id: r.markdown for r in cli.run(spark, cli.arguments(base), StandIn("raw_text")).collect()}
     assert set(texts) == {"a", "b"} and "page:1 method:native" in texts["a"] and "[空白页]" in texts["a"]
     assert (tmp_path / "out/a/canonical.md").exists()
 
@@ -108,7 +132,7 @@ def test_command_reads_images(spark, folder, tmp_path):
     texts = {r.doc_id: r.markdown for r in cli.run(spark, args, ImageReader()).collect()}
     assert set(texts) == {"a"} and "IMG_OCR" not in texts["a"]
     assert [texts["a"].count(f"图中文字xref-{n}") for n in (1, 2, 3)] == [1, 1, 1]
-    kept = spark.read.parquet(out + "/manifest.parquet").where("doc_id = 'a'").first()
+    kept = documents.read_runs(spark, out + "/manifest.parquet").where("doc_id = 'a'").first()
     assert kept.repeated_texts == ["页眉文字"] and set(kept.image_ocr) == {"xref-1", "xref-2", "xref-3"}
     assert (tmp_path / "out/b/errors.txt").read_text() == "以下页面未通过校验：4" and not (tmp_path / "out/a/errors.txt").exists()
 
