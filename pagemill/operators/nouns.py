@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.plans.storage import broadcast_if_small, materialize
+
 #: Endings of names and counts that make one; fixed values.
 COMPANY = "[一-鿿]{2,}(?:有限合伙）|有限公司|股份有限公司|有限责任公司)"
 FUND = "[一-鿿]{2,}(?:合伙企业|投资中心|基金)"
@@ -26,10 +28,12 @@ def short_forms(texts: DataFrame, full: DataFrame) -> DataFrame:
     """
     run = F.regexp_replace("noun", "[^一-鿿]", "")
     pieces = full.where(F.length(run) >= SHORT_FORM).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length(run) - SHORT_FORM + 1), lambda i: F.substring(run, i, F.lit(SHORT_FORM)))).alias("noun")).distinct()
-    own = pieces.groupBy("doc_id").agg(F.collect_set("noun").alias("pieces"))
-    hits = texts.join(own, "doc_id").select("doc_id", "text", F.explode("pieces").alias("noun")).where(F.contains("text", F.col("noun")))
-    times = (F.length("text") - F.length(F.replace("text", F.col("noun"), F.lit("")))) / SHORT_FORM
-    counted = hits.groupBy("doc_id", "noun").agg(F.sum(times.cast("bigint")).alias("n")).where(F.col("n") >= LEAST_SHORT)
+    own = broadcast_if_small(materialize(pieces.groupBy("doc_id").agg(F.collect_set("noun").alias("pieces"))))
+    # counted within the page's row: only pieces that are there leave it
+    times = lambda p: ((F.length("text") - F.length(F.replace(F.col("text"), p, F.lit("")))) / SHORT_FORM).cast("bigint")
+    found = F.filter(F.transform("pieces", lambda p: F.struct(p.alias("noun"), times(p).alias("k"))), lambda x: x["k"] > 0)
+    hits = texts.join(own, "doc_id").select("doc_id", F.explode(found).alias("h"))
+    counted = hits.groupBy("doc_id", F.col("h.noun").alias("noun")).agg(F.sum("h.k").alias("n")).where(F.col("n") >= LEAST_SHORT)
     return counted.join(full.select("doc_id", "noun"), ["doc_id", "noun"], "left_anti")
 
 

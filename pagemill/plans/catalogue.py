@@ -16,7 +16,7 @@ from pagemill.functions import text as TX
 from pagemill.operators import coords, correct, cost, layout, merge, nouns, repeats, repetition
 from pagemill.operators.line_tables import align_pipe_tables, plain_tables
 from pagemill.plans.pipeline import route
-from pagemill.plans.storage import read_table
+from pagemill.plans.storage import materialize, read_table
 from pagemill.sources.documents import unfinished
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,12 +82,6 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 _LINES = """lines as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos from lineitem)"""
 
 
-def order_lines(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return read_table(spark, d, "lineitem").withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
-
-
 # Scalar functions ----------------------------------------------------------------------------------------------------
 
 
@@ -202,7 +196,8 @@ def order_cells(spark: SparkSession, d: str) -> DataFrame:
     """A table for each order: ragged and sparse ones among them."""
     q = F.col("l_quantity").cast("bigint").cast("string")
     row = F.when(F.col("l_partkey") % 17 == 0, F.array(F.col("l_linestatus"), q)).otherwise(F.array(F.concat(F.lit(" "), "l_returnflag", F.lit("\n"), "l_linestatus"), F.when(F.col("l_tax") > 0.03, q), F.col("l_suppkey").cast("string")))
-    return order_lines(spark, d).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("pos", row.alias("r")))).alias("rows")).select("l_orderkey", F.transform("rows", lambda r: r["r"]).alias("cells"))
+    items = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*LINE_ORDER, row.alias("r")))).alias("rows"))
+    return items.select("l_orderkey", F.transform("rows", lambda r: r["r"]).alias("cells"))
 
 
 _CELLS = f"""{_LINES}, rows as (select l_orderkey, pos, case when l_partkey % 17 = 0 then [l_linestatus, cast(cast(l_quantity as bigint) as varchar)] else [concat(' ', l_returnflag, chr(10), l_linestatus), case when l_tax > 0.03 then cast(cast(l_quantity as bigint) as varchar) end, cast(l_suppkey as varchar)] end as r from lines),
@@ -263,19 +258,10 @@ def pipe_table_align(spark, d):
 
 @_query(f"""with src as (select distinct page_id, coalesce(raw_text, '') as t from analysis),
 parts as (select page_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda l: {_s('l')}), lambda l: l <> '') as ls from src),
-cell as (select page_id, t, case when page_id % 3 = 0 then list_reverse(ls[:4]) else ls[:4] end as c from parts),
+cell as (select page_id, t, case when page_id % 3 = 0 then list_reverse(ls) else ls end as c from parts),
 place as (select page_id, list_filter(list_transform(c, lambda l: instr(t, l) - 1), lambda p: p >= 0) as p from cell)
 select page_id, len(list_filter(range(1, len(p)), lambda i: p[i + 1] < p[i])) = 0 as reliable from place""")
 def cell_order_reliable(spark, d):
-    t = F.coalesce("raw_text", F.lit(""))
-    lines = F.slice(F.filter(F.transform(F.split(t, "\n", -1), TX.strip_u), lambda l: F.length(l) > 0), 1, 4)
-    cell = F.array_join(F.when(F.col("page_id") % 3 == 0, F.reverse(lines)).otherwise(lines), "\n")
-    return read_table(spark, d, "analysis").select("page_id", TB.order_is_reliable(t, F.array(F.array(cell))).alias("reliable")).distinct()
-
-
-@_query()
-def cell_order_reliable_whole(spark, d):
-    """The same with all lines of the page as the cell; no SQL."""
     t = F.coalesce("raw_text", F.lit(""))
     lines = F.filter(F.transform(F.split(t, "\n", -1), TX.strip_u), lambda l: F.length(l) > 0)
     cell = F.array_join(F.when(F.col("page_id") % 3 == 0, F.reverse(lines)).otherwise(lines), "\n")
@@ -285,19 +271,24 @@ def cell_order_reliable_whole(spark, d):
 # Layout --------------------------------------------------------------------------------------------------------------
 
 
-def order_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as pages: a block for each line item, its size from the quantity, bold where the tax is high."""
-    return order_lines(spark, d).select(
-        F.lit("doc").alias("doc_id"),
-        F.col("l_orderkey").alias("page_number"),
-        F.col("pos").alias("block_no"),
-        F.lit(1).alias("line_no"),
-        F.explode(F.array(F.struct(F.lit(1).alias("span_no"), F.concat("l_returnflag", F.lit("# ")).alias("text")), F.struct(F.lit(2).alias("span_no"), F.concat("l_linestatus", F.lit(" "), F.col("l_partkey").cast("string"), F.lit("  ")).alias("text")))).alias("s"),
-        (F.col("l_quantity") / 2).alias("size"),
-        F.when(F.col("l_tax") > 0.04, 16).otherwise(0).alias("flags"),
-        (F.col("l_linenumber") * 20.0).alias("y0"),
-        (F.col("l_linenumber") * 20.0 + 12).alias("y1"),
-    ).select("*", "s.span_no", "s.text").drop("s")
+def order_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as pages, gathered once: ``l_orderkey, spans, tables, images``.
+
+    A line item is a block of two spans, its size from the quantity, bold where the tax is high; a returned one has a
+    table over its height, a new one an image at its top.
+    """
+    item = F.struct(*LINE_ORDER, "l_returnflag", "l_linestatus", "l_quantity", "l_tax")
+    rows = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("r"))
+    top = lambda x: x["l_linenumber"] * 20.0
+
+    def span(x, i, k, text):
+        return F.struct((i + 1).alias("block_no"), F.lit(1).alias("line_no"), F.lit(k).alias("span_no"), text.alias("text"), (x["l_quantity"] / 2).alias("size"), F.when(x["l_tax"] > 0.04, 16).otherwise(0).alias("flags"), top(x).alias("y0"), (top(x) + 12).alias("y1"))
+
+    two = lambda x, i: F.array(span(x, i, 1, F.concat(x["l_returnflag"], F.lit("# "))), span(x, i, 2, F.concat(x["l_linestatus"], F.lit(" "), x["l_partkey"].cast("string"), F.lit("  "))))
+    table = lambda x, i: F.when(x["l_returnflag"] == "R", F.struct((i + 1).alias("table_no"), (top(x) + 1).alias("y0"), (top(x) + 9).alias("y1"), F.concat(F.lit("<table>"), (i + 1).cast("string"), F.lit("</table>")).alias("content")))
+    image = lambda x, i: F.when(x["l_returnflag"] == "N", F.struct(x["l_partkey"].alias("xref"), (i + 1).alias("rect_no"), top(x).alias("y0")))
+    there = lambda f: F.filter(F.transform("r", f), lambda x: x.isNotNull())
+    return rows.select("l_orderkey", F.flatten(F.transform("r", two)).alias("spans"), there(table).alias("tables"), there(image).alias("images"))
 
 
 _SPANS = f"""{_LINES}, spans as (select l_orderkey, pos, k, case k when 1 then concat(l_returnflag, '# ') else concat(l_linestatus, ' ', l_partkey, '  ') end as text, l_quantity / 2 as size, case when l_tax > 0.04 then 16 else 0 end as flags, l_linenumber * 20.0 as y0, l_linenumber * 20.0 + 12 as y1 from lines cross join (values (1), (2)) v(k)),
@@ -307,12 +298,8 @@ body as (select l_orderkey, s as body_size from sized qualify row_number() over
 
 @_query(f"with {_SPANS} select l_orderkey, round(body_size, 1) as body_size from body")
 def body_font_size(spark, d):
-    return layout.body_sizes(order_spans(spark, d)).select(F.col("page_number").alias("l_orderkey"), F.round("body_size", 1).alias("body_size"))
-
-
-def order_tables(spark: SparkSession, d: str) -> DataFrame:
-    """A table over the height of each returned line item."""
-    return order_lines(spark, d).where("l_returnflag = 'R'").select(F.lit("doc").alias("doc_id"), F.col("l_orderkey").alias("page_number"), F.col("pos").alias("table_no"), (F.col("l_linenumber") * 20.0 + 1).alias("y0"), (F.col("l_linenumber") * 20.0 + 9).alias("y1"), F.concat(F.lit("<table>"), F.col("pos").cast("string"), F.lit("</table>")).alias("content"))
+    size = layout.body_size(layout.ordered_spans("spans"))
+    return order_pages(spark, d).select("l_orderkey", F.round(size, 1).alias("body_size"))
 
 
 _OUT = f"""{_SPANS}, rects as (select l_orderkey, pos, l_linenumber * 20.0 + 1 as y0, l_linenumber * 20.0 + 9 as y1 from lines where l_returnflag = 'R'),
@@ -322,19 +309,21 @@ outside as (select * from blocks b where not exists (select 1 from rects r where
 
 @_query(f"with {_OUT} select l_orderkey, cast(pos as bigint) as block_no from outside")
 def blocks_outside_tables(spark, d):
-    blocks = order_spans(spark, d).select("doc_id", "page_number", "block_no", "y0", "y1").distinct()
-    return layout.outside_tables(blocks, order_tables(spark, d)).select(F.col("page_number").alias("l_orderkey"), big("block_no").alias("block_no"))
+    blocks = layout.let(layout.ordered_spans("spans"), layout.blocks_of)
+    outside = F.filter(blocks, lambda b: layout.is_outside(b["y0"], b["y1"], F.col("tables")))
+    return order_pages(spark, d).select("l_orderkey", F.explode(F.transform(outside, lambda b: b["block_no"])).alias("block_no")).select("l_orderkey", big("block_no").alias("block_no"))
 
 
 @_query(f"""with {_OUT},
 level as (select s.*, case when size / body_size >= 1.8 then 1 when size / body_size >= 1.4 then 2 when size / body_size >= 1.15 then 3 else 0 end as lv from spans s join body using (l_orderkey)),
 line as (select l_orderkey, pos, max(lv) as lv, regexp_replace(string_agg(case when flags = 16 and lv = 0 then concat('**', text, '**') else text end, '' order by k), '{BLANK}+$', '') as t from level group by 1, 2),
 texts as (select l_orderkey, pos, case when lv > 0 then concat(repeat('#', lv), ' ', regexp_replace(t, '^[# ]+', '')) else t end as t from line),
-fragments as (select o.l_orderkey, o.y0, 2 as kind, o.pos, t from outside o join texts using (l_orderkey, pos) union all select l_orderkey, y0, 0, pos, concat('<table>', pos, '</table>') from rects)
+fragments as (select o.l_orderkey, o.y0, 2 as kind, o.pos, t from outside o join texts using (l_orderkey, pos) union all select l_orderkey, y0, 0, pos, concat('<table>', pos, '</table>') from rects
+  union all select l_orderkey, l_linenumber * 20.0, 1, pos, concat('<!-- IMG_OCR:xref-', l_partkey, ' -->') from lines where l_returnflag = 'N')
 select o_orderkey as l_orderkey, coalesce(string_agg(t, chr(10) || chr(10) order by y0, kind, pos), '[空白页]') as markdown from orders left join fragments on o_orderkey = l_orderkey group by 1""")
 def page_layout_markdown(spark, d):
-    pages = read_table(spark, d, "orders").select(F.lit("doc").alias("doc_id"), F.col("o_orderkey").alias("page_number"))
-    return layout.render_pages(pages, order_spans(spark, d), order_tables(spark, d)).select(F.col("page_number").alias("l_orderkey"), "markdown")
+    pages = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    return pages.join(order_pages(spark, d), "l_orderkey", "left").select("l_orderkey", layout.page_markdown("spans", F.col("tables"), F.col("images")).alias("markdown"))
 
 
 # Repeated texts ------------------------------------------------------------------------------------------------------
@@ -396,14 +385,17 @@ def page_analysis(spark, d):
 
 
 def supplier_words(spark: SparkSession, d: str) -> DataFrame:
-    """A page of words for each supplier: five field names at the left, line items in columns to their right."""
+    """A page of words for each supplier: five field names of two words at the left, line items in columns to their right."""
     from pyspark.sql import Window
 
     items = read_table(spark, d, "lineitem").withColumn("word_no", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", *LINE_ORDER)))
     column = F.col("l_partkey") % 9
     data = items.select(F.lit("doc").alias("doc_id"), F.col("l_suppkey").alias("page_number"), "word_no", (110 + column * 20 + F.col("l_orderkey") % 3 + F.when(F.col("l_partkey") % 23 == 0, 7).otherwise(0)).cast("double").alias("x0"), (500 - 100 * (F.col("l_linenumber") % 5) + F.col("l_orderkey") % 90 - 30).cast("double").alias("y0"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"))
     names = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(coords.REQUIRED)))
-    fields = read_table(spark, d, "supplier").select(F.lit("doc").alias("doc_id"), F.col("s_suppkey").alias("page_number"), F.explode(names).alias("f")).select("doc_id", "page_number", (-1 - F.col("f.i")).alias("word_no"), F.lit(90.0).alias("x0"), (500.0 - 100 * F.col("f.i")).alias("y0"), F.col("f.n").alias("text"))
+    # each name in two words, the second a little lower
+    half = lambda f, k: F.struct((-10 + 2 * f["i"] + k).alias("word_no"), (500.0 - 100 * f["i"] - 6 * k).alias("y0"), (F.substring(f["n"], 3, 9) if k else F.substring(f["n"], 1, 2)).alias("text"))
+    halves = F.flatten(F.transform(names, lambda f: F.array(half(f, 0), half(f, 1))))
+    fields = read_table(spark, d, "supplier").select(F.lit("doc").alias("doc_id"), F.col("s_suppkey").alias("page_number"), F.explode(halves).alias("f")).select("doc_id", "page_number", F.col("f.word_no").alias("word_no"), F.lit(90.0).alias("x0"), F.col("f.y0").alias("y0"), F.col("f.text").alias("text"))
     return data.unionByName(fields)
 
 
@@ -482,16 +474,22 @@ def looped_texts(spark: SparkSession, d: str) -> DataFrame:
     return page_rows(spark, d).where("markdown is not null").select("page_id", F.when(F.col("page_id") % 11 == 0, F.concat("markdown", loop)).otherwise(F.col("markdown")).alias("text"))
 
 
-@_query(f"""with {_LATEST}, src as (select page_id, substr(case when page_id % 11 = 0 then concat(markdown, repeat(concat('循环 loop of ', page_number, ' words; '), 9)) else markdown end, 1, 50000) as s from latest_pages where markdown is not null),
+_WINDOWS = f"""{_LATEST}, looped as (select page_id, case when page_id % 11 = 0 then concat(markdown, repeat(concat('循环 loop of ', page_number, ' words; '), 9)) else markdown end as t from latest_pages where markdown is not null),
+src as (select page_id, substr(t, 1, 50000) as s from looped),
 win as (select unnest([120, 112, 104, 96, 88, 80, 72, 64, 56, 48, 40, 32, 24, 16]) as win),
 each as (select page_id, s, win, unnest(range(1, length(s) - win + 2, greatest(1, win // 4))) as i from src cross join win where length(s) >= win),
-chunks as (select page_id, win, substr(s, i, win) as chunk, i from each)
-select page_id, cast(win as bigint) as win, chunk, count(*) as n, cast(min(i) - 1 as bigint) as pos from chunks group by 1, 2, 3 having count(*) >= 5 and length(regexp_replace(chunk, '[^\\p{{L}}]', '', 'g')) >= 4""")
+chunks as (select page_id, win, substr(s, i, win) as chunk, i from each),
+windows as (select page_id, cast(win as bigint) as win, chunk, count(*) as n, cast(min(i) - 1 as bigint) as pos from chunks group by 1, 2, 3 having count(*) >= 5 and length(regexp_replace(chunk, '[^\\p{{L}}]', '', 'g')) >= 4)"""
+
+
+@_query(f"with {_WINDOWS} select * from windows")
 def repetition_windows(spark, d):
     return repetition.window_counts(looped_texts(spark, d), "page_id", "text").select("page_id", big("win").alias("win"), "chunk", "n", big("pos").alias("pos"))
 
 
-@_query()
+@_query(f"""with {_WINDOWS}, held as (select page_id, list({{'n': n, 'at': instr(t, chunk) - 1, 'size': length(chunk)}} order by win desc, pos) as c from windows join looped using (page_id) group by 1),
+best as (select page_id, t, list_reduce(coalesce(c, []), lambda b, x: case when x.n > b.n and x.at < b.at then x else b end, {{'n': cast(0 as bigint), 'at': length(t), 'size': cast(0 as bigint)}}) as b from looped left join held using (page_id))
+select page_id, case when b.n > 0 then concat(substr(t, 1, b.at + b.size), '{repetition.NOTE.replace(chr(10), "' || chr(10) || '")}') else t end as text from best""")
 def repetition_cut(spark, d):
     return repetition.without_loops(looped_texts(spark, d), "text")
 
@@ -587,14 +585,14 @@ def ladder_pages(spark: SparkSession, d: str) -> DataFrame:
     listed = manifest_rows(spark, d).select("doc_id", "repeated_texts")
     a = analysis_rows(spark, d).join(listed, "doc_id", "left")
     native = F.coalesce("body_text", "raw_text", F.lit(""))
-    return a.withColumn("raw_text", F.coalesce("raw_text", F.lit(""))).withColumn("native_markdown", F.when(F.col("page_number") % 5 == 0, F.substring(native, 1, 40)).otherwise(native)).withColumn("coords_markdown", F.when(F.col("page_number") % 10 == 0, F.col("raw_text")))
+    return a.withColumn("raw_text", F.coalesce("raw_text", F.lit(""))).withColumn("native_markdown", native).withColumn("coords_markdown", F.when(F.col("page_number") % 10 == 0, F.col("raw_text")))
 
 
 _VISION = _listed_sql("case when not contains(acc, r) and contains(raw, r) then concat(r, chr(10), chr(10), acc) else acc end", "regexp_replace(t, '(^|[^\\p{L}\\p{N}_])(20[012])\\s+年\\s+(\\d+\\s+月)', '\\1\\2? 年 \\3', 'g')")
 
 
 @_query(f"""with {_LATEST},
-src as (select a.doc_id, a.page_number, coalesce(a.raw_text, '') as raw, a.body_text, a.has_tables, a.native_candidate, case when a.page_number % 5 = 0 then substr(coalesce(body_text, raw_text, ''), 1, 40) else coalesce(body_text, raw_text, '') end as native, case when a.page_number % 10 = 0 then coalesce(a.raw_text, '') end as co, m.repeated_texts from latest_analysis a left join latest_manifest m using (doc_id)),
+src as (select a.doc_id, a.page_number, coalesce(a.raw_text, '') as raw, a.body_text, a.has_tables, a.native_candidate, coalesce(body_text, raw_text, '') as native, case when a.page_number % 10 = 0 then coalesce(a.raw_text, '') end as co, m.repeated_texts from latest_analysis a left join latest_manifest m using (doc_id)),
 w1 as (select *, case when native_candidate then {_page_warnings_sql('native', "'native'", 'has_tables', 'body_text', 'raw')} end as nw from src),
 w2 as (select *, case when coalesce(len(list_filter(nw, lambda x: regexp_matches(x, '短行|表格'))) > 0, false) and co is not null then {_page_warnings_sql('co', "'native'", 'has_tables', 'body_text', 'raw')} end as cw from w1),
 way as (select *, case when len(nw) = 0 then 'native' when len(cw) = 0 then 'native-coords' end as way from w2),
@@ -613,9 +611,8 @@ def routing_ladder(spark, d):
 
 @_query()
 def routing_ladder_repaired(spark, d):
-    """The ladder with all repairs and whole native texts; no SQL."""
-    whole = ladder_pages(spark, d).withColumn("native_markdown", F.coalesce("body_text", "raw_text", F.lit("")))
-    return _ladder(spark, d, whole, repairs=True)
+    """The ladder with all repairs of transcribed pages; no SQL."""
+    return _ladder(spark, d, ladder_pages(spark, d), repairs=True)
 
 
 def _ladder(spark, d, pages, repairs):
@@ -624,6 +621,15 @@ def _ladder(spark, d, pages, repairs):
     return out.select("doc_id", "page_number", "method", "content", "validated", F.array_join("warnings", ";").alias("warnings"))
 
 
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Pages through the routing ladder with all repairs, then canonical texts of the documents of which every page passes."""
+    listed = manifest_rows(spark, d).select("doc_id", "source_pdf", F.coalesce("repeated_texts", F.array().cast("array<string>")).alias("repeated_texts"))
+    replies = page_rows(spark, d).select("doc_id", "page_number", TX.strip_markers(F.coalesce("markdown", F.lit(""))).alias("text"), F.lit(None).cast("string").alias("error"))
+    outputs = materialize(route(ladder_pages(spark, d), transcripts=replies))
+    good = merge.document_gate(outputs).where("success").select("doc_id")
+    return merge.canonical(outputs.join(good, "doc_id", "left_semi"), listed)
+
+
 def queries() -> dict[str, Query]:
     return dict(_FOUND)
 

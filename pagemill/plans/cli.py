@@ -52,26 +52,22 @@ def decoded(spark: SparkSession, path: str, decoder: str | None = None) -> DataF
 
 def text_blocks(pages: DataFrame) -> DataFrame:
     """Text blocks of each page with their lines kept apart: ``doc_id, page_number, page_height, block_no, y0, y1, text``. A page's spans are gathered within its row."""
-    of = lambda b: F.sort_array(F.filter("spans", lambda s: s["block_no"] == b))
 
-    def block(b):
-        own = of(b)
+    def text(own):
         lines = F.array_distinct(F.transform(own, lambda s: s["line_no"]))
-        texts = F.transform(lines, lambda l: F.transform(F.filter(own, lambda s: s["line_no"] == l), lambda s: F.coalesce(s["text"], F.lit(""))))
-        return F.struct(b.alias("block_no"), F.array_min(F.transform(own, lambda s: s["y0"])).alias("y0"), F.array_max(F.transform(own, lambda s: s["y1"])).alias("y1"), block_text(texts).alias("text"))
+        return block_text(F.transform(lines, lambda l: F.transform(F.filter(own, lambda s: s["line_no"] == l), lambda s: s["text"])))
 
-    numbers = F.array_distinct(F.transform("spans", lambda s: s["block_no"]))
-    return pages.select("doc_id", "page_number", "page_height", F.explode(F.transform(numbers, block)).alias("b")).select("doc_id", "page_number", "page_height", "b.*")
+    blocks = layout.let(layout.ordered_spans("spans"), lambda s: F.transform(layout.blocks_of(s), lambda b: F.struct(b["block_no"].alias("block_no"), b["y0"].alias("y0"), b["y1"].alias("y1"), text(b["spans"]).alias("text"))))
+    return pages.select("doc_id", "page_number", "page_height", F.explode(blocks).alias("b")).select("doc_id", "page_number", "page_height", "b.*")
 
 
 def prepared(pages: DataFrame) -> DataFrame:
     """What the routing ladder needs of decoded pages: analysis, native Markdown, coordinate tables, repeated texts, and the file's ``path``."""
-    spans, tables, images = (exploded(pages, c) for c in ("spans", "tables", "images"))
     repeated = repeats.repeated_by_document(repeats.repeated_texts(text_blocks(pages)))
     analysis = repeats.analyse_pages(pages.select("doc_id", "page_number", "raw_text", F.size("tables").alias("table_count"), F.size("images").alias("image_blocks")), repeated)
-    native = layout.render_pages(pages, spans, layout.table_fragments(tables, pages), images).withColumnRenamed("markdown", "native_markdown")
+    native = layout.page_markdown("spans", layout.reliable_tables("tables", "raw_text"), F.col("images"))
     rebuilt = coords.rebuild(exploded(pages, "words")).withColumnRenamed("markdown", "coords_markdown")
-    return analysis.join(native, PAGE, "left").join(rebuilt, PAGE, "left").join(repeated, "doc_id", "left").join(pages.select(*PAGE, "path"), PAGE)
+    return analysis.join(pages.select(*PAGE, "path", native.alias("native_markdown")), PAGE).join(rebuilt, PAGE, "left").join(repeated, "doc_id", "left")
 
 
 def extract(spark: SparkSession, pages: DataFrame, args: argparse.Namespace, model: Transcriber, out: str, run: int, image=None) -> None:

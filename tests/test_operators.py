@@ -1,36 +1,39 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.operators import coords, correct, cost, layout, merge, nouns, repeats, repetition
 from pagemill.plans.pipeline import read_images, route, with_images
 from pagemill.plans.transcribe import Reply, StandIn, attempt, transcribe
 
-SPANS = "doc_id string, page_number int, block_no int, line_no int, span_no int, text string, size double, flags int, y0 double, y1 double"
+LAYOUT = "raw_text string, spans array<struct<text:string,block_no:int,line_no:int,span_no:int,size:double,flags:int,x0:double,y0:double,y1:double>>, tables array<struct<table_no:int,y0:double,y1:double,cells:array<array<string>>>>, images array<struct<xref:int,rect_no:int,y0:double,ext:string,image:binary>>"
 
 
-def spans(spark, *rows):
-    return spark.createDataFrame([("d", 1, b, l, s, t, size, flags, y, y + 12) for b, l, s, t, size, flags, y in rows], SPANS)
-
-
-def pages(spark, n=1):
-    return spark.createDataFrame([("d", i + 1) for i in range(n)], "doc_id string, page_number int")
+def laid_out(spark, spans, tables=None, images=None, raw=None):
+    rows = None if spans is None else [(t, b, l, s, size, flags, 0.0, y, y + 12) for b, l, s, t, size, flags, y in spans]
+    return spark.createDataFrame([(raw, rows, tables, images)], LAYOUT)
 
 
 def test_layout(spark):
-    s = spans(spark, (1, 1, 1, "Big Title", 24.0, 0, 72.0), (2, 1, 1, "line one ", 11.0, 16, 120.0), (2, 1, 2, "and more", 11.0, 0, 120.0), (2, 2, 1, "line two", 11.0, 0, 140.0))
-    md = layout.render_pages(pages(spark, 2), s).orderBy("page_number").collect()
-    assert md[0].markdown == "# Big Title\n\n**line one **and more\nline two"
-    assert md[1].markdown == "[空白页]"
-    assert layout.body_sizes(s).first().body_size == 11.0
+    rows = [(2, 2, 1, "line two", 11.0, 0, 140.0), (1, 1, 1, "Big Title", 24.0, 0, 72.0), (2, 1, 2, "and more", 11.0, 0, 120.0), (2, 1, 1, "line one ", 11.0, 16, 120.0), (3, 1, 1, "  ", 40.0, 0, 150.0)]
+    md = lambda df: df.select(layout.page_markdown("spans").alias("m")).first().m
+    size = lambda df: df.select(layout.body_size(layout.ordered_spans("spans")).alias("s")).first().s
+    assert md(laid_out(spark, rows)) == "# Big Title\n\n**line one **and more\nline two"
+    assert md(laid_out(spark, [])) == md(laid_out(spark, None)) == md(laid_out(spark, rows[-1:])) == "[空白页]"
+    assert size(laid_out(spark, rows)) == 11.0 and size(laid_out(spark, [])) is None
+    # as many characters of either size: the first met
+    assert size(laid_out(spark, [(1, 1, 1, "abc", 9.0, 0, 1.0), (2, 1, 1, "xyz", 12.0, 0, 2.0), (3, 1, 1, None, 30.0, 0, 3.0)])) == 9.0
 
 
 def test_tables_replace_their_blocks(spark):
-    s = spans(spark, (1, 1, 1, "before", 11.0, 0, 10.0), (2, 1, 1, "in table", 11.0, 0, 50.0), (3, 1, 1, "after", 11.0, 0, 90.0))
-    tables = spark.createDataFrame([("d", 1, 1, 48.0, 64.0, [["a", "b"], ["1", "2"]])], "doc_id string, page_number int, table_no int, y0 double, y1 double, cells array<array<string>>")
-    text = spark.createDataFrame([("d", 1, "a b 1 2")], "doc_id string, page_number int, raw_text string")
+    s = [(1, 1, 1, "before", 11.0, 0, 10.0), (2, 1, 1, "in table", 11.0, 0, 50.0), (3, 1, 1, "after", 11.0, 0, 90.0)]
+    tables = [(1, 48.0, 64.0, [["a", "b"], ["1", "2"]])]
+    pictures = [(7, 1, 48.0, "png", bytearray(b"x")), (7, 2, 200.0, "png", bytearray(b"x"))]
+    markdown = layout.page_markdown("spans", layout.reliable_tables("tables", "raw_text"), F.col("images"))
     images = spark.createDataFrame([("d", 1, 7, 1, 48.0, "png", bytearray(b"x")), ("d", 1, 7, 2, 200.0, "png", bytearray(b"x"))], "doc_id string, page_number int, xref int, rect_no int, y0 double, ext string, image binary")
-    md = layout.render_pages(pages(spark), s, layout.table_fragments(tables, text), images).first().markdown
+    md = laid_out(spark, s, tables, pictures, "a b 1 2").select(markdown.alias("m")).first().m
+    assert laid_out(spark, s, [(1, 48.0, 64.0, [["b\na"]])], None, "a b").select(markdown.alias("m")).first().m == "before\n\nin table\n\nafter"
     assert md == "before\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n<!-- IMG_OCR:xref-7 -->\n\nafter\n\n<!-- IMG_OCR:xref-7 -->"
     assert layout.pending_images(images).count() == 1
 
@@ -95,6 +98,44 @@ def test_corrections():
     assert correct.two_off("甲乙丙丁戊", "一二丙丁戊") == "一二丙丁戊"
 
 
+def test_stretches_against_a_pattern():
+    """The endings followed back give what a greedy pattern finds from the left."""
+    import random
+    import re
+
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice(["甲", "乙", "Ab", "（", " ", "，", "有限公司", "股份有限公司", "基金"]) for _ in range(rng.randint(0, 18)))
+        for ending, limit in (("有限公司", rng.randint(2, 9)), ("基金", 5)):
+            want = re.findall(rf"[一-鿿A-Za-z0-9（）()·&、\-]{{2,{limit}}}{ending}", text)
+            assert list(correct.named_stretches(text, ending, limit)) == want, (text, ending, limit)
+
+
+def test_near_against_brute_force():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(2000):
+        text, phrase = ("".join(rng.choice("甲乙丙a") for _ in range(rng.randint(1, n))) for n in (14, 5))
+        wild = tuple(sorted(rng.sample(range(len(phrase)), rng.randint(0, min(2, len(phrase))))))
+        fits = [text[a : a + len(phrase)] for a in range(len(text) - len(phrase) + 1) if all("一" <= text[a + i] <= "鿿" if i in wild else text[a + i] == c for i, c in enumerate(phrase))]
+        assert correct.Index(text).near(phrase, wild) == (fits[0] if fits and fits[0] != phrase else None)
+
+
+def test_windows_against_brute_force():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        text = "".join(rng.choice(["loop ", "循环", "x", "12 "]) * rng.randint(1, 9) for _ in range(12))
+        got = list(repetition.windows(text))
+        for size in range(repetition.NARROWEST, repetition.WIDEST + 1, repetition.STEP):
+            starts = range(0, len(text) - size + 1, size // 4)
+            pieces = [text[i : i + size] for i in starts]
+            want = {p: (pieces.count(p), pieces.index(p) * (size // 4)) for p in pieces if pieces.count(p) >= 5 and sum(c.isalpha() for c in p) >= 4}
+            assert {w.piece: (w.times, w.at) for w in got if w.size == size} == want
+
+
 def test_loops(spark):
     text = "前文。" + "这是重复的一段话，没有尽头。" * 30
     cut = repetition.cut_loop(text)
@@ -226,7 +267,7 @@ def test_whole_queries(spark, tmp_path):
     table = "名称  数值  比例\n甲项  100  5%\n乙项  200  6%\n丙项  300  7%"
     spark.createDataFrame([(2, "d", 6, table, None)], "page_id bigint, doc_id string, page_number int, markdown string, written_at timestamp").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([("d", "d.pdf", [], True, None)], "doc_id string, source_pdf string, repeated_texts array<string>, success boolean, received_at timestamp").write.parquet(f"{tmp_path}/manifest.parquet")
-    got = {r.page_id: r.reliable for r in catalogue.queries()["cell_order_reliable_whole"](spark, str(tmp_path)).collect()}
+    got = {r.page_id: r.reliable for r in catalogue.queries()["cell_order_reliable"](spark, str(tmp_path)).collect()}
 
     def brute(page_id, t):
         lines = [l for l in t.split("\n") if l]
@@ -236,7 +277,6 @@ def test_whole_queries(spark, tmp_path):
     assert got == {r[0]: brute(r[0], r[3]) for r in rows} and not got[4]
     out = {r.page_number: r for r in catalogue.queries()["routing_ladder_repaired"](spark, str(tmp_path)).collect()}
     assert long in out[5].content and "| 甲项 | 100 | 5% |" in out[6].content
-    assert not {"routing_ladder_repaired", "cell_order_reliable_whole"} & set(catalogue.oracle_sql())
 
 
 def test_catalogue_matches_sql(spark):
