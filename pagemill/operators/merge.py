@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import DECORATION, FAILED_IMAGE, LOGO, source_comment, strip_markers, strip_u
-from pagemill.plans.storage import broadcast_if_small, materialize
+from pagemill.plans.storage import broadcast_if_small, estimated_bytes, materialize
 
 #: Lines at the top of a page that may be a brand header, and the share of pages that makes one.
 TOP_LINES, BRAND_SHARE = 3, 0.4
+#: Bytes of a table below which ``latest`` exchanges it whole.
+EXCHANGED_BYTES = 256 << 20
 
 
 def document_gate(records: DataFrame) -> DataFrame:
@@ -77,12 +82,16 @@ def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     """The last version of each row by ``by``, one of them on a tie; rows with a NULL key are kept as they are.
 
     Keys alone are counted first. What comes once, nearly everything, goes through untouched; only rows whose key comes
-    again are exchanged with all their columns. Which keys those are is broadcast if they are few.
+    again are exchanged with all their columns. Which keys those are is broadcast if they are few. Below
+    ``EXCHANGED_BYTES`` a plain exchange of all rows is cheaper than the second look, and gives the same.
     """
-    again = broadcast_if_small(materialize(df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys)))
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(by))
-    last = df.join(again, keys, "left_semi").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-    return df.join(again, keys, "left_anti").unionByName(last)
+    known = reduce(and_, (F.col(k).isNotNull() for k in keys))
+    last = lambda rows: rows.withColumn("__r", F.row_number().over(w)).where((F.col("__r") == 1) | ~known).drop("__r")
+    if estimated_bytes(df) < EXCHANGED_BYTES:
+        return last(df)
+    again = broadcast_if_small(materialize(df.where(known).groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys)))
+    return df.join(again, keys, "left_anti").unionByName(last(df.join(again, keys, "left_semi")))
 
 
 def orphan_assets(assets: DataFrame, canonical_texts: DataFrame) -> DataFrame:

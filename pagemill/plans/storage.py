@@ -83,6 +83,11 @@ def materialize(df: DataFrame, partition_hint: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a frame's size, from its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when ``df`` has at most ``limit`` rows; beyond that the planner shuffles and AQE splits skew.
 

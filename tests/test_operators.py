@@ -177,6 +177,17 @@ def test_gate(spark):
         merge.require_validated(r)
 
 
+def test_latest(spark, monkeypatch, rows):
+    """Both ways give the same; a tie leaves one row, rows without a key all stay."""
+    data = [(1, "a", 1), (1, "b", 2), (2, "c", None), (2, "d", 0), (3, "e", 5), (3, "f", 5), (None, "g", 1), (None, "h", 2), (4, "i", None)]
+    df = spark.createDataFrame([(k, t, v, "x") for k, t, v in data], "k int, t string, v int, __n string")
+    got = [rows(merge.latest(df, ["k"], "v").select("k", "v"))]
+    monkeypatch.setattr(merge, "EXCHANGED_BYTES", 0)
+    got.append(rows(merge.latest(df, ["k"], "v").select("k", "v")))
+    assert got[0] == got[1] == sorted([(1, 2), (2, 0), (3, 5), (4, None), (None, 1), (None, 2)], key=repr)
+    assert merge.latest(df.limit(0), ["k"], "v").count() == 0
+
+
 def test_orphans(spark, rows):
     assets = spark.createDataFrame([("d", "assets/a.png"), ("d", "assets/b.png"), ("e", "assets/a.png")], "doc_id string, asset string")
     text = spark.createDataFrame([("d", "![](assets/a.png)")], "doc_id string, markdown string")
