@@ -124,7 +124,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 def trie(words: DataFrame, least: int, asked: DataFrame | None = None) -> DataFrame:
-    """The trie of ``words`` (read twice, so materialised) as a table: ``prefix, below, here``: occurrences of longer words with the prefix, and of itself as a word.
+    """The trie of ``words`` (read twice) as a table: ``prefix, below, here``: occurrences of longer words with the prefix, and of itself as a word.
 
     With ``asked`` (``prefix``, distinct) only those nodes are made: other prefixes are dropped before they are exchanged.
     """
@@ -222,7 +222,7 @@ def cut_texts(pages: DataFrame) -> DataFrame:
     """
     ends = materialize(tails(pages, "page_id", "source", "markdown", "page_number"))
     limits = [_limit(ends, unit) for unit in ("size", "bytes")]
-    asked = materialize(ends.where("state not in ('complete', 'residue') and token <> ''").select(F.col("token").alias("prefix")).distinct())
+    asked = ends.where("state not in ('complete', 'residue') and token <> ''").select(F.col("token").alias("prefix")).distinct()
     known = trie(materialize(word_counts(pages, "markdown")), KNOWN_BELOW, asked)
     heads = F.col("state") == "heading"
     latin_token = F.col("token").rlike(rf"^[{_LETTERS}’']+$")
@@ -255,9 +255,9 @@ def cut_warnings(records: DataFrame, owners: DataFrame | None = None) -> DataFra
     said = said.join(owners.select("doc_id", "source"), "doc_id", "left").drop("doc_id") if owners is not None else said.withColumn("source", F.lit(None).cast("string"))
     each = materialize(said.withColumn("shape", F.regexp_replace(F.regexp_replace("warning", r"\d+", "9"), r"\s+$", "")).withColumns({"token": F.lower(F.regexp_extract("shape", rf"([{_LETTERS}]+)$", 1)), "size": F.length("warning")}))
     shapes = materialize(each.groupBy("shape").agg(F.count("*").alias("n")))
-    nodes = materialize(shape_trie(shapes))
-    words = materialize(shapes.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace("shape", rf"[{_LETTERS}]+$", "")), F.lit(rf"([{_LETTERS}]+)"), F.lit(1))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")))
-    asked = materialize(each.where("token <> ''").select(F.col("token").alias("prefix")).distinct())
+    nodes = shape_trie(shapes)
+    words = shapes.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace("shape", rf"[{_LETTERS}]+$", "")), F.lit(rf"([{_LETTERS}]+)"), F.lit(1))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    asked = each.where("token <> ''").select(F.col("token").alias("prefix")).distinct()
     tokens = trie(words, KNOWN_BELOW, asked).select(F.col("prefix").alias("token"), F.col("below").alias("t_below"), F.col("here").alias("t_here"))
     look = each.join(nodes, "shape", "left").join(tokens, "token", "left")
     half_word = (F.length("token") > 0) & (F.coalesce("t_here", F.lit(0)) == 0) & (F.col("t_below") >= KNOWN_BELOW)
