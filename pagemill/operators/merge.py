@@ -78,17 +78,17 @@ def canonical(outputs: DataFrame, manifest: DataFrame) -> DataFrame:
     return head.join(text, "doc_id").select("doc_id", F.concat(strip_u(F.concat_ws("\n\n", "head", "text")), F.lit("\n")).alias("markdown"))
 
 
-def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
+def latest(df: DataFrame, keys: list[str], by: str, exchanged: int | None = None) -> DataFrame:
     """The last version of each row by ``by``, one of them on a tie; rows with a NULL key are kept as they are.
 
     Keys alone are counted first. What comes once, nearly everything, goes through untouched; only rows whose key comes
     again are exchanged with all their columns. Which keys those are is broadcast if they are few. Below
-    ``EXCHANGED_BYTES`` a plain exchange of all rows is cheaper than the second look, and gives the same.
+    ``exchanged`` bytes (``EXCHANGED_BYTES``) a plain exchange of all rows is cheaper than the second look, and gives the same.
     """
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(by))
     known = reduce(and_, (F.col(k).isNotNull() for k in keys))
     last = lambda rows: rows.withColumn("__r", F.row_number().over(w)).where((F.col("__r") == 1) | ~known).drop("__r")
-    if estimated_bytes(df) < EXCHANGED_BYTES:
+    if estimated_bytes(df) < (EXCHANGED_BYTES if exchanged is None else exchanged):
         return last(df)
     again = broadcast_if_small(materialize(df.where(known).groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys)))
     return df.join(again, keys, "left_anti").unionByName(last(df.join(again, keys, "left_semi")))
