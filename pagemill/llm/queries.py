@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import chunking, encoding, langid, mixing, ocr_repair, packing, residue, site_lines, tokens, truncation
+from pagemill.operators.merge import latest
 from pagemill.plans.storage import materialize, read_table
 
 
@@ -38,13 +39,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return _pieces(spark, d).distinct()
+    size, overlap = _limit(spark, d, "page_chunk")
+    # pages that come twice are told by their keys, so neither texts nor pieces are exchanged
+    pages = latest(read_table(spark, d, "pages").select("page_id", "markdown", "written_at"), ["page_id"], "written_at", 0)
+    return chunking.split_items(pages, "page_id", "markdown", size, overlap)
 
 
 def p2_rejoined(spark: SparkSession, d: str) -> DataFrame:
     """Each page put together again from its pieces, and whether they are as long and share as much as they should: the check of p2_pieces."""
     size, overlap = _limit(spark, d, "page_chunk")
-    pieces = _pieces(spark, d).distinct()
+    pieces = p2_pieces(spark, d)
     ordered = F.sort_array(F.collect_list(F.struct("piece_no", "start", "end", "piece")))
     kept = pieces.groupBy("page_id").agg(ordered.alias("p"))
     before = F.concat(F.array(F.lit(0)), F.transform("p", lambda x: x["end"]))
