@@ -12,8 +12,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; checked by counting, never assumed.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast; measured, never assumed.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -88,9 +88,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when ``df`` has at most ``limit`` rows; beyond that the planner shuffles and AQE splits skew.
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when ``df`` has at most ``limit`` rows and ``size`` bytes; beyond that the planner shuffles and AQE splits skew.
 
-    ``df`` should be materialised: it is counted here and read again by the join.
+    Both are measured here, the bytes as JSON, and ``df`` is read again by the join: it should be materialised, or cheap.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    row = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    found = df.select(row.alias("b")).limit(limit + 1).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return F.broadcast(df) if found.n <= limit and (found.b or 0) <= size else df

@@ -71,6 +71,10 @@ def test_storage(spark):
     assert df.count() == 10
     assert "broadcast" in broadcast_if_small(df)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in broadcast_if_small(df, 5)._jdf.queryExecution().logical().toString().lower()
+    wide = materialize(spark.range(4).select("id", F.repeat(F.lit("文"), 500).alias("t"), F.array(F.lit(None).cast("string")).alias("a")))
+    assert "broadcast" in broadcast_if_small(wide, size=8000)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in broadcast_if_small(wide, size=6000)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in broadcast_if_small(wide.limit(0))._jdf.queryExecution().logical().toString().lower()
 
 
 def test_scratch_is_dropped(spark):
