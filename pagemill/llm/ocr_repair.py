@@ -55,7 +55,7 @@ _DIGITS = re.compile(r"\d+")
 #: Traces of a wrong encoding; the tokens that hold them teach no confusions and are not searched for them.
 _NOISE = re.compile("[\x80-\x9f�]|[ÃÂĂĹ√Γ├┬╨╤][^\x00-\x7f]|[âÄ‚Г][\x80-\x9f€™…†‡ƒÄÇÖæ∂╗║╝░▒▓⌐½¼\xa0-¿]")
 #: A number with look-alike letters in it: figures on one side, letters that look like figures on the other.
-_FIGURE = re.compile(r"(?<![A-Za-z0-9+/=_@#.-])(?:[A-Z]-)?(?=[0-9OoIlSZBbgq|.,]*[0-9])(?=[0-9.,]*[OoIlSZBbgq|])[0-9OoIlSZBbgq|]{2,}(?:[.,][0-9OoIlSZBbgq|]+)*(?![A-Za-z0-9+/=_])|(?<![A-Za-z0-9+/=_@#.-])[0-9]{1,3}(?:,[0-9OoIlSZBbgq|]{3})*[.,][0-9OoIlSZBbgq|]*[OoIlSZBbgq|][0-9OoIlSZBbgq|]*(?![A-Za-z0-9+/=_])|(?<=[^\x00-\x7f])[OolISZBb](?=[0-9年月日%])")
+_FIGURE = re.compile(r"(?<![A-Za-z0-9+/=_@#.-])(?:[A-Z]-)?(?=[0-9OoIlSZBbgq|.,]*[0-9])(?=[0-9.,]*[OoIlSZBbgq|])[0-9OoIlSZBbgq|]{2,}(?:[.,][0-9OoIlSZBbgq|]+)*(?![A-Za-z0-9+/=_])|(?<![A-Za-z0-9+/=_@#.-])[0-9]{1,3}(?:,[0-9OoIlSZBbgq|]{3})*[.,][0-9OoIlSZBbgq|]*[OoIlSZBbgq|][0-9OoIlSZBbgq|]*(?![A-Za-z0-9+/=_])|(?<=[^\x00-\x7f])[OolISZBb](?=[0-9][0-9OoIlSZBbgq|.,]*(?![A-Za-z0-9+/=_])|[年月日%])")
 _LIKE = str.maketrans("OoIlSZBbgq|", "00115286991")
 #: What every such number holds, and what every split word does.
 _NEAR_FIGURE, _MAY_SPLIT = re.compile(r"[0-9][.,]?[OoIlSZBbgq|]|[OoIlSZBbgq|][.,]?[0-9年月日%]"), re.compile("[-‐\u00ad¬⁃][ \t]*\n")
@@ -626,6 +626,8 @@ def reflow(text: str, width: int | None = None) -> str:
         if open_:
             last = out[-1]
             wide = bool(_WIDE.match(s[0]) or s[0] in "，。；：、）》」』】！？") or bool(_WIDE.search(last[-1]) or last[-1] in "，。；：、（《「『【")
+            # Chinese and Japanese lines end anywhere, within numbers too; only Latin words keep apart
+            wide = wide or not (last[-1].isalpha() and s[0].isalpha()) and bool(_WIDE.search(last) and _WIDE.search(s))
             out[-1] = last + ("" if wide else " ") + s
         else:
             if out and out[-1]:

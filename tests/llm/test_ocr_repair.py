@@ -113,6 +113,12 @@ def test_trigrams():
     assert got == want
 
 
+def test_figures():
+    read = lambda t: O.read_figures(t, [])[0]
+    assert read("计O年、b3万元、I2月") == "计0年、63万元、12月" and read("1O,5S4 and 2O18") == "10,554 and 2018"
+    assert read("请求号：b99d80e5fa") == "请求号：b99d80e5fa" and read("编号：S3cret") == "编号：S3cret"
+
+
 def test_sieve(spark):
     units = [f"w{i}" for i in range(3000)]
     s = O.sieve(spark.createDataFrame([(u,) for u in units], "u string"), "u")
@@ -198,6 +204,8 @@ def test_reflow():
     assert O.reflow(text).split("\n\n")[0] == "A first line of running text that goes on and ends here."
     assert "| a | b |\n| --- | --- |" in O.reflow(text)
     assert O.reflow("") == ""
+    assert O.reflow("投资合计39.2\n4万元，占认缴规模的57\n.08%，其中17,\n775万元由Annual\nReport列示，截至201\n8年度末。") == "投资合计39.24万元，占认缴规模的57.08%，其中17,775万元由Annual Report列示，截至2018年度末。"
+    assert O.reflow("Revenue of the fund in\n2018 grew by 5\npercent.") == "Revenue of the fund in 2018 grew by 5 percent."
     # a line that grew with a joined word does not make titles of the others
     grown = "Words of the first line and of the second that moved up with its begin\nning of the third\nline as they were set."
     assert O.reflow(grown, 30).count("\n\n") == 0 and O.line_width("# a long heading is no measure\nshort line") == 10
