@@ -8,6 +8,7 @@ patterns are weighed against the length of the text that is left without them, w
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +86,29 @@ SCRIPT = re.compile(
     re.I,
 )
 
+#: A quick look for each: small letters that no message is without.
+_SCRIPT_SIGNS = ("script", "cookie", "browser", "navigateur", "navegador", "браузер", "скрипт", "浏览器", "脚本", "ブラウザ", "スクリプト", "loading")
+_ERROR_SIGNS = (
+    "error", "erreur", "erro", "fehler", "ошибка", "エラー", "错误", "http", "代码", "コード", "not found", "be found", "not exist", "cannot be", "forbidden", "bad gateway", "bad request", "unauthorized", "internal", "service", "gateway", "页面", "err_", "econn", "unavailable", "moved", "expire", "you asked", "you requested", "introuvable", "encontrada", "gefunden", "не найдена", "見つかりません",
+    "不存在", "未找到", "无法", "加载", "已被", "走丢", "denied", "refus", "denegado", "negado", "verweigert", "доступ", "アクセス", "没有", "无权", "访问", "权限", "expir", "timed out", "abgelaufen", "истекла", "会话", "登录", "セッション", " down", "disponible", "indispon", "服务", "系统", "网站", "サービス", "недоступен", "went wrong", "too many", "time", "could not", "did not", "failed", "reset", "请求", "网络", "连接", "读取", "下载", "渲染", "请",
+    "attente", "tiempo", "esgotado", "again later", "retry later", "réessayer", "intente", "tente", "exception", "traceback", "at ", "stack trace", "warning", "reference", "ray",
+)
+
+
+class Message(NamedTuple):
+    """A kind of message: its name, its pattern, and the signs one of which every match has."""
+
+    kind: str
+    pattern: re.Pattern
+    signs: tuple[str, ...]
+
+    def search(self, text: str) -> bool:
+        low = text.lower()
+        return any(x in low for x in self.signs) and self.pattern.search(text) is not None
+
+
+MESSAGES = (Message("script", SCRIPT, _SCRIPT_SIGNS), Message("error", ERROR, _ERROR_SIGNS))
+
 #: Terms of template syntax: in the sentence of a match or the one before it they explain the match away.
 ABOUT = re.compile(r"\b(?:template (?:engine|syntax|language|variable)s?|placeholders? (?:such as|like|are|is)|syntax|curly (?:braces|brackets)|tutorial|markup language|variables? (?:are|is|such as|like|in)|escap(?:e|ed|ing)|notation)\b|花括号|占位符|模板(?:语法|引擎|变量)|语法|教程|变量(?:形如|用|以)|标记变量|accolades|llaves|chaves|syntaxe|sintaxis|sintaxe|фигурн|波括弧|テンプレート", re.I)
 #: Words that make what follows at once an example.
@@ -106,7 +130,7 @@ def _may_hold(text: str) -> bool:
 
 
 #: Share of a page's letters that filler must make up, and share of its sentences that messages must.
-SHARE, MESSAGES = 0.6, 1 / 3
+SHARE, THIRD = 0.6, 1 / 3
 _SENTENCE = re.compile(r"(?<=[.!?]) +|(?<=[。！？])")
 _FIGURE = re.compile(r"\d")
 #: A line of a stack trace below its message.
@@ -178,14 +202,14 @@ def classify(text: str | None) -> tuple[str | None, list[tuple[str, int, int]]]:
         return "filler", found
     traced = _FRAME.search(body) is not None
     report = sorted((l for l in lines if _TABLE_ROW.search(l) or _reports(l)), key=len)
-    for kind, pattern in (("script", SCRIPT), ("error", ERROR)):
+    for message in MESSAGES:
         # most often the first line that reports figures and is no message settles it
-        if (traced or all(map(pattern.search, report))) and _is_message(pattern, body, traced):
-            return kind, found
+        if (traced or all(map(message.search, report))) and _is_message(message, body, traced):
+            return message.kind, found
     return ("placeholder", found) if found else (None, [])
 
 
-def _is_message(pattern: re.Pattern, body: str, traced: bool) -> bool:
+def _is_message(message: Message, body: str, traced: bool) -> bool:
     """Whether ``body`` is a message: a third of its sentences or of its letters are, and nothing beside them reports figures.
 
     Frames of a stack trace, and the code below each, are part of it.
@@ -203,7 +227,7 @@ def _is_message(pattern: re.Pattern, body: str, traced: bool) -> bool:
                 continue
             code = False
         for x in _SENTENCE.split(l):
-            if pattern.search(x):
+            if message.search(x):
                 if _COUNT.search(x):
                     return False
                 told, hits, hit_letters = told + 1, hits + 1, hit_letters + len(x)
@@ -211,7 +235,7 @@ def _is_message(pattern: re.Pattern, body: str, traced: bool) -> bool:
                 if _TABLE_ROW.search(x) or _reports(x):
                     return False
                 others, other_letters = others + 1, other_letters + len(x)
-    return told > 0 and (hits >= MESSAGES * (hits + others) or hit_letters >= MESSAGES * (hit_letters + other_letters))
+    return told > 0 and (hits >= THIRD * (hits + others) or hit_letters >= THIRD * (hit_letters + other_letters))
 
 
 def _reports(sentence: str) -> bool:

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from pagemill.llm.residue import PLACEHOLDERS, _may_hold, classify, find_residue, without_residue
+from pagemill.llm.residue import MESSAGES, PLACEHOLDERS, _may_hold, classify, find_residue, without_residue
 
 M = "<!-- page:1 method:native -->\n"
 REPORT = "Revenue of the fund reached USD 1,234 thousand in 2021, as explained in note 4."
@@ -148,6 +148,12 @@ def test_quick_look_passes_every_alternative(name, pattern, may):
     assert made and [s for s in made if not _may_hold(s)] == []
 
 
+@pytest.mark.parametrize("message", MESSAGES)
+def test_signs_pass_every_alternative(message):
+    made = {t for s in _samples(re._parser.parse(message.pattern.pattern, message.pattern.flags)) for t in (s, s.upper(), s.lower()) if message.pattern.search(t)}
+    assert len(made) > 50 and [s for s in made if not message.search(s)] == []
+
+
 @pytest.mark.parametrize("text", ["[入力してください]", "【入力してください】", "【在此签名】", "[\u3000TBD]", "（\n在此签名）", "基金名称：NA（por completar）"])
 def test_prompts_without_a_colon(text):
     assert classify(f"{M}{REPORT} {text}")[0] == "placeholder"
