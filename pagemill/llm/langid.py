@@ -37,7 +37,7 @@ LEAST_LETTERS, LEAST_WIDE = 12, 6
 MARGIN = 6.0
 
 _MARKER = re.compile(r"<!--.*?-->|```|\*\*|^#+\s*|^\s*[-*•]\s+", re.M)
-_CUT = re.compile(r"(?<=[。！？])[”」』）]*|(?<=[.!?…])[\"”’»)]*\s+(?=[^\sa-zà-öø-ÿа-яё])|\n+")
+_CUT = re.compile(r"[。！？][”」』）]*|[.!?…][\"”’»)]*\s+(?=[^\sa-zà-öø-ÿа-яё])|\n+")
 _RUN = re.compile(r"[A-Za-zÀ-ɏͰ-ϿЀ-ӿ]+|[一-鿿぀-ヿ々ー가-힣]+")
 _KANA = re.compile("[぀-ゟ゠-ヺー]")
 
