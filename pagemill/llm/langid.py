@@ -14,6 +14,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,10 @@ MARGIN = 6.0
 _MARKER = re.compile(r"<!--.*?-->|```|\*\*|^#+\s*|^\s*[-*•]\s+", re.M)
 _CUT = re.compile(r"[。！？][”」』）]*|[.!?…][\"”’»)]*\s+(?=[^\sa-zà-öø-ÿа-яё])|\n+")
 _RUN = re.compile(r"[A-Za-zÀ-ɏͰ-ϿЀ-ӿ]+|[一-鿿぀-ヿ々ー가-힣]+")
-_KANA = re.compile("[぀-ゟ゠-ヺー]")
+_KANA, _FAR = re.compile("[぀-ゟ゠-ヺー]"), re.compile("[一-鿿぀-ヿ々ー가-힣]")
+#: What sentences are joined by, to be read at once.
+_SEP = "\x01"
+_TOKENS = re.compile(f"[A-Za-zÀ-ɏͰ-ϿЀ-ӿ]+|{_SEP}")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -56,6 +60,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def grams(run: str) -> list[int]:
     """Buckets of a word's n-grams; words keep their boundaries, runs without spaces have none."""
+    if run.isascii():  # a character is a byte
+        b = f"_{run.lower()}_".encode()
+        return [crc32(b[i : i + 1]) % BUCKETS for i in range(1, len(b) - 1)] + [crc32(b[i : i + n]) % BUCKETS for n in ORDERS[1:] for i in range(len(b) - n + 1)]
     wide = run[0] >= "⺀"
     s = run if wide else f"_{run.lower()}_"
     return [crc32(s[i : i + n].encode()) % BUCKETS for n in (ORDERS[:2] if wide else ORDERS) for i in range(len(s) - n + 1) if s[i : i + n] != "_"]
@@ -95,8 +102,6 @@ def gram_vectors(counts: DataFrame) -> DataFrame:
     """``lang, grams``: dense n-gram counts of the units, one row for each language and task."""
 
     def run(batches):
-        import pyarrow as pa
-
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for l, u, n in zip(*(c.to_pylist() for c in batch.columns)):
@@ -119,8 +124,8 @@ class Model:
         self._clear()
 
     def _clear(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.table = np.zeros((4096, len(self.langs)), np.float32)
+        self.ids: dict[str, int] = {_SEP: 0}
+        self.table = np.zeros((4096, len(self.langs) + 1), np.float32)
 
     def __getstate__(self):
         return {"langs": self.langs, "logp": self.logp, "at": self.at}
@@ -129,23 +134,38 @@ class Model:
         self.__dict__.update(state)
         self._clear()
 
-    def id_of(self, run: str) -> int:
-        """Row of ``table`` that holds the log likelihood of a word, or of a pair of characters of a run without spaces, per n-gram that covers a letter."""
+    def ids_of(self, units: list[str]) -> list[int]:
+        """Rows of ``table``: each holds the log likelihoods of a word, or of a pair of characters of a run without spaces, per n-gram that covers a letter, and its letters.
+
+        Units not met before are added together: one look into the model for all their n-grams.
+        """
+        ids = list(map(self.ids.get, units))
+        if None not in ids:
+            return ids
+        new = list(dict.fromkeys(u for u, k in zip(units, ids) if k is None))
         k = len(self.ids)
-        if k == len(self.table):
+        while k + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        wide = run[0] >= "⺀"
-        v = self.logp[:, grams(run)].sum(axis=1) / (3.0 if wide else 4.0)
-        if wide and "ja" in self.at and "zh" in self.at and (kana := len(_KANA.findall(run))):
-            v[self.at["zh"]] -= 4.0 * kana  # Chinese has no kana
-        self.table[k] = v
-        self.ids[run] = k
-        return k
+        own = [grams(u) for u in new]
+        starts = np.cumsum([0, *map(len, own[:-1])])
+        v = np.add.reduceat(self.logp[:, [g for gs in own for g in gs]], starts, axis=1).T
+        for u, row in zip(new, v):
+            wide = u[0] >= "⺀"
+            row /= 3.0 if wide else 4.0
+            if wide and "ja" in self.at and "zh" in self.at and (kana := len(_KANA.findall(u))):
+                row[self.at["zh"]] -= 4.0 * kana  # Chinese has no kana
+        self.table[k : k + len(new), :-1] = v
+        self.table[k : k + len(new), -1] = list(map(len, new))
+        self.ids.update(zip(new, range(k, k + len(new))))
+        return [self.ids[u] for u in units]
 
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[bool]]:
         """Of every sentence the log likelihoods, the letters, and whether it is a whole sentence."""
         if len(self.ids) > MEMORY:
             self._clear()
+        joined = _SEP.join(texts)
+        if joined.isascii() or not _FAR.search(joined):
+            return self._spaced(joined)
         units: list[str] = []
         starts, letters, whole = [], [], []
         for s in texts:
@@ -159,16 +179,25 @@ class Model:
             units += runs
             letters.append(size)
             whole.append(wide >= LEAST_WIDE or (size - wide >= LEAST_LETTERS and len(runs) > 3))
-        ids = list(map(self.ids.get, units))
-        if None in ids:
-            ids = [self.ids[u] if u in self.ids else self.id_of(u) for u in units]
+        ids = self.ids_of(units)
         ll = np.zeros((len(texts), len(self.langs)))
         if ids:
             full = [i for i, n in enumerate(letters) if n]
             # one row for each word, summed by sentence
-            ll[full] = np.add.reduceat(self.table[ids].astype(np.float64), [starts[i] for i in full], axis=0)
+            ll[full] = np.add.reduceat(self.table[ids, :-1].astype(np.float64), [starts[i] for i in full], axis=0)
         return ll, letters, whole
 
+    def _spaced(self, joined: str) -> tuple[np.ndarray, list[int], list[bool]]:
+        """The same for sentences of words with spaces between, all read at once; a sentence's row of sums closes with its separator, which adds nothing."""
+        tokens = _TOKENS.findall(joined)
+        tokens.append(_SEP)
+        at = np.array(self.ids_of(tokens))
+        ends = np.flatnonzero(at == 0)
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        sums = np.add.reduceat(self.table[at].astype(np.float64), starts, axis=0)
+        letters = sums[:, -1].astype(int)
+        return sums[:, :-1], letters.tolist(), ((letters >= LEAST_LETTERS) & (ends - starts > 3)).tolist()
+
 
 def mixture(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the languages and posteriors of the sentences, for log likelihoods (sentences x languages).
@@ -227,7 +256,7 @@ def analyse(model: Model, text: str | None) -> dict | None:
     """
     if not text or not model.langs:
         return None
-    clean = _MARKER.sub(lambda m: " " * len(m.group()), text)
+    clean = _MARKER.sub(lambda m: " " * len(m.group()), text).replace(_SEP, " ")
     cuts = sentences(clean)
     rows, sizes, full = model.sentences([clean[a:b] for a, b in cuts])
     have = [i for i, n in enumerate(sizes) if n]
@@ -316,6 +345,17 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return build(map_batches(chosen.select("text"), make, "lang string, unit string, n bigint", rows=None).groupBy("lang", "unit").agg(F.sum("n").alias("n")))
 
 
+def map_array(at: list[int], keys: list[str], items: list[int]) -> pa.Array:
+    """``map<string,int>`` of the rows that end at ``at``."""
+    return pa.MapArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys, pa.string()), pa.array(items, pa.int32())).cast(pa.map_(pa.string(), pa.int32()))
+
+
+def segment_array(at: list[int], start: list[int], end: list[int], lang: list[str], sure: list[float]) -> pa.Array:
+    """``array<struct<start,end,lang,confidence>>`` of the rows that end at ``at``."""
+    fields = [("start", pa.array(start, pa.int32())), ("end", pa.array(end, pa.int32())), ("lang", pa.array(lang, pa.string())), ("confidence", pa.array(sure, pa.float64()))]
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([a for _, a in fields], names=[n for n, _ in fields]))
+
+
 RESULT = "doc_id bigint, label string, label_lang string, lang string, confidence double, whole map<string,int>, segments array<struct<start:int,end:int,lang:string,confidence:double>>"
 
 
@@ -334,14 +374,22 @@ def identify(documents: DataFrame, labels: DataFrame, model: Model | None = None
         m = shared.value
 
         def fn(cols):
-            out = [[], [], []]
-            out += [[], [], [], []]
-            for d, l, c, t in zip(*cols):
-                got = analyse(m, t)
-                row = (d, l, c, got["lang"], got["confidence"], list(got["whole"].items()), [dict(start=a, end=b, lang=x, confidence=p) for a, b, x, p in got["segments"]]) if got else (d, l, c, None, None, [], [])
-                for col, v in zip(out, row):
-                    col.append(v)
-            return out
+            docs, labels, codes, texts = cols
+            langs, sure = [], []
+            whole, whole_at = ([], []), [0]
+            parts, parts_at = ([], [], [], []), [0]
+            for t in texts:
+                got = analyse(m, t) or {"lang": None, "confidence": None, "whole": {}, "segments": []}
+                langs.append(got["lang"])
+                sure.append(got["confidence"])
+                whole[0].extend(got["whole"])
+                whole[1].extend(got["whole"].values())
+                for segment in got["segments"]:
+                    for col, v in zip(parts, segment):
+                        col.append(v)
+                whole_at.append(len(whole[0]))
+                parts_at.append(len(parts[0]))
+            return [docs, labels, codes, langs, sure, map_array(whole_at, *whole), segment_array(parts_at, *parts)]
 
         return fn
 
