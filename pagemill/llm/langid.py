@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
+from operator import add
 from zlib import crc32
 
 import numpy as np
@@ -73,12 +75,17 @@ def units(text: str) -> list[str]:
     out = []
     for r in _RUN.findall(_MARKER.sub(" ", text)):
         if r[0] >= "⺀":
-            out += [r[i : i + 2] for i in range(len(r) - 1)] or [r]
+            out.extend(pairs(r))
         else:
             out.append(r.lower())
     return out
 
 
+def pairs(run: str) -> Iterable[str]:
+    """Pairs of characters of a run without spaces; a single character is itself."""
+    return map(add, run, run[1:]) if len(run) > 1 else (run,)
+
+
 def unit_counts(df: DataFrame, lang: str, text: str) -> DataFrame:
     """``lang, unit, texts, n``: in how many texts of a language a unit stands, and how often; summed within each batch first."""
 
@@ -125,7 +132,7 @@ class Model:
 
     def _clear(self) -> None:
         self.ids: dict[str, int] = {_SEP: 0}
-        self.table = np.zeros((4096, len(self.langs) + 1), np.float32)
+        self.table = np.zeros((4096, len(self.langs) + 1))
 
     def __getstate__(self):
         return {"langs": self.langs, "logp": self.logp, "at": self.at}
@@ -172,19 +179,24 @@ class Model:
             runs = _RUN.findall(s)
             starts.append(len(units))
             size, wide = sum(map(len, runs)), 0
-            if not s.isascii() and (far := [r for r in runs if r[0] >= "⺀"]):
+            if not s.isascii() and (far := [r for r in runs if r >= "⺀"]):
                 wide = sum(map(len, far))
                 # in Chinese or Japanese text foreign names and terms don't count
-                runs = [u for r in far for u in ([r[i : i + 2] for i in range(len(r) - 1)] or (r,))] if wide * 3 >= size - wide else [r for r in runs if r[0] < "⺀"]
-            units += runs
+                if wide * 3 >= size - wide:
+                    for r in far:
+                        units.extend(pairs(r))
+                else:
+                    units += [r for r in runs if r < "⺀"]
+            else:
+                units += runs
             letters.append(size)
-            whole.append(wide >= LEAST_WIDE or (size - wide >= LEAST_LETTERS and len(runs) > 3))
+            whole.append(wide >= LEAST_WIDE or (size - wide >= LEAST_LETTERS and len(units) - starts[-1] > 3))
         ids = self.ids_of(units)
         ll = np.zeros((len(texts), len(self.langs)))
         if ids:
             full = [i for i, n in enumerate(letters) if n]
             # one row for each word, summed by sentence
-            ll[full] = np.add.reduceat(self.table[ids, :-1].astype(np.float64), [starts[i] for i in full], axis=0)
+            ll[full] = np.add.reduceat(self.table[ids], [starts[i] for i in full], axis=0)[:, :-1]
         return ll, letters, whole
 
     def _spaced(self, joined: str) -> tuple[np.ndarray, list[int], list[bool]]:
@@ -194,7 +206,7 @@ class Model:
         at = np.array(self.ids_of(tokens))
         ends = np.flatnonzero(at == 0)
         starts = np.concatenate(([0], ends[:-1] + 1))
-        sums = np.add.reduceat(self.table[at].astype(np.float64), starts, axis=0)
+        sums = np.add.reduceat(self.table[at], starts, axis=0)
         letters = sums[:, -1].astype(int)
         return sums[:, :-1], letters.tolist(), ((letters >= LEAST_LETTERS) & (ends - starts > 3)).tolist()
 
