@@ -40,9 +40,14 @@ LEAST_LETTERS, LEAST_WIDE = 12, 6
 MARGIN = 6.0
 
 _MARKER = re.compile(r"<!--.*?-->|```|\*\*|^#+\s*|^\s*[-*•]\s+", re.M)
-_CUT = re.compile(r"[。！？][”」』）]*|[.!?…][\"”’»)]*\s+(?=[^\sa-zà-öø-ÿа-яё])|\n+")
+#: A mark, then what may follow it; the marks come first, so that the text is scanned for them alone.
+_CUT = re.compile(r"[。！？.!?…\n](?:(?<=[。！？])[”」』）]*|(?<=[.!?…])[\"”’»)]*\s+(?=[^\sa-zà-öø-ÿа-яё])|(?<=\n)\n*)")
+#: What every marker of the text's layout holds one of, or a dash before a blank.
+_LAYOUT, _DASH = ("<!--", "```", "#", "*", "•"), re.compile(r"-\s")
 _RUN = re.compile(r"[A-Za-zÀ-ɏͰ-ϿЀ-ӿ]+|[一-鿿぀-ヿ々ー가-힣]+")
 _KANA, _FAR = re.compile("[぀-ゟ゠-ヺー]"), re.compile("[一-鿿぀-ヿ々ー가-힣]")
+#: By code point, whether a character belongs to a run without spaces, or to a word (all are of the basic plane).
+_IS_FAR, _IS_NEAR = (np.array([re.match(p, chr(i)) is not None for i in range(0x10000)]) for p in (_FAR, "[A-Za-zÀ-ɏͰ-ϿЀ-ӿ]"))
 #: What sentences are joined by, to be read at once.
 _SEP = "\x01"
 _TOKENS = re.compile(f"[A-Za-zÀ-ɏͰ-ϿЀ-ӿ]+|{_SEP}")
@@ -132,6 +137,7 @@ class Model:
 
     def _clear(self) -> None:
         self.ids: dict[str, int] = {_SEP: 0}
+        self.codes: dict[int, int] = {1: 0}
         self.table = np.zeros((4096, len(self.langs) + 1))
 
     def __getstate__(self):
@@ -171,33 +177,38 @@ class Model:
         if len(self.ids) > MEMORY:
             self._clear()
         joined = _SEP.join(texts)
-        if joined.isascii() or not _FAR.search(joined):
-            return self._spaced(joined)
-        units: list[str] = []
-        starts, letters, whole = [], [], []
-        for s in texts:
-            runs = _RUN.findall(s)
-            starts.append(len(units))
-            size, wide = sum(map(len, runs)), 0
-            if not s.isascii() and (far := [r for r in runs if r >= "⺀"]):
-                wide = sum(map(len, far))
-                # in Chinese or Japanese text foreign names and terms don't count
-                if wide * 3 >= size - wide:
-                    for r in far:
-                        units.extend(pairs(r))
-                else:
-                    units += [r for r in runs if r < "⺀"]
-            else:
-                units += runs
-            letters.append(size)
-            whole.append(wide >= LEAST_WIDE or (size - wide >= LEAST_LETTERS and len(units) - starts[-1] > 3))
-        ids = self.ids_of(units)
-        ll = np.zeros((len(texts), len(self.langs)))
-        if ids:
-            full = [i for i, n in enumerate(letters) if n]
-            # one row for each word, summed by sentence
-            ll[full] = np.add.reduceat(self.table[ids], [starts[i] for i in full], axis=0)[:, :-1]
-        return ll, letters, whole
+        return self._spaced(joined) if joined.isascii() or not _FAR.search(joined) else self._unspaced(joined)
+
+    def _unspaced(self, joined: str) -> tuple[np.ndarray, list[int], list[bool]]:
+        """For sentences some of which have runs without spaces, whose pairs of characters are looked up by their codes.
+
+        In Chinese or Japanese text foreign names and terms don't count: such a sentence has its pairs only, one with
+        more than three times as many other letters its words only.
+        """
+        c = np.frombuffer((joined + _SEP).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        plane = np.minimum(c, 0xFFFF)
+        far, near, sep = _IS_FAR[plane], _IS_NEAR[plane], c == 1
+        after, before = np.append(far[1:], False), np.append(False, far[:-1])
+        two, one = far & after, far & ~after & ~before
+        code = np.where(two, c << 21 | np.append(c[1:], 0), c)
+        keep = np.flatnonzero(two | one | sep)
+        codes = code[keep].tolist()
+        ids = list(map(self.codes.get, codes))
+        if None in ids:
+            new = list(dict.fromkeys(x for x, k in zip(codes, ids) if k is None))
+            self.codes.update(zip(new, self.ids_of([(chr(x >> 21) if x >> 21 else "") + chr(x & 0x1FFFFF) for x in new])))
+            ids = [self.codes[x] for x in codes]
+        ends = np.flatnonzero(sep[keep])
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        ll = np.add.reduceat(self.table[ids], starts, axis=0)[:, :-1]
+        marks = np.flatnonzero(sep)
+        wide, other = np.add.reduceat(np.stack([far, near], axis=1).astype(np.int64), np.concatenate(([0], marks[:-1] + 1)), axis=0).T
+        by_pairs = (wide > 0) & (wide * 3 >= other)
+        whole = (other >= LEAST_LETTERS) & (ends - starts > 3)
+        if ((other > 0) & ~by_pairs).any():
+            words = self._spaced(joined)
+            ll, whole = np.where(by_pairs[:, None], ll, words[0]), np.where(by_pairs, whole, words[2])
+        return ll, (wide + other).tolist(), (whole | (wide >= LEAST_WIDE)).tolist()
 
     def _spaced(self, joined: str) -> tuple[np.ndarray, list[int], list[bool]]:
         """The same for sentences of words with spaces between, all read at once; a sentence's row of sums closes with its separator, which adds nothing."""
@@ -268,7 +279,8 @@ def analyse(model: Model, text: str | None) -> dict | None:
     """
     if not text or not model.langs:
         return None
-    clean = _MARKER.sub(lambda m: " " * len(m.group()), text).replace(_SEP, " ")
+    marked = any(x in text for x in _LAYOUT) or _DASH.search(text)
+    clean = (_MARKER.sub(lambda m: " " * len(m.group()), text) if marked else text).replace(_SEP, " ")
     cuts = sentences(clean)
     rows, sizes, full = model.sentences([clean[a:b] for a, b in cuts])
     have = [i for i, n in enumerate(sizes) if n]
