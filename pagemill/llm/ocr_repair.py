@@ -307,7 +307,7 @@ def candidates(words: DataFrame) -> DataFrame:
     # only keys with a frequent word and a word that asks matter
     load = materialize(keyed.groupBy("key").agg(F.count_if(F.col("side") == 1).alias("asking"), F.count_if(F.col("side") == 0).alias("known")).where("known > 0"))
     parts = load.where((F.col("asking") > ASKING) | (F.col("known") > VOCABULARY)).select("key", F.ceil(F.col("asking") / ASKING).cast("int").alias("a"), F.ceil(F.col("known") / VOCABULARY).cast("int").alias("v"))
-    cut = keyed.join(load.select("key"), "key", "left_semi").join(broadcast_if_small(materialize(parts)), "key", "left").withColumns({"a": F.greatest(F.coalesce("a", F.lit(1)), F.lit(1)), "v": F.greatest(F.coalesce("v", F.lit(1)), F.lit(1)), "h": F.xxhash64("word")})
+    cut = keyed.join(load.select("key"), "key", "left_semi").join(broadcast_if_small(parts), "key", "left").withColumns({"a": F.greatest(F.coalesce("a", F.lit(1)), F.lit(1)), "v": F.greatest(F.coalesce("v", F.lit(1)), F.lit(1)), "h": F.xxhash64("word")})
     asks = F.col("side") == 1
     own = F.pmod("h", F.when(asks, F.col("a")).otherwise(F.col("v"))).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.when(asks, F.col("v")).otherwise(F.col("a")) - 1))
@@ -326,7 +326,7 @@ def word_fixes(words: DataFrame) -> DataFrame:
     classic = pairs.sparkSession.createDataFrame([("\t".join(c),) for c in CLASSIC], "op string")
     believed = F.broadcast(seen.select("op").unionByName(classic).distinct())  # at most pairs of two characters each
     each = pairs.select("read", "meant", "n_meant", F.size("ops").alias("k"), F.explode("ops").alias("op"))
-    good = materialize(each.join(believed, "op").groupBy("read", "meant", "n_meant", "k").agg(F.count("*").alias("hits")).where(F.col("hits") >= F.col("k")))
+    good = each.join(believed, "op").groupBy("read", "meant", "n_meant", "k").agg(F.count("*").alias("hits")).where(F.col("hits") >= F.col("k"))
     wrong = good.select(F.col("read").alias("meant")).distinct().withColumn("wrong", F.lit(True))
     weight = F.log(F.col("n_meant").cast("double")) - AGAIN * (F.col("k") - 1)
     ranked = good.join(wrong, "meant", "left").groupBy("read").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("wrong", F.lit(False)).alias("wrong"), (-weight).alias("w"), "meant", F.col("n_meant").alias("n")))).alias("c"))
@@ -357,7 +357,7 @@ def character_fixes(chars: DataFrame) -> DataFrame:
     at_home = F.sum(F.when(F.col("odd"), -F.col("n")).otherwise(F.col("n"))) > 0
     right = each.groupBy("y", "r").agg(at_home.alias("h")).where("h")
     left = each.groupBy("l", "y").agg(at_home.alias("h")).where("h")
-    odd = materialize(each.where("odd").join(right, ["y", "r"], "left_anti").join(left, ["l", "y"], "left_anti").select("unit", "y", "x", "n"))
+    odd = each.where("odd").join(right, ["y", "r"], "left_anti").join(left, ["l", "y"], "left_anti").select("unit", "y", "x", "n")
     pair = odd.groupBy("y", "x").agg(F.count("*").alias("support"), F.sum("n").alias("n"))
     of_y = pair.groupBy("y").agg(F.sum("n").alias("all"))
     seen = (F.col("support") >= SUPPORT) & (F.col("n") >= LEAST) | (F.col("support") >= SUPPORT - 1) & (F.col("n") >= 3 * LEAST)
@@ -675,7 +675,7 @@ def answers(asked: DataFrame, fixes: DataFrame, beside: DataFrame) -> DataFrame:
     lone, many = got.where("size(meant) = 1"), got.where("size(meant) > 1")
     plain = lambda m: F.transform(m, lambda s: F.struct(s["meant"].alias("meant"), s["weight"].alias("weight")))
     key = ["row", "kind", "unit", "left", "right"]
-    count = materialize(beside.groupBy("a", "b").agg(F.count("*").alias("n")))
+    count = beside.groupBy("a", "b").agg(F.count("*").alias("n"))
     each = many.select(*key, F.explode("meant").alias("m")).select(*key, "m.*")
     for side, other in (("left", "a"), ("right", "b")):
         own = "b" if other == "a" else "a"
