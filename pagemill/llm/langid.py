@@ -11,8 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
-from operator import add
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -32,8 +31,10 @@ ROUNDS, EARN = 12, 6.0
 #: Weight of a log likelihood (which is per n-gram that covers a letter) in a confidence: with it, windows of one to four
 #: units of held-out texts have a mean confidence equal to the share that is judged rightly (0.963 on sf0.1).
 TEMPER = 1.8
-#: Words whose likelihoods a task keeps; beyond it the table starts anew.
+#: Units whose likelihoods a task keeps; beyond it the table starts anew.
 MEMORY = 200_000
+#: Characters of the texts that are read at once.
+TOGETHER = 100_000
 #: A sentence counts as whole from so many letters (of scripts without spaces, characters) on.
 LEAST_LETTERS, LEAST_WIDE = 12, 6
 #: Nats by which a sentence's language must beat the document's main one before it makes a document mixed.
@@ -41,28 +42,15 @@ MARGIN = 6.0
 
 _MARKER = re.compile(r"<!--.*?-->|```|\*\*|^#+\s*|^\s*[-*•]\s+", re.M)
 #: A mark, then what may follow it; the marks come first, so that the text is scanned for them alone.
-_CUT = re.compile(r"[。！？.!?…\n](?:(?<=[。！？])[”」』）]*|(?<=[.!?…])[\"”’»)]*\s+(?=[^\sa-zà-öø-ÿа-яё])|(?<=\n)\n*)")
+_CUT = re.compile(r"[。！？.!?…\n](?:(?<=[。！？])[”」』）]*|(?<=[.!?…])[\"”’»)]*\s+(?=[^\sa-zà-öø-ÿа-яё\x01])|(?<=\n)\n*)")
 #: What every marker of the text's layout holds one of, or a dash before a blank.
 _LAYOUT, _DASH = ("<!--", "```", "#", "*", "•"), re.compile(r"-\s")
 _RUN = re.compile(r"[A-Za-zÀ-ɏͰ-ϿЀ-ӿ]+|[一-鿿぀-ヿ々ー가-힣]+")
-_KANA, _FAR = re.compile("[぀-ゟ゠-ヺー]"), re.compile("[一-鿿぀-ヿ々ー가-힣]")
+_NEAR, _FAR, _KANA = "[A-Za-zÀ-ɏͰ-ϿЀ-ӿ]", "[一-鿿぀-ヿ々ー가-힣]", re.compile("[぀-ゟ゠-ヺー]")
 #: By code point, whether a character belongs to a run without spaces, or to a word (all are of the basic plane).
-_IS_FAR, _IS_NEAR = (np.array([re.match(p, chr(i)) is not None for i in range(0x10000)]) for p in (_FAR, "[A-Za-zÀ-ɏͰ-ϿЀ-ӿ]"))
-#: What sentences are joined by, to be read at once.
+_IS_FAR, _IS_NEAR = (np.array([re.match(p, chr(i)) is not None for i in range(0x10000)]) for p in (_FAR, _NEAR))
+#: What texts are joined by, to be read at once.
 _SEP = "\x01"
-_TOKENS = re.compile(f"[A-Za-zÀ-ɏͰ-ϿЀ-ӿ]+|{_SEP}")
-
-
-def sentences(text: str) -> list[tuple[int, int]]:
-    """``(start, end)`` of the sentences of ``text``: cut at closing marks and line ends."""
-    out, at = [], 0
-    for m in _CUT.finditer(text):
-        if m.end() > at:
-            out.append((at, m.end()))
-            at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
-    return out
 
 
 def grams(run: str) -> list[int]:
@@ -75,20 +63,113 @@ def grams(run: str) -> list[int]:
     return [crc32(s[i : i + n].encode()) % BUCKETS for n in (ORDERS[:2] if wide else ORDERS) for i in range(len(s) - n + 1) if s[i : i + n] != "_"]
 
 
-def units(text: str) -> list[str]:
-    """What is counted of a text: words, and of runs without spaces their pairs of characters."""
-    out = []
-    for r in _RUN.findall(_MARKER.sub(" ", text)):
-        if r[0] >= "⺀":
-            out.extend(pairs(r))
-        else:
-            out.append(r.lower())
-    return out
-
-
-def pairs(run: str) -> Iterable[str]:
-    """Pairs of characters of a run without spaces; a single character is itself."""
-    return map(add, run, run[1:]) if len(run) > 1 else (run,)
+def plain(text: str) -> str:
+    """``text`` with blanks for the markers of its layout, character for character."""
+    marked = any(x in text for x in _LAYOUT) or _DASH.search(text)
+    return (_MARKER.sub(lambda m: " " * len(m.group()), text) if marked else text).replace(_SEP, " ")
+
+
+def together(texts: Iterable[str]) -> Iterator[list[str]]:
+    """``texts`` in order, in lists of about ``TOGETHER`` characters; a longer text has one of its own."""
+    out, size = [], 0
+    for t in texts:
+        if out and size + len(t) > TOGETHER:
+            yield out
+            out, size = [], 0
+        out.append(t)
+        size += len(t)
+    if out:
+        yield out
+
+
+class Joined:
+    """Texts joined by separators, each followed by one: their characters, and which of these belong to words and to runs without spaces."""
+
+    def __init__(self, texts: list[str]):
+        self.text = _SEP.join(texts) + _SEP
+        self.chars = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kept = np.minimum(self.chars, 0xFFFF)
+        self.far, self.near = _IS_FAR[kept], _IS_NEAR[kept]
+        self.ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where pairs of characters of runs without spaces begin, and their codes; a single character is itself."""
+        far, c = self.far, self.chars
+        after, before = np.append(far[1:], False), np.append(False, far[:-1])
+        at = np.flatnonzero(far & (after | ~before))
+        code = c[at].astype(np.int64)
+        return at, np.where(after[at], code << 21 | c[np.minimum(at + 1, len(c) - 1)], code)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin and end."""
+        near = self.near
+        return np.flatnonzero(near & ~np.append(False, near[:-1])), np.flatnonzero(near & ~np.append(near[1:], False)) + 1
+
+    def parts(self, start: np.ndarray, end: np.ndarray) -> list[str]:
+        return list(map(self.text.__getitem__, map(slice, start.tolist(), end.tolist())))
+
+
+class Units:
+    """What is counted of texts, numbered as it is met: words in lower case, and of runs without spaces their pairs of characters."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.numbers: dict[str, int] = {}
+        self.codes: dict[int, int] = {}
+        #: The numbers of the codes that were last seen at a place each: most are found here, the others in ``codes``.
+        self.held, self.at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def number(self, name: str) -> int:
+        k = self.numbers.get(name)
+        if k is None:
+            k = self.numbers[name] = len(self.names)
+            self.names.append(name)
+        return k
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        ids = list(map(self.numbers.get, words))
+        if None in ids:
+            for w in dict.fromkeys(w for w, k in zip(words, ids) if k is None):
+                self.numbers[w] = self.number(w.lower())
+            ids = [self.numbers[w] for w in words]
+        return np.array(ids, np.int64)
+
+    def of_codes(self, codes: np.ndarray) -> np.ndarray:
+        place = ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+        ids = self.at[place]
+        miss = np.flatnonzero(self.held[place] != codes)
+        if len(miss):
+            others = codes[miss].tolist()
+            for x in dict.fromkeys(others):
+                if x not in self.codes:
+                    self.codes[x] = self.number((chr(x >> 21) if x >> 21 else "") + chr(x & 0x1FFFFF))
+            ids[miss] = [self.codes[x] for x in others]
+            self.held[place[miss]], self.at[place[miss]] = codes[miss], ids[miss]
+        return ids
+
+
+class Tally:
+    """In how many of some texts, markers blanked, each of ``units`` stands, and how often."""
+
+    def __init__(self, units: Units):
+        self.units, self.texts, self.times = units, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, texts: Iterable[str]) -> None:
+        for some in together(texts):
+            joined = Joined(some)
+            (at, codes), (start, end) = joined.pairs(), joined.words()
+            ids = np.concatenate((self.units.of_codes(codes), self.units.of_words(joined.parts(start, end))))
+            text = np.searchsorted(joined.ends, np.concatenate((at, start)), "right")
+            of_text, n = np.unique(text << 32 | ids, return_counts=True)
+            size = len(self.units.names)
+            seen = of_text & 0xFFFFFFFF
+            self.texts = np.bincount(seen, minlength=size) + np.pad(self.texts, (0, size - len(self.texts)))
+            self.times = np.bincount(seen, n, minlength=size).astype(np.int64) + np.pad(self.times, (0, size - len(self.times)))
+
+    def rows(self) -> Iterator[tuple[str, int, int]]:
+        """``unit, texts, n`` of the units met."""
+        for k in np.flatnonzero(self.times).tolist():
+            yield self.units.names[k], int(self.texts[k]), int(self.times[k])
 
 
 def unit_counts(df: DataFrame, lang: str, text: str) -> DataFrame:
@@ -96,13 +177,14 @@ def unit_counts(df: DataFrame, lang: str, text: str) -> DataFrame:
 
     def make():
         def fn(cols):
-            texts: dict[str, Counter] = {}
-            times: dict[str, Counter] = {}
+            own: dict[str, list[str]] = {}
             for l, t in zip(*cols):
-                found = units(t)
-                times.setdefault(l, Counter()).update(found)
-                texts.setdefault(l, Counter()).update(set(found))
-            out = [(l, u, texts[l][u], k) for l, count in times.items() for u, k in count.items()]
+                own.setdefault(l, []).append(t)
+            units, out = Units(), []
+            for l, some in own.items():
+                tally = Tally(units)
+                tally.add(map(plain, some))
+                out.extend((l, *row) for row in tally.rows())
             return [[x[i] for x in out] for i in range(4)]
 
         return fn
@@ -136,9 +218,9 @@ class Model:
         self._clear()
 
     def _clear(self) -> None:
-        self.ids: dict[str, int] = {_SEP: 0}
-        self.codes: dict[int, int] = {1: 0}
-        self.table = np.zeros((4096, len(self.langs) + 1))
+        self.units = Units()
+        #: For each unit the log likelihoods per n-gram that covers a letter; so many are filled in.
+        self.table, self.filled = np.zeros((4096, len(self.langs))), 0
 
     def __getstate__(self):
         return {"langs": self.langs, "logp": self.logp, "at": self.at}
@@ -147,18 +229,14 @@ class Model:
         self.__dict__.update(state)
         self._clear()
 
-    def ids_of(self, units: list[str]) -> list[int]:
-        """Rows of ``table``: each holds the log likelihoods of a word, or of a pair of characters of a run without spaces, per n-gram that covers a letter, and its letters.
-
-        Units not met before are added together: one look into the model for all their n-grams.
-        """
-        ids = list(map(self.ids.get, units))
-        if None not in ids:
-            return ids
-        new = list(dict.fromkeys(u for u, k in zip(units, ids) if k is None))
-        k = len(self.ids)
-        while k + len(new) > len(self.table):
+    def _fill(self) -> None:
+        """Units not met before are added together: one look into the model for all their n-grams."""
+        k, n = self.filled, len(self.units.names)
+        if k == n:
+            return
+        while n > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        new = self.units.names[k:]
         own = [grams(u) for u in new]
         starts = np.cumsum([0, *map(len, own[:-1])])
         v = np.add.reduceat(self.logp[:, [g for gs in own for g in gs]], starts, axis=1).T
@@ -167,59 +245,46 @@ class Model:
             row /= 3.0 if wide else 4.0
             if wide and "ja" in self.at and "zh" in self.at and (kana := len(_KANA.findall(u))):
                 row[self.at["zh"]] -= 4.0 * kana  # Chinese has no kana
-        self.table[k : k + len(new), :-1] = v
-        self.table[k : k + len(new), -1] = list(map(len, new))
-        self.ids.update(zip(new, range(k, k + len(new))))
-        return [self.ids[u] for u in units]
-
-    def sentences(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[bool]]:
-        """Of every sentence the log likelihoods, the letters, and whether it is a whole sentence."""
-        if len(self.ids) > MEMORY:
-            self._clear()
-        joined = _SEP.join(texts)
-        return self._spaced(joined) if joined.isascii() or not _FAR.search(joined) else self._unspaced(joined)
+        self.table[k:n], self.filled = v, n
 
-    def _unspaced(self, joined: str) -> tuple[np.ndarray, list[int], list[bool]]:
-        """For sentences some of which have runs without spaces, whose pairs of characters are looked up by their codes.
+    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the sentences of ``texts`` that have letters: text, ``(start, end)`` in it, log likelihoods, letters, and whether it is a whole sentence.
 
-        In Chinese or Japanese text foreign names and terms don't count: such a sentence has its pairs only, one with
-        more than three times as many other letters its words only.
+        Sentences are cut at closing marks and line ends. In Chinese or Japanese ones foreign names and terms don't count:
+        such a sentence has its pairs of characters only, one with more than three times as many other letters its words only.
         """
-        c = np.frombuffer((joined + _SEP).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        plane = np.minimum(c, 0xFFFF)
-        far, near, sep = _IS_FAR[plane], _IS_NEAR[plane], c == 1
-        after, before = np.append(far[1:], False), np.append(False, far[:-1])
-        two, one = far & after, far & ~after & ~before
-        code = np.where(two, c << 21 | np.append(c[1:], 0), c)
-        keep = np.flatnonzero(two | one | sep)
-        codes = code[keep].tolist()
-        ids = list(map(self.codes.get, codes))
-        if None in ids:
-            new = list(dict.fromkeys(x for x, k in zip(codes, ids) if k is None))
-            self.codes.update(zip(new, self.ids_of([(chr(x >> 21) if x >> 21 else "") + chr(x & 0x1FFFFF) for x in new])))
-            ids = [self.codes[x] for x in codes]
-        ends = np.flatnonzero(sep[keep])
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        ll = np.add.reduceat(self.table[ids], starts, axis=0)[:, :-1]
-        marks = np.flatnonzero(sep)
-        wide, other = np.add.reduceat(np.stack([far, near], axis=1).astype(np.int64), np.concatenate(([0], marks[:-1] + 1)), axis=0).T
+        if len(self.units.names) > MEMORY:
+            self._clear()
+        joined = Joined(texts)
+        begins = np.concatenate(([0], joined.ends[:-1]))
+        cut = np.zeros(len(joined.chars), bool)
+        cut[begins] = cut[[m.end() for m in _CUT.finditer(joined.text)]] = True
+        starts = np.flatnonzero(cut)
+        n, sentence = len(starts), np.cumsum(cut) - 1
+        wide, other = (np.add.reduceat(x, starts, dtype=np.int64) for x in (joined.far, joined.near))
         by_pairs = (wide > 0) & (wide * 3 >= other)
-        whole = (other >= LEAST_LETTERS) & (ends - starts > 3)
+        ll, units = np.zeros((n, len(self.langs))), np.zeros(n, np.int64)
+
+        def add(of: np.ndarray, ids: np.ndarray) -> None:
+            if len(of):
+                self._fill()
+                first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                ll[of[first]] = np.add.reduceat(self.table.take(ids, axis=0), first, axis=0)
+                units[of[first]] = np.diff(np.append(first, len(of)))
+
+        if by_pairs.any():
+            at, codes = joined.pairs()
+            keep = by_pairs[sentence[at]]
+            add(sentence[at[keep]], self.units.of_codes(codes[keep]))
         if ((other > 0) & ~by_pairs).any():
-            words = self._spaced(joined)
-            ll, whole = np.where(by_pairs[:, None], ll, words[0]), np.where(by_pairs, whole, words[2])
-        return ll, (wide + other).tolist(), (whole | (wide >= LEAST_WIDE)).tolist()
-
-    def _spaced(self, joined: str) -> tuple[np.ndarray, list[int], list[bool]]:
-        """The same for sentences of words with spaces between, all read at once; a sentence's row of sums closes with its separator, which adds nothing."""
-        tokens = _TOKENS.findall(joined)
-        tokens.append(_SEP)
-        at = np.array(self.ids_of(tokens))
-        ends = np.flatnonzero(at == 0)
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        sums = np.add.reduceat(self.table[at], starts, axis=0)
-        letters = sums[:, -1].astype(int)
-        return sums[:, :-1], letters.tolist(), ((letters >= LEAST_LETTERS) & (ends - starts > 3)).tolist()
+            start, end = joined.words()
+            keep = ~by_pairs[sentence[start]]
+            add(sentence[start[keep]], self.units.of_words(joined.parts(start[keep], end[keep])))
+        whole = (other >= LEAST_LETTERS) & (units > 3) | (wide >= LEAST_WIDE)
+        have = np.flatnonzero(wide + other)
+        text = np.searchsorted(joined.ends, starts[have], "right")
+        end = np.minimum(np.append(starts[1:], len(joined.chars))[have], joined.ends[text] - 1)
+        return text, np.stack([starts[have], end], axis=1) - begins[text, None], ll[have], (wide + other)[have], whole[have]
 
 
 def mixture(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,8 +332,13 @@ def mixture(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def certainty(ll: np.ndarray, lang: int) -> float:
     """Posterior of ``lang`` among all languages, equally likely before, for sentences (rows) that are in one language."""
-    z = TEMPER * ll.sum(axis=0)
-    return float(1.0 / np.exp(np.minimum(z - z[lang], 700.0)).sum())
+    return float(certainties(ll.sum(axis=0)[None], np.array([lang]))[0])
+
+
+def certainties(total: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """The same for summed log likelihoods, each row for a language."""
+    z = TEMPER * total
+    return 1.0 / np.exp(np.minimum(z - z[np.arange(len(z)), lang][:, None], 700.0)).sum(axis=1)
 
 
 def analyse(model: Model, text: str | None) -> dict | None:
@@ -277,38 +347,65 @@ def analyse(model: Model, text: str | None) -> dict | None:
     The language is the one most letters are in. A confidence is the posterior, among all languages, of the one named,
     given the sentences found to be in it (a segment's, or all of the text's): near 1 / languages where nothing tells.
     """
-    if not text or not model.langs:
-        return None
-    marked = any(x in text for x in _LAYOUT) or _DASH.search(text)
-    clean = (_MARKER.sub(lambda m: " " * len(m.group()), text) if marked else text).replace(_SEP, " ")
-    cuts = sentences(clean)
-    rows, sizes, full = model.sentences([clean[a:b] for a, b in cuts])
-    have = [i for i, n in enumerate(sizes) if n]
-    if not have:
-        return None
-    spans, ll, letters = [cuts[i] for i in have], rows[have], [sizes[i] for i in have]
+    return analyse_all(model, [text])[0]
+
+
+def analyse_all(model: Model, texts: list[str | None]) -> list[dict | None]:
+    """``analyse`` of each text; many are read at once."""
+    if not model.langs:
+        return [None] * len(texts)
+    out: list[dict | None] = []
+    for some in together(t or "" for t in texts):
+        out.extend(_analyse(model, some))
+    return out
+
+
+def _analyse(model: Model, texts: list[str]) -> list[dict | None]:
+    out: list[dict | None] = [None] * len(texts)
+    text, cuts, ll, letters, full = model.sentences(list(map(plain, texts)))
+    if not len(text):
+        return out
     # headings and table rows are no sentences
-    whole = [full[i] and not text[cuts[i][0] : cuts[i][0] + 2].lstrip().startswith(("#", "|", "<")) for i in have]
+    spans, whole, of = cuts.tolist(), full.tolist(), text.tolist()
+    for i in np.flatnonzero(full).tolist():
+        a = spans[i][0]
+        whole[i] = not texts[of[i]][a : a + 2].lstrip().startswith(("#", "|", "<"))
+    first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    last = np.append(first[1:], len(text))
+    best = ll.argmax(axis=1)
+    main = best[first]
+    one = np.minimum.reduceat(best, first) == np.maximum.reduceat(best, first)
+    sure = certainties(np.add.reduceat(ll, first, axis=0), main).tolist()
+    for i, j, m, alone, p in zip(first.tolist(), last.tolist(), main.tolist(), one.tolist(), sure):
+        if alone:  # no sentence prefers another language: the text is all in one
+            n, lang = sum(whole[i:j]), model.langs[m]
+            out[of[i]] = {"lang": lang, "confidence": round(p, 4), "whole": {lang: n} if n else {}, "segments": [(spans[i][0], spans[j - 1][1], lang, round(p, 4))]}
+        else:
+            out[of[i]] = _mixed(model.langs, spans[i:j], ll[i:j], letters[i:j], whole[i:j])
+    return out
+
+
+def _mixed(langs: list[str], spans: list[list[int]], ll: np.ndarray, letters: np.ndarray, whole: list[bool]) -> dict:
+    """The same for a text whose sentences may be in several languages."""
     post = mixture(ll)[1]
     pick = post.argmax(axis=1)
-    weight = np.zeros(len(model.langs))
+    weight = np.zeros(len(langs))
     np.add.at(weight, pick, letters)
-    main, total = int(weight.argmax()), weight.sum()
+    main = int(weight.argmax())
     found: Counter = Counter()
-    for i, l in enumerate(pick):
-        if whole[i] and (l == main or ll[i, l] - ll[i, main] >= MARGIN):
-            found[int(l)] += 1
     segments: list[list] = []
-    for i, ((a, b), l) in enumerate(zip(spans, pick)):
+    for i, ((a, b), l) in enumerate(zip(spans, pick.tolist())):
+        if whole[i] and (l == main or ll[i, l] - ll[i, main] >= MARGIN):
+            found[l] += 1
         if segments and segments[-1][2] == l:
             segments[-1][1], segments[-1][4] = b, i + 1
         else:
-            segments.append([a, b, int(l), i, i + 1])
+            segments.append([a, b, l, i, i + 1])
     return {
-        "lang": model.langs[main],
+        "lang": langs[main],
         "confidence": round(certainty(ll[pick == main], main), 4),
-        "whole": {model.langs[l]: n for l, n in found.items()},
-        "segments": [(a, b, model.langs[l], round(certainty(ll[i:j], l), 4)) for a, b, l, i, j in segments],
+        "whole": {langs[l]: n for l, n in found.items()},
+        "segments": [(a, b, langs[l], round(certainty(ll[i:j], l), 4)) for a, b, l, i, j in segments],
     }
 
 
@@ -355,12 +452,16 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         m = shared.value
 
         def fn(cols):
-            times: dict[str, Counter] = {}
-            for t in cols[0]:
-                for a, b, l, p in (analyse(m, t) or {"segments": ()})["segments"]:
+            own: dict[str, list[str]] = {}
+            for t, got in zip(cols[0], analyse_all(m, cols[0])):
+                for a, b, l, p in (got or {"segments": ()})["segments"]:
                     if p > 0.9:
-                        times.setdefault(l, Counter()).update(units(t[a:b]))
-            out = [(l, u, k) for l, count in times.items() for u, k in count.items()]
+                        own.setdefault(l, []).append(plain(t[a:b]))
+            units, out = Units(), []
+            for l, some in own.items():
+                tally = Tally(units)
+                tally.add(some)
+                out.extend((l, u, n) for u, _, n in tally.rows())
             return [[x[i] for x in out] for i in range(3)]
 
         return fn
@@ -402,8 +503,8 @@ def identify(documents: DataFrame, labels: DataFrame, model: Model | None = None
             langs, sure = [], []
             whole, whole_at = ([], []), [0]
             parts, parts_at = ([], [], [], []), [0]
-            for t in texts:
-                got = analyse(m, t) or {"lang": None, "confidence": None, "whole": {}, "segments": []}
+            for got in analyse_all(m, texts):
+                got = got or {"lang": None, "confidence": None, "whole": {}, "segments": []}
                 langs.append(got["lang"])
                 sure.append(got["confidence"])
                 whole[0].extend(got["whole"])

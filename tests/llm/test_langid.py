@@ -54,6 +54,28 @@ def test_mixed(fitted):
         assert all(0 < s[3] <= 1 for s in got["segments"])
 
 
+def test_texts_read_at_once_are_as_alone(fitted):
+    """What stands in one text, a separator or an open marker included, changes nothing in its neighbours."""
+    model, _, say = fitted
+    texts = [None, "", say("en") + "\n\n ", "\x01", say("zh") + "<!-- ", "中", say("ru") + "\x01" + say("ja"), "# " + say("es") + "\n- " + say("pt"), "12,5 | x\x01", say("fr") + " " + say("zh") + "。” "]
+    texts += [say(l) * k for l in SENTENCES for k in (1, 3)]
+    at_once = L.analyse_all(model, texts)
+    assert at_once == [L.analyse(model, t) for t in texts]
+    assert at_once[2]["segments"][-1][1] == len(texts[2]) - 1 and at_once[0] is at_once[1] is at_once[3] is None
+    few = max(map(len, filter(None, texts))) + 1
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(L, "TOGETHER", few)
+        assert L.analyse_all(model, texts) == at_once
+
+
+def test_units_are_counted_by_text_and_by_occurrence():
+    units = L.Units()
+    units.held[:] = -1  # every place is another code's at first
+    tally = L.Tally(units)
+    tally.add(map(L.plain, ["The the FUND", "**fund** 基金基金 a中b", "基金<!-- the -->", ""]))
+    assert sorted(tally.rows()) == [("a", 1, 1), ("b", 1, 1), ("fund", 2, 2), ("the", 1, 2), ("中", 1, 1), ("基金", 2, 3), ("金基", 1, 1)]
+
+
 def test_terms_do_not_mix(fitted):
     model, _, say = fitted
     assert set(L.analyse(model, say("zh") + "该指标（Adjusted Cash Yield）未经审计。")["whole"]) == {"zh"}
