@@ -57,7 +57,7 @@ def split_header(line: str) -> tuple[str, int] | None:
 
 def form(text: str) -> str:
     """What header texts are compared by: without white space, figures and letters that look like them folded."""
-    return _LIKE_ANY.sub("0", re.sub(r"\s+", "", text).casefold().replace("@", "a"))
+    return _LIKE_ANY.sub("0", "".join(text.split()).casefold().replace("@", "a"))
 
 
 def header_form(line: str, page: int | None) -> str | None:

@@ -46,14 +46,16 @@ CLASSIC = (
 )
 
 _L = "A-Za-zÀ-ɏЀ-ӿ"
-_WORD = re.compile(rf"[{_L}]+(?:[0-9@|!$][{_L}]*)*|(?<![0-9{_L}.,])[0-9@|!$][{_L}]{{3,}}")
+#: A letter and what follows it of letters and marks read for letters, or such a mark before three letters. As in ``_NOISE``, all characters it may begin with come first, so that texts are scanned for these alone.
+_WORD = re.compile(rf"[{_L}0-9@|!$](?:(?<=[{_L}])[{_L}0-9@|!$]*|(?<=[0-9@|!$])(?<![0-9{_L}.,].)[{_L}]{{3,}})")
 _COMPOUND = re.compile(rf"(?<![-{_L}])[{_L}]{{2,}}-[{_L}]{{2,}}(?![-{_L}])")
 #: A word split by a hyphen mark over a line end; paragraph breaks may stand between in Markdown.
 _SPLIT = re.compile(rf"(?<![{_L}-])([{_L}]{{1,}})([-‐­¬⁃])[ \t]*\n+[ \t]*([a-zß-öø-ÿа-яё][{_L}]*|(?<=[A-ZÀ-ÞА-Я][-‐­¬⁃]\n)[A-ZÀ-ÞА-Я]{{2,}})")
 _WIDE = re.compile(r"[一-鿿぀-ヿ]")
-_DIGITS = re.compile(r"\d+")
+#: By code point, whether a character is a figure of any script.
+_DIGIT = np.array([chr(i).isdecimal() for i in range(0x110000)])
 #: Traces of a wrong encoding; the tokens that hold them teach no confusions and are not searched for them.
-_NOISE = re.compile("[\x80-\x9f�]|[ÃÂĂĹ√Γ├┬╨╤][^\x00-\x7f]|[âÄ‚Г][\x80-\x9f€™…†‡ƒÄÇÖæ∂╗║╝░▒▓⌐½¼\xa0-¿]")
+_NOISE = re.compile("[\x80-\x9f�ÃÂĂĹ√Γ├┬╨╤âÄ‚Г](?:(?<=[\x80-\x9f�])|(?<=[ÃÂĂĹ√Γ├┬╨╤])[^\x00-\x7f]|(?<=[âÄ‚Г])[\x80-\x9f€™…†‡ƒÄÇÖæ∂╗║╝░▒▓⌐½¼\xa0-¿])")
 #: A number with look-alike letters in it: figures on one side, letters that look like figures on the other.
 _FIGURE = re.compile(r"(?<![A-Za-z0-9+/=_@#.-])(?:[A-Z]-)?(?=[0-9OoIlSZBbgq|.,]*[0-9])(?=[0-9.,]*[OoIlSZBbgq|])[0-9OoIlSZBbgq|]{2,}(?:[.,][0-9OoIlSZBbgq|]+)*(?![A-Za-z0-9+/=_])|(?<![A-Za-z0-9+/=_@#.-])[0-9]{1,3}(?:,[0-9OoIlSZBbgq|]{3})*[.,][0-9OoIlSZBbgq|]*[OoIlSZBbgq|][0-9OoIlSZBbgq|]*(?![A-Za-z0-9+/=_])|(?<=[^\x00-\x7f])[OolISZBb](?=[0-9][0-9OoIlSZBbgq|.,]*(?![A-Za-z0-9+/=_])|[年月日%])")
 _LIKE = str.maketrans("OoIlSZBbgq|", "00115286991")
@@ -64,6 +66,8 @@ _ODD_CASE = re.compile("[a-zß-ÿ][À-Þ]|[À-Þ]{2}[a-zß-ÿ]|[\x80-ɏ]{3}|[а-
 _MARK = re.compile(r"<!--.*?-->")
 _STRUCTURE = re.compile(r"\s*(?:#{1,6}\s|[-*•+]\s|\||<|```|\d{1,3}[.)]\s|>)")
 _CLOSED = re.compile(r"[.!?。！？:：;；”’»\")）」』…]\s*$")
+#: A gap as between columns, in a line without blanks around; how a list item begins.
+_GAP, _ITEM = re.compile(r"\s(?:\s|(?<=\t))"), re.compile(r"[-*•+]\s|\d{1,3}[.)]\s")
 _BLOB = re.compile(r"[A-Za-z0-9+/=]{60,}")
 
 
@@ -99,8 +103,10 @@ def _plain(text: str) -> str:
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Han characters between their neighbours over some texts, as codes of 21 bits a character, and how often each is seen."""
+    """Han characters between their neighbours (a run of figures as one 0) over some texts, as codes of 21 bits a character, and how often each is seen."""
     a = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    digit = _DIGIT[a]
+    a = np.where(digit, 0x30, a)[~(digit & np.append(False, digit[:-1]))]
     l, m, r = a[:-2], a[1:-1], a[2:]
     keep = (m >= 0x4E00) & (m <= 0x9FFF) & (l > 0) & (r > 0) & (l != 0xFFFD) & (r != 0xFFFD)
     return np.unique((l[keep] << 42) | (m[keep] << 21) | r[keep], return_counts=True)
@@ -140,7 +146,7 @@ def unit_counts(texts: DataFrame) -> DataFrame:
                     found.pop()  # it may be cut off
                 words.update(found)
                 if not p.isascii() and _WIDE.search(p):
-                    wide.append(_DIGITS.sub("0", p))
+                    wide.append(p)
                     if len(wide) == 500:
                         flush()
             flush()
@@ -464,6 +470,21 @@ def read_figures(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
     return _FIGURE.sub(figure, text), n
 
 
+class Marks(dict):
+    """By word, as it stands in a text: 1 if it may have a correction, and 2 if it is among rivals."""
+
+    def __init__(self, known: Sieve, rivals: Sieve):
+        super().__init__()
+        self.known, self.rivals = known, rivals
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        low = word.lower()
+        self[word] = mark = (len(low) >= SHORTEST and self.known("w" + low)) + 2 * self.rivals(low)
+        return mark
+
+
 class Asker:
     """First half of a repair: furniture out, split words joined, and what the text asks for.
 
@@ -471,7 +492,7 @@ class Asker:
     """
 
     def __init__(self, known: Sieve, rivals: Sieve, odd: frozenset[str]):
-        self.known, self.rivals = known, rivals
+        self.known, self.marks = known, Marks(known, rivals)
         self.odd = re.compile("[" + "".join(map(re.escape, sorted(odd))) + "]") if odd else None
 
     def prepare(self, text: str, page: int | None, heads=()) -> tuple[str, int, int, list[str], list[tuple], list[tuple]]:
@@ -493,14 +514,20 @@ class Asker:
 
         text, joined = split_words(text, spans, compound)
         spans = noisy_spans(text) if joined else spans
-        known, rivals = self.known, self.rivals
+        known = self.known
         # words are asked for as they stand, and as they will if no compound is one
         for t in (text, split_words(text, spans)[0]) if asks else (text,):
-            low = [w.lower() for w in _WORD.findall(t)]
-            for i, w in enumerate(low):
-                if len(w) >= SHORTEST and known("w" + w):
+            beside = []
+            words = _WORD.findall(t)
+            marks = list(map(self.marks.__getitem__, words))
+            if not any(marks):
+                continue
+            low = [w.lower() for w in words]
+            for i, (w, mark) in enumerate(zip(low, marks)):
+                if mark & 1:
                     asks.add(("w", w, low[i - 1] if i else "", low[i + 1] if i + 1 < len(low) else ""))
-        beside = [(a, b) for a, b in zip(low, low[1:]) if rivals(a) or rivals(b)]
+            if max(marks) > 1:
+                beside = [(low[i], low[i + 1]) for i in range(len(low) - 1) if (marks[i] | marks[i + 1]) & 2]
         if self.odd and self.odd.search(text):
             read = read_figures(text, spans)[0]  # a misread figure beside a character would hide it
             for m in self.odd.finditer(read):
@@ -567,8 +594,9 @@ class Fixer:
             spans = noisy_spans(text) if figures else spans
         if self.chars:
             chars = list(text)
-            for i in range(1, len(text) - 1):
-                if (u := around(text, i)) in self.chars and apart(i, i + 1):
+            read = {u[1:2] for u in self.chars}
+            for i in [i for i, c in enumerate(text) if c in read]:
+                if 0 < i < len(text) - 1 and (u := around(text, i)) in self.chars and apart(i, i + 1):
                     chars[i] = self.chars[u]
                     n += 1
             text = "".join(chars)
@@ -595,7 +623,11 @@ class Fixer:
 
 def line_width(text: str) -> int:
     """Length of the longest line of running text."""
-    return max((len(l) for l in text.split("\n") if not _STRUCTURE.match(l)), default=0)
+    most = 0
+    for l in text.split("\n"):
+        if len(l) > most and not _STRUCTURE.match(l):
+            most = len(l)
+    return most
 
 
 def reflow(text: str, width: int | None = None) -> str:
@@ -617,11 +649,11 @@ def reflow(text: str, width: int | None = None) -> str:
             if out and out[-1]:
                 out.append("")
             continue
-        if code or _STRUCTURE.match(line) or re.search(r"\S(?:\s{2,}|\t)\S", s):
+        if code or _STRUCTURE.match(line) or _GAP.search(s):
             if out and out[-1] and open_:
                 out.append("")
             out.append(line.rstrip() if code else s)
-            open_ = bool(re.match(r"[-*•+]\s|\d{1,3}[.)]\s", s)) and not _CLOSED.search(s)
+            open_ = bool(_ITEM.match(s)) and not _CLOSED.search(s)
             continue
         if open_:
             last = out[-1]

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -113,6 +114,42 @@ def test_trigrams():
     assert got == want
 
 
+def test_trigrams_take_runs_of_figures_as_one():
+    units, n = O._trigrams(["第2018年", "第٣年", "第12", "3年"])
+    assert [(chr(u >> 42) + chr(u >> 21 & 0x1FFFFF) + chr(u & 0x1FFFFF), k) for u, k in zip(units.tolist(), n.tolist())] == []
+    units, n = O._trigrams(["1第20", "22第3", "5", "7第", "第8"])
+    assert [(chr(u >> 42) + chr(u >> 21 & 0x1FFFFF) + chr(u & 0x1FFFFF), k) for u, k in zip(units.tolist(), n.tolist())] == [("0第0", 2)]
+
+
+def test_sieves_are_asked_once_for_a_word():
+    """However often a word stands in the texts; what is asked for is the same as before."""
+    calls: Counter = Counter()
+
+    class Counted(O.Sieve):
+        def __call__(self, unit):
+            calls[unit] += 1
+            return unit in self.bits
+
+    ask = O.Asker(Counted({"wreveniie", "hshort-term"}, 0), Counted({"fund", "found"}, 0), frozenset())
+    text = "The Fund reveniie rose. The fund reveniie fell in a short-\nterm view, the FUND said. " * 20
+    got = ask.prepare(text, 1)
+    assert set(got[4]) == {("h", "short-term", "", ""), ("w", "reveniie", "fund", "rose"), ("w", "reveniie", "fund", "fell")}
+    assert Counter(got[5]) == {("the", "fund"): 60, ("fund", "reveniie"): 40, ("fund", "said"): 20}
+    words = Counter({u: k for u, k in calls.items() if u[0] != "h"})
+    assert max(words.values()) <= 3, words  # once for each way it is written: fund, Fund, FUND
+
+
+def test_patterns_scanned_by_their_first_characters():
+    rng = random.Random(6)
+    letters = O._L
+    word = re.compile(rf"[{letters}]+(?:[0-9@|!$][{letters}]*)*|(?<![0-9{letters}.,])[0-9@|!$][{letters}]{{3,}}")
+    noise = re.compile("[\x80-\x9f\ufffd]|[ÃÂĂĹ√Γ├┬╨╤][^\x00-\x7f]|[âÄ‚Г][\x80-\x9f€™…†‡ƒÄÇÖæ∂╗║╝░▒▓⌐½¼\xa0-¿]")
+    for _ in range(3000):
+        t = "".join(rng.choices("abAÀяЯ中0@|!$., \n19OlÃÂâ‚Г\x85\ufffd€½年%é√\xa0", k=40))
+        assert [m.span() for m in O._WORD.finditer(t)] == [m.span() for m in word.finditer(t)]
+        assert [m.span() for m in O._NOISE.finditer(t)] == [m.span() for m in noise.finditer(t)]
+
+
 def test_figures():
     read = lambda t: O.read_figures(t, [])[0]
     assert read("计O年、b3万元、I2月") == "计0年、63万元、12月" and read("1O,5S4 and 2O18") == "10,554 and 2018"
